@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,14 @@ def text_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def process_cache(key: str, make):
+    """What ``make()`` built first in this Python worker: later tasks of the same process use it again."""
+    held = sys.modules.setdefault("_framewright_cache", types.ModuleType("_framewright_cache")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of the graph with an edge for each row (a, b), both bigint.
 

@@ -17,5 +17,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.nbsvm import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality}
 ORACLE_SQL: dict[str, str] = {}
