@@ -23,5 +23,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from framewright.llm.bpe import decode, encode, sha256
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return out.select("doc_id", "n_tokens", sha256("ids").alias("ids_sha256"), sha256("decoded").alias("decoded_sha256"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op8_bpe": op8_bpe}
 ORACLE_SQL: dict[str, str] = {}
