@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import process_cache, text_batches
 
-#: Words remembered in a worker, and characters of text taken to DuckDB at once.
-REMEMBER, AT_ONCE = 400_000, 12_000_000
+#: Words, and pieces of ids, remembered in a worker, and characters of text taken to DuckDB at once.
+REMEMBER, AT_ONCE = 400_000, 3_000_000
 
 _ENCODE = """
 with recursive t(k, tok, done) as (
@@ -45,7 +45,7 @@ with recursive t(k, tok, done) as (
 )
 select k >> 24 as w, list(tok order by k) as ids from t where done group by 1
 """
-_DECODE = "select d, list(b order by pos) as parts from ids join vocab using (id) group by d"
+_DECODE = "select d, string_agg(h, '' order by pos) as whole from ids join vocab using (id) group by d"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,12 +65,15 @@ class Coder:
         self.ranks = ranks = dict(zip(tokens, ids))
         self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.spaced = np.zeros(max(ids, default=0) + 1, bool)
+        self.spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.db = duckdb.connect()
-        self.db.execute("set threads = 1; set memory_limit = '400MB'")
+        self.db.execute("set threads = 1; set memory_limit = '300MB'")
         merges = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks] or np.zeros((0, 3)), np.int32)
         self.db.register("m", pa.table({"a": merges[:, 0], "b": merges[:, 1], "r": merges[:, 2]}))
         self.db.register("v", pa.table({"id": pa.array(ids, pa.int32()), "b": pa.array(tokens, pa.binary())}))
-        self.db.execute("create table merges as select * from m; create table vocab as select * from v")
+        self.db.execute("create table merges as select * from m; create table vocab as select id, hex(b) as h from v")
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.words]
@@ -104,15 +107,24 @@ class Coder:
         return [b"".join(map(self.words.__getitem__, w)) for w in cut]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
-        ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
-        size = np.array([len(p) // 4 for p in packed], np.int64)
-        self.db.register("ids", pa.table({"d": np.repeat(np.arange(len(packed), dtype=np.int32), size), "pos": np.arange(len(ids), dtype=np.int64), "id": ids}))
-        out = [b""] * len(packed)
-        rows = self.db.sql(_DECODE).to_arrow_table()
-        for d, parts in zip(rows["d"].to_pylist(), rows["parts"]):
-            out[d] = b"".join(parts.values.to_pylist())
-        self.db.unregister("ids")
-        return out
+        """The bytes of each id sequence; sequences are cut before tokens that begin with a space, and equal pieces are decoded once."""
+        if len(self.pieces) > REMEMBER:
+            self.pieces.clear()
+        cut = []
+        for p in packed:
+            at = (4 * np.flatnonzero(self.spaced[np.frombuffer(p, "<u4")])).tolist()
+            edges = [0, *at, len(p)] if not at or at[0] else [*at, len(p)]
+            cut.append([p[i:j] for i, j in zip(edges, edges[1:])])
+        new = [x for x in set().union(*cut) if x not in self.pieces]
+        if new:
+            ids = np.frombuffer(b"".join(new), "<u4").astype(np.int32)
+            size = np.array([len(x) // 4 for x in new])
+            piece = np.repeat(np.arange(len(new), dtype=np.int32), size)
+            self.db.register("ids", pa.table({"d": piece, "pos": np.arange(len(ids), dtype=np.int64), "id": ids}))
+            rows = self.db.sql(_DECODE).to_arrow_table()
+            self.pieces |= dict.fromkeys(new, b"") | {new[d]: bytes.fromhex(x) for d, x in zip(rows["d"].to_pylist(), rows["whole"].to_pylist())}
+            self.db.unregister("ids")
+        return [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
 
 
 def _coder(spark: SparkSession, path: str, pattern: str):
