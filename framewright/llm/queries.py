@@ -41,5 +41,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", sha256("ids").alias("ids_sha256"), sha256("decoded").alias("decoded_sha256"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op5_repeats": op5_repeats, "op8_bpe": op8_bpe}
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.decontam import contaminated
+
+    out = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.array_join("items", ",").alias("item_ids"), F.round("containment", 6).alias("containment"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op5_repeats": op5_repeats, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam}
 ORACLE_SQL: dict[str, str] = {}
