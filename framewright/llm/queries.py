@@ -31,6 +31,12 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.cells import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,5 +54,5 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.array_join("items", ",").alias("item_ids"), F.round("containment", 6).alias("containment"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op5_repeats": op5_repeats, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam}
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op5_repeats": op5_repeats, "op6_vectors": op6_vectors, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam}
 ORACLE_SQL: dict[str, str] = {}
