@@ -10,8 +10,9 @@ Every byte covered by a ``length``-byte string that also starts anywhere else in
    Burrows-Wheeler transform, and from it the runs with the text positions at both run ends. Only where a run begins
    does the match with the neighbouring suffix have to be measured; between such samples, the match
    at the next position is one shorter. Streaming over the text gives each position's longest match elsewhere.
-4. An anchor hash with more than ``GROUP`` contexts is dealt over several blocks by context hash. A block then also hands out
-   one copy of each of its windows' hashes, and windows that two blocks share are marked as well.
+4. An anchor hash with more than ``GROUP`` contexts is dealt over several blocks by context hash. Windows that no other
+   context of their block holds are then compared between blocks: first the bytes that 16 neighbouring windows
+   have in common, then, where these come again, those of 4, then single windows. Each count is combined before the shuffle.
 
 Texts are matched byte by byte inside a block; between copies of a context, and between blocks of one large
 group, two 64-bit hashes stand for the bytes.
@@ -177,30 +178,50 @@ def _spans(cover: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2])]
 
 
-_FOUND = "seed bigint, ctx bigint, spans array<struct<a:int,b:int>>, windows array<struct<h:bigint,at:int>>"
+_CORE = pa.struct([("c", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("open", pa.bool_())])
+_SPAN = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+_FOUND = "seed bigint, ctx bigint, spans array<struct<a:int,b:int>>, body binary, free array<struct<a:int,b:int>>, cores array<struct<c:int,h:bigint,at:int,open:boolean>>"
+#: Neighbouring windows compared as one, at each level.
+LEVELS = (16, 4, 1)
+
+
+def _cores(seed: int, body: bytes, free: np.ndarray, length: int, width: int, only: set[int] | None = None) -> list[dict]:
+    """For each class of ``width`` windows, by distance from the anchor, the hash of the bytes that all of them hold.
+
+    ``free`` tells which windows found no other copy in their block; ``only`` names the classes to look at."""
+    anchor = int(np.flatnonzero(_anchor_hashes(np.frombuffer(body, np.uint8)).view(np.int64) == seed)[0])
+    out = []
+    for c in range((anchor - len(free) + 1) // width, anchor // width + 1) if only is None else sorted(only):
+        begin = anchor - c * width
+        some = free[max(0, begin - width + 1) : begin + 1]
+        if begin >= 0 and len(some):
+            core = body[begin : begin - width + 1 + length]
+            out.append({"c": c, "h": xxhash.xxh3_64_intdigest(core) - 2**63, "at": begin, "open": bool(some.any())})
+    return out
 
 
 def _index_blocks(length: int):
-    schema = pa.schema([("seed", pa.int64()), ("ctx", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("windows", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))])
+    schema = pa.schema([("seed", pa.int64()), ("ctx", pa.int64()), ("spans", pa.list_(_SPAN)), ("body", pa.binary()), ("free", pa.list_(_SPAN)), ("cores", pa.list_(_CORE))])
 
     def block(rows):
         out = []
-        seen: set[tuple] = set()
-        rows = [r for r in rows if not (r["seed"], r["ctx"]) in seen and not seen.add((r["seed"], r["ctx"]))]
+        rows = list({(r["seed"], r["ctx"]): r for r in rows}.values())
         handed: set[tuple] = set()
         for r, (cover, again) in zip(rows, marked([r["body"] for r in rows], length)):
-            windows = []
+            one = {"seed": r["seed"], "ctx": r["ctx"], "spans": _spans(cover) if r["n"] == 1 else [], "body": None, "free": None, "cores": None}
             if r["dealt"]:
-                body = r["body"]
-                for at in range(len(body) - length + 1):
-                    h = xxhash.xxh3_64_intdigest(body[at : at + length]) - 2**63
-                    if not again[at]:
-                        windows.append({"h": h, "at": at})
-                    elif (r["seed"], h) not in handed:
-                        handed.add((r["seed"], h))
-                        windows.append({"h": h, "at": -1})
-            if windows or (r["n"] == 1 and cover.any()):
-                out.append({"seed": r["seed"], "ctx": r["ctx"], "spans": _spans(cover) if r["n"] == 1 else [], "windows": windows})
+                free = ~again[: len(r["body"]) - length + 1] if r["n"] == 1 else np.zeros(len(r["body"]) - length + 1, bool)
+                cores = _cores(r["seed"], r["body"], free, length, LEVELS[0])
+                fresh = np.zeros(len(free), bool)  # windows that stand for their copies in this block
+                for at in np.flatnonzero(~free).tolist():
+                    key = (r["seed"], xxhash.xxh3_64_intdigest(r["body"][at : at + length]))
+                    fresh[at] = key not in handed
+                    handed.add(key)
+                cores = [x for x in cores if x["open"] or fresh[max(0, x["at"] - LEVELS[0] + 1) : x["at"] + 1].any()]
+                if cores:
+                    one |= {"body": r["body"], "free": _spans(free), "cores": cores}
+            if one["spans"] or one["cores"]:
+                out.append(one)
         return pa.RecordBatch.from_pylist(out, schema=schema)
 
     def run(batches):
@@ -219,6 +240,32 @@ def _index_blocks(length: int):
     return run
 
 
+def _between_blocks(found: DataFrame, length: int) -> DataFrame:
+    """(seed, ctx, a, b): the windows that came again only in another block of their anchor hash."""
+    dealt = found.where("body is not null")
+    rows = dealt.select("seed", "ctx", F.explode("cores").alias("x")).select("seed", "ctx", "x.*")
+    for width in LEVELS[1:]:
+        shared = rows.groupBy("seed", "c", "h").agg(F.count("*").alias("m")).where("m > 1").select("seed", "c", "h")
+        hit = rows.join(shared, ["seed", "c", "h"]).groupBy("seed", "ctx").agg(F.collect_set("c").alias("classes"))
+
+        def finer(batches, width=width, ratio=LEVELS[LEVELS.index(width) - 1] // width):
+            for b in batches:
+                out = []
+                for r in b.to_pylist():
+                    free = np.zeros(len(r["body"]) - length + 1, bool)
+                    for x in r["free"]:
+                        free[x["a"] : x["b"]] = True
+                    only = {c * ratio + k for c in r["classes"] for k in range(ratio)}
+                    out.append(_cores(r["seed"], r["body"], free, length, width, only))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(_CORE))], ["seed", "ctx", "cores"])
+
+        asked = dealt.select("seed", "ctx", "body", "free").join(hit, ["seed", "ctx"])
+        rows = asked.mapInArrow(finer, "seed bigint, ctx bigint, cores array<struct<c:int,h:bigint,at:int,open:boolean>>")
+        rows = written(rows.select("seed", "ctx", F.explode("cores").alias("x")).select("seed", "ctx", "x.*"), "windows")
+    shared = rows.groupBy("seed", "c", "h").agg(F.count("*").alias("m")).where("m > 1").select("seed", "c", "h")
+    return rows.where("open").join(shared, ["seed", "c", "h"]).select("seed", "ctx", F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b")).alias("s"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, spans) for each text, by its key, that holds repeated passages; spans [a, b) in bytes may overlap. ``docs`` has k1, k2 and text."""
     if length < 2 * SEED:
@@ -247,9 +294,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = written(found, "matches")
     place = asked.where("n = 1").select("seed", "ctx", "k1", "k2", "start")
     near = found.where("size(spans) > 0").select("seed", "ctx", F.explode("spans").alias("s"))
-    windows = found.select("seed", "ctx", F.explode("windows").alias("w")).select("seed", "ctx", "w.*")
-    shared = windows.groupBy("seed", "h").agg(F.count("*").alias("c")).where("c > 1").select("seed", "h")
-    far = windows.where("at >= 0").join(shared, ["seed", "h"]).select("seed", "ctx", F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b")).alias("s"))
+    far = _between_blocks(found, length)
     part = near.unionByName(far).join(place, ["seed", "ctx"]).select("k1", "k2", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
     copies = each.join(groups.where("n > 1").select("seed", "ctx"), ["seed", "ctx"])
     whole = copies.select("k1", "k2", F.explode("starts").alias("a"), "size").select("k1", "k2", "a", (F.col("a") + F.col("size")).alias("b"))
@@ -257,7 +302,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with removed array<struct<a,b>> (maximal spans in bytes), n_bytes and kept, the bytes outside the spans."""
+    """``docs`` with removed array<struct<a,b>> (maximal spans in bytes), n_bytes, kept, the bytes outside the spans, and
+    kept_text, those bytes as text without characters that a span cuts in two."""
     text_batches(docs.sparkSession)
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
     spans = repeated_spans(keyed.select("k1", "k2", F.coalesce("text", F.lit("")).alias("text")), length)
@@ -268,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(batches):
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for b in batches:
-            removed, sizes, kept = [], [], []
+            removed, sizes, kept, texts = [], [], [], []
             for t, s in zip(b.column(at), b.column(len(names))):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 cover = np.zeros(len(raw), bool)
@@ -279,7 +325,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 sizes.append(len(raw))
                 edges = [0, *(e for x in out for e in (x["a"], x["b"])), len(raw)]
                 kept.append(b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(removed, kind), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary())], [*names, "removed", "n_bytes", "kept"])
+                texts.append(kept[-1].decode("utf-8", "ignore") if out else t.as_py())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(removed, kind), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], [*names, "removed", "n_bytes", "kept", "kept_text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed array<struct<a:int,b:int>>, n_bytes bigint, kept binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed array<struct<a:int,b:int>>, n_bytes bigint, kept binary, kept_text string"
     return both.mapInArrow(cut, schema)
