@@ -156,11 +156,19 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     seen = {q: int((y == 2 * q - 1).sum()) for q in (0, 1)}
     w = dual_coordinate_descent(rows, y, scale, np.full(len(y), COST), EPOCHS)
     weights = np.append(w[:-1] * scale, w[-1])
-    margin = np.array([weights[r].sum() + weights[-1] for r in rows])
+    margin = np.array([weights[r].sum() for r in rows]) + weights[-1]
     a, b = logistic(margin, y, np.where(y > 0, total[1] / seen[1], total[0] / seen[0]))
     return weights, a, b
 
 
+def _scores(model, feats: list[list[int]]) -> np.ndarray:
+    if model is None:
+        return np.full(len(feats), 0.5)
+    weights, slope, offset = model
+    margin = np.array([weights[f].sum() for f in feats]) + weights[-1]
+    return 1 / (1 + np.exp(-np.clip(slope * margin + offset, -700, 700)))
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs``."""
     feats = written(features(docs), "features")
@@ -168,16 +176,20 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     def run(batches):
         for b in batches:
-            if model is None:
-                out = np.full(b.num_rows, 0.5)
-            else:
-                weights, slope, offset = model
-                col = b.column(1)
-                ends = col.offsets.to_numpy()
-                sums = np.concatenate([[0.0], np.cumsum(weights[col.values.to_numpy()])])
-                margin = sums[ends[1:]] - sums[ends[:-1]] + weights[-1]
-                out = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -700, 700)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model, b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     scored = feats.select("doc_id", "feats").mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``KEEP``; they are scored where they are read, without a shuffle."""
+    model = fit(features(docs), labels, sample)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        of = Features()
+        for b in batches:
+            yield b.filter(pa.array(_scores(model, [of(t.as_py()) for t in b.column(at)]) >= KEEP))
+
+    return docs.mapInArrow(run, docs.schema)

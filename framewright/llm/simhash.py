@@ -74,14 +74,20 @@ def fingerprint(text: str | None, words: int, wide: bool) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int, wide: bool = False) -> DataFrame:
-    """(doc_id, fp array<bigint>) of each row; reads doc_id and text only."""
+    """(doc_id, row, fp array<bigint>) of each row, row the text's hash; reads doc_id and text only."""
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t.as_py(), words, wide).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), words, wide).view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp array<bigint>")
+    source = docs.select(F.col("doc_id").cast("bigint"), row_hash().alias("row"), F.col("text").cast("string"))
+    return source.mapInArrow(run, "doc_id bigint, row bigint, fp array<bigint>")
+
+
+def row_hash():
+    """A text's hash: with doc_id the key of a row."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _wide_keys(nodes: DataFrame) -> DataFrame:
@@ -133,7 +139,8 @@ def links(nodes: DataFrame, max_distance: int, wide: bool) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_distance: int | None = None) -> DataFrame:
-    """One row for each row of ``docs``: (doc_id, fp array<bigint>, component_id), component_id the smallest doc_id of its group.
+    """One row for each row of ``docs``: (doc_id, row, fp array<bigint>, component_id, component), component_id the
+    smallest doc_id of its group, component the group's own number, row the text's hash.
 
     With ``max_distance`` (0 to 2) 64-bit fingerprints link exactly at that distance. Without, 256-bit
     fingerprints link where their distance stands for the Jaccard ``similarity`` or more.
@@ -147,5 +154,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     part = components(found, "a", "b")
     of = nodes.join(part, "node", "left").select("fp", "low", F.coalesce("component", "node").alias("component"))
     lows = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = of.join(lows, "component").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = of.join(lows, "component").select("fp", "component_id", "component")
+    return fps.join(of, "fp").select("doc_id", "row", "fp", "component_id", "component")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that of the smallest doc_id (a null one only if there is no other)."""
+    last = F.lit(2**63 - 1)
+    groups = near_duplicates(docs, words, similarity)
+    first = groups.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_k1"), F.col("row").alias("_k2"))).alias("one"))
+    keyed = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("bigint"), last), "_k2": row_hash()})
+    kept = keyed.join(first.select("one.*").distinct(), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return kept.select(*docs.columns)
