@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import components, written
+from framewright.llm.common import components, text_batches, written
 
 COSINE = 0.93
 #: Vectors a label that the k-means sees, nodes a cell should hold, nodes of a block, most cells a label, rounds.
@@ -142,6 +142,7 @@ def _products(cosine: float):
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of ``vectors`` (vec_id, embedding, label)."""
+    text_batches(vectors.sparkSession, 4000)
     v = F.col("embedding").cast("array<double>")
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & ~odd & F.exists("v", lambda x: x != 0), F.lit(False))

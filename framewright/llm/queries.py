@@ -54,5 +54,16 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.array_join("items", ",").alias("item_ids"), F.round("containment", 6).alias("containment"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op5_repeats": op5_repeats, "op6_vectors": op6_vectors, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam}
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from framewright.llm import sstable
+
+    directory = sstable.new_directory(spark)
+    manifest = sstable.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, directory)
+    out = sstable.read(spark, directory, manifest)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op5_repeats": op5_repeats, "op6_vectors": op6_vectors, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_shards": op10_shards}
 ORACLE_SQL: dict[str, str] = {}
