@@ -37,6 +37,12 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.consensus import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,5 +71,5 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op5_repeats": op5_repeats, "op6_vectors": op6_vectors, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_shards": op10_shards}
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op5_repeats": op5_repeats, "op6_vectors": op6_vectors, "op7_text": op7_text, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_shards": op10_shards}
 ORACLE_SQL: dict[str, str] = {}
