@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.llm import linkrank, warc
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,6 +19,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.linkrank import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.warc import crawl, resolve
+
+    out = resolve(crawl(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return out.select(F.col("record_id").alias("page_id"), "canonical", "response_id", "status", headers.alias("headers"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm.nbsvm import score
 
@@ -71,5 +87,5 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op5_repeats": op5_repeats, "op6_vectors": op6_vectors, "op7_text": op7_text, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_shards": op10_shards}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op2_hosts": op2_hosts, "op3_quality": op3_quality, "op4_revisits": op4_revisits, "op5_repeats": op5_repeats, "op6_vectors": op6_vectors, "op7_text": op7_text, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_shards": op10_shards}
+ORACLE_SQL: dict[str, str] = {"op2_hosts": linkrank.oracle_sql(), "op4_revisits": warc.ORACLE}
