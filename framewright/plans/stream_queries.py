@@ -347,3 +347,23 @@ def redis_json(spark, sf):
 def event_ids(spark, sf):
     event = F.concat_ws(":", "stream_id", F.col("frame_seq").cast("string"))
     return frames(spark, sf).select(event.alias("event_id"), F.concat(event, F.lit("#tile"), (F.col("frame_seq") + 1).cast("string")).alias("tile_id"))
+
+
+@query("bytetrack")
+def bytetrack(spark, sf):
+    """Track numbers of detections: orders as frames of 16 streams."""
+    from framewright.operators.tracking import track
+    from framewright.plans.fixtures import detections
+
+    d = detections(spark, sf).select((F.col("frame_id") % 16).alias("stream_id"), F.col("frame_id").alias("frame_seq"), "idx", "conf", "x1", "y1", "x2", "y2")
+    return track(d)
+
+
+@query("pipeline_graph", WITH_FRAMES + "select stream_id as key, '{\"stream_id\":\"' || stream_id || '\",\"frame_seq\":' || frame_seq || case when frame_seq % 4 = 0 then ',\"frame_url\":\"http://a/' || stream_id || '/' || frame_seq || '\"}' else '}' end as value from frames where frame_seq % 2 = 0 and stream_id in ('cam_01', 'cam_02')")
+def pipeline_graph(spark, sf):
+    """A declared pipeline: source, sample, stream filter, archive, publish."""
+    from framewright.plans.dag import compile_pipeline
+
+    stage = lambda i, t, **w: {"id": i, "type": t, "with": w}
+    spec = {"nodes": [stage("in", "source.file"), stage("every", "sample.count", interval="2"), stage("two", "filter.streams", ids="cam_01, cam_02"), stage("keep", "archive.raw", base_url="http://a/", save_interval="4"), stage("out", "sink.publish")], "edges": [{"from": a, "to": b} for a, b in (("in", "every"), ("every", "two"), ("two", "keep"), ("keep", "out"))]}
+    return compile_pipeline(spec, {"in": frames(spark, sf).select("stream_id", "frame_seq")})["out"]
