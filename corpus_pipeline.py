@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    out = bpe.encode(docs, path, pattern, decoded=True)
     return out.select("doc_id", "n_tokens", "ids", F.col("decoded").cast("string").alias("decoded"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import process_cache, text_batches
 
 #: Words, and pieces of ids, remembered in a worker, and characters of text taken to DuckDB at once.
-REMEMBER, AT_ONCE = 400_000, 3_000_000
+REMEMBER, AT_ONCE = 400_000, 4_000_000
 
 _ENCODE = """
 with recursive t(k, tok, done) as (
@@ -148,8 +148,8 @@ def _grouped(batches, size):
         yield held
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each row: ids are little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids) of each row: ids are little-endian unsigned 32-bit integers; with ``decoded`` also the bytes they decode to."""
     text_batches(docs.sparkSession)
     coder = _coder(docs.sparkSession, path, pattern)
 
@@ -159,9 +159,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [t.as_py() or "" for b in group for t in b.column(1)]
             packed = c.encode(texts)
             doc_id = pa.concat_arrays([b.column(0) for b in group])
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            out = {"doc_id": doc_id, "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()), "ids": pa.array(packed, pa.binary())}
+            yield pa.RecordBatch.from_pydict(out | ({"decoded": pa.array(c.decode(packed), pa.binary())} if decoded else {}))
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    schema = "doc_id bigint, n_tokens bigint, ids binary" + ", decoded binary" * decoded
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +54,21 @@ def text_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def process_cache(key: str, make):
-    """What ``make()`` built first in this Python worker: later tasks of the same process use it again."""
+    """What ``make()`` built first in this Python worker: later tasks of the same process use it again.
+
+    One value is held at a time: another key drops it, so that a worker never keeps two operators' tables."""
     held = sys.modules.setdefault("_framewright_cache", types.ModuleType("_framewright_cache")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if held.get("key") != key:
+        held |= {"key": key, "value": None}
+        held["value"] = make()
+    return held["value"]
+
+
+def fresh_worker() -> None:
+    """Give back what an earlier operator's tasks held in this Python worker."""
+    process_cache("", lambda: None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import text_batches, written
+from framewright.llm.common import fresh_worker, text_batches, written
 
 SPACE = 1 << 18
 SAMPLE = 20_000
@@ -50,7 +50,7 @@ def _shape(word: str) -> str:
 class Features:
     """Hashed features of texts; remembers the shapes and slots it has seen, up to a bound."""
 
-    def __init__(self, bound: int = 200_000):
+    def __init__(self, bound: int = 50_000):
         self.shapes: dict[str, str] = {}
         self.slots: dict[tuple, int] = {}
         self.bound = bound
@@ -87,6 +87,7 @@ def features(docs: DataFrame) -> DataFrame:
     text_batches(docs.sparkSession)
 
     def run(batches):
+        fresh_worker()
         of = Features()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))], ["doc_id", "feats"])
@@ -188,6 +189,7 @@ def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        fresh_worker()
         of = Features()
         for b in batches:
             yield b.filter(pa.array(_scores(model, [of(t.as_py()) for t in b.column(at)]) >= KEEP))

@@ -62,10 +62,10 @@ def op7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from framewright.llm.bpe import decode, encode, sha256
+    from framewright.llm.bpe import encode, sha256
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    out = encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return out.select("doc_id", "n_tokens", sha256("ids").alias("ids_sha256"), sha256("decoded").alias("decoded_sha256"))
 
 

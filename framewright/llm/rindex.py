@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import text_batches, written
+from framewright.llm.common import fresh_worker, text_batches, written
 
 LENGTH, SEED = 400, 128
 #: Contexts of an anchor hash in one block, and bytes indexed at once.
@@ -225,6 +225,7 @@ def _index_blocks(length: int):
         return pa.RecordBatch.from_pylist(out, schema=schema)
 
     def run(batches):
+        fresh_worker()
         rows, total, part = [], 0, None
         for b in batches:
             for r in b.to_pylist():
@@ -272,6 +273,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be {2 * SEED} or more")
 
     def cut(batches):
+        fresh_worker()
         kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
         for b in batches:
             got = list(zip(*[anchors((t.as_py() or "").encode("utf-8", "surrogatepass"), length) for t in b.column(2)])) or [[]] * 4
@@ -312,6 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     at = names.index("text")
 
     def cut(batches):
+        fresh_worker()
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for b in batches:
             removed, sizes, kept, texts = [], [], [], []

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import components, text_batches, written
+from framewright.llm.common import components, fresh_worker, text_batches, written
 
 BUCKET = 64
 WORDS, SIMILARITY = 5, 0.8
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, words: int, wide: bool = False) -> DataFrame:
     """(doc_id, row, fp array<bigint>) of each row, row the text's hash; reads doc_id and text only."""
 
     def run(batches):
+        fresh_worker()
         for b in batches:
             fps = [fingerprint(t.as_py(), words, wide).view(np.int64) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "row", "fp"])

@@ -33,7 +33,7 @@ from framewright.llm.common import new_path, process_cache, text_batches
 
 BLOCK, BITS, HASHES, MAGIC = 1 << 16, 10, 7, b"FWSSTAB1"
 FOOTER = "<6QBI8s"
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -163,6 +163,9 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.cut = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
         self.words: dict[str, bytes] = {}
+        # words are encoded many at once, parted by a control character that no word holds and that is one token
+        mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
@@ -170,7 +173,15 @@ class WordCoder:
             self.words.clear()
         cut = [self.cut(t) for t in texts]
         new = [w for w in set().union(*cut) if w not in self.words]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        plain = [w for w in new if self.mark is not None and "\x01" not in w]
+        runs = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" \x01 ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at, raw = np.flatnonzero(ids == self.mark).tolist(), ids.tobytes()
+            for w, a, b in zip(run, [0, *(x + 1 for x in at)], [*at, len(ids)]):
+                self.words[w] = raw[4 * a : 4 * b]
+        rest = [w for w in new if w not in self.words]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.words[w] = np.array(e.ids, "<u4").tobytes()
         last = np.uint32(end).tobytes()
         return [np.frombuffer(b"".join(map(self.words.__getitem__, w)) + last, "<u4") for w in cut]
@@ -185,7 +196,7 @@ def _files(uri: str):
 def write(docs: DataFrame, model_path: str, end: int, directory: str) -> list[dict]:
     """Write the shards of ``docs`` to ``directory``, a folder that executors reach too; returns the manifest, one entry a shard."""
     spark = docs.sparkSession
-    text_batches(spark, 200)
+    text_batches(spark, 500)
     with open(model_path, encoding="utf-8") as f:
         model = spark.sparkContext.broadcast(f.read())
     sink, root = _files(directory)
@@ -236,13 +247,14 @@ def read(spark: SparkSession, directory: str, manifest: list[dict]) -> DataFrame
             for path, content in zip(b.column(0), b.column(1)):
                 whole = memoryview(content.as_buffer())
                 base = starts[int(re.search(r"shard-(\d+)\.sst$", path.as_py())[1])]
-                rows = []
+                rows = [[], [], [], []]
                 for key, before, ids in Shard(lambda at, size: bytes(whole[at : at + size]), len(whole)):
-                    rows.append({"doc_id": id_of(key), "start": base + before, "n_tokens": len(ids), "ids": ids.astype("<u4").tobytes()})
-                    if len(rows) >= 500:
-                        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                    for column, x in zip(rows, (id_of(key), base + before, len(ids), ids.astype("<u4").tobytes())):
+                        column.append(x)
+                    if len(rows[0]) >= 500:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(rows, kinds)], schema=kinds)
+                        rows = [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(rows, kinds)], schema=kinds)
 
     kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     text_batches(spark, 1)
