@@ -34,6 +34,7 @@ from framewright.llm.common import new_path, process_cache, text_batches
 BLOCK, BITS, HASHES, MAGIC = 1 << 16, 10, 7, b"FWSSTAB1"
 FOOTER = "<6QBI8s"
 REMEMBER = 1_000_000
+_TAIL = ".,;:!?*%#$&"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -154,8 +155,20 @@ class Shard:
         return out
 
 
+def _parts(word: str) -> tuple[str, ...]:
+    """Letters, lower-cased where that is plain ASCII, and the punctuation behind them; any other word stays whole."""
+    core = word.rstrip(_TAIL)
+    if not core.isalpha():
+        return (word,)
+    own = core.lower() if core.isascii() else core
+    return (own, word[len(core) :]) if len(core) < len(word) else (own,)
+
+
 class WordCoder:
-    """The tokenizers library behind a memory of the words met: the pre-tokenizer never joins what ASCII white space parts."""
+    """The tokenizers library behind a memory of the words met: the pre-tokenizer never joins what ASCII white space parts.
+
+    It also always parts letters from the punctuation behind them, and the normaliser lower-cases, so that words which
+    differ only in that share the ids of their parts."""
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -172,7 +185,8 @@ class WordCoder:
         if len(self.words) > REMEMBER:
             self.words.clear()
         cut = [self.cut(t) for t in texts]
-        new = [w for w in set().union(*cut) if w not in self.words]
+        parts = {w: _parts(w) for w in set().union(*cut) if w not in self.words}
+        new = [p for p in set().union(*parts.values()) if p not in self.words]
         plain = [w for w in new if self.mark is not None and "\x01" not in w]
         runs = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         for run, e in zip(runs, self.tokenizer.encode_batch_fast([" \x01 ".join(r) for r in runs], add_special_tokens=False)):
@@ -183,6 +197,9 @@ class WordCoder:
         rest = [w for w in new if w not in self.words]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.words[w] = np.array(e.ids, "<u4").tobytes()
+        for w, p in parts.items():
+            if p != (w,):
+                self.words[w] = b"".join(map(self.words.__getitem__, p))
         last = np.uint32(end).tobytes()
         return [np.frombuffer(b"".join(map(self.words.__getitem__, w)) + last, "<u4") for w in cut]
 
