@@ -1,17 +1,18 @@
-"""SimHash near-duplicates: pigeonhole blocks of the fingerprint, a join on blocks, a Hamming check.
+"""Near-duplicates: SimHash blocks at a Hamming distance, or min-hash bands and the true Jaccard similarity of word shingles.
 
-Texts become word shingles; a fingerprint bit is 1 if it is set in over half of the shingles' hashes.
-Equal fingerprints are one node. Blocks are chosen so that close fingerprints share one; nodes that
-share a block are joined and their Hamming distance is checked.
-
-Blocks with more than ``BUCKET`` nodes are never paired. In exact mode (64 bits, distance 2 or
-less) their nodes meet on one-bit neighbours instead: two fingerprints differ in at most two
+Exact mode (``max_distance`` 0 to 2): texts become word shingles; a bit of the 64-bit fingerprint is 1 if it is set in over half of the shingles'
+hashes. Equal fingerprints are one node. Nodes that share a pigeonhole block are joined and their Hamming distance is checked.
+Blocks with more than ``BUCKET`` nodes are not paired: their nodes meet on one-bit neighbours instead. Two fingerprints differ in at most two
 bits if and only if some value is within one bit of both, and at most 33 nodes share such a value.
-In wide mode each node of a large block is checked against the block's smallest and largest node; it has
-48 blocks, so a node of a large group meets many such pivots.
 
-Defined results: null text is an empty text; a text with fewer words than a shingle is one shingle, a text without words has
-fingerprint zero and links like any other; repeated rows are separate rows of one group; a null
+Wide mode (a similarity): equal shingle sets are one node. A node has ``HASHES`` min-hashes; ``BANDS`` bands of ``ROWS`` of them are its blocks, and one bit
+of each is its sketch. Two sets at Jaccard similarity s share no block with probability (1 - s**ROWS)**BANDS, 1.3e-7 at 0.8 and less
+above; the sketch only drops candidates more than eight standard deviations off. Every node is first checked against the smallest and
+largest node of its blocks. Then, in each block whose nodes are not yet one component, all pairs of different components are checked,
+large blocks part by part, so no pair of a block is left out unless its nodes are linked already. A link is a shingle similarity of at least the given one.
+
+Defined results: null text is an empty text; a text with fewer words than a shingle is one shingle; texts without words are
+one group (in exact mode with fingerprint zero, which links like any other); repeated rows are separate rows of one group; a null
 doc_id is kept and never chosen as a group's smallest; other columns are ignored.
 """
 
@@ -25,20 +26,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import components, fresh_worker, text_batches, written
+from framewright.llm.common import components, drop_written, fresh_worker, text_batches, written
 
 BUCKET = 64
 WORDS, SIMILARITY = 5, 0.8
 #: Exact mode: four blocks of 16 bits; fingerprints at distance 2 or less agree on at least two of them.
 PAIRS = list(combinations(range(4), 2))
-#: Wide mode: 256 bits in layouts, each a fixed shuffle of the bits cut into 12 blocks of 21 bits.
-LAYOUTS, BLOCKS, BLOCK_BITS = 4, 12, 21
-_ORDER = np.concatenate([np.random.default_rng(7 + i).permutation(256)[: BLOCKS * BLOCK_BITS] for i in range(LAYOUTS)])
+#: Wide mode: min-hashes, bands of rows, and the factor and offset of each min-hash.
+HASHES, BANDS, ROWS = 256, 40, 5
+_FACTORS, _OFFSETS = np.random.default_rng(7).integers(0, 2**64, (2, HASHES), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
-def wide_distance(similarity: float) -> int:
-    """Bits of 256 expected to differ at this Jaccard similarity, plus a margin of one bit."""
-    return int(256 * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + 2
+def sketch_distance(similarity: float) -> int:
+    """Bits of a sketch that differ at most at this similarity: the expected ones and eight standard deviations."""
+    p = (1 - similarity) / 2
+    return int(HASHES * p + 8 * (HASHES * p * (1 - p)) ** 0.5) + 1
 
 
 def _hashes(text: str | None, words: int) -> np.ndarray:
@@ -58,28 +60,43 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return total
 
 
-def _mix(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th further hash of a shingle, by multiply and shift."""
-    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's set of shingles, sorted."""
+    return np.unique(_hashes(text, words))
+
+
+def min_hashes(h: np.ndarray) -> np.ndarray:
+    low = np.full(HASHES, 2**64 - 1, np.uint64)
+    for i in range(0, len(h), 512):
+        np.minimum(low, (h[i : i + 512, None] * _FACTORS + _OFFSETS).min(axis=0), out=low)
+    return low
+
+
+def sketch(low: np.ndarray) -> np.ndarray:
+    """One bit of each min-hash, as 64-bit words."""
+    return np.packbits((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63) == 1, bitorder="little").view(np.uint64)
+
+
+def bands(low: np.ndarray) -> list[int]:
+    """A 64-bit key of each band."""
+    return np.array([xxhash.xxh64_intdigest(low[ROWS * i : ROWS * (i + 1)].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
 def fingerprint(text: str | None, words: int, wide: bool) -> np.ndarray:
-    """The fingerprint's 64-bit words."""
+    """The fingerprint's 64-bit words; in wide mode the sketch's."""
+    if wide:
+        return sketch(min_hashes(shingles(text, words)))
     h = _hashes(text, words)
-    counts = np.concatenate([_bits(h)] + [_bits(_mix(h, k)) for k in (1, 2, 3)] * wide)
-    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
+    return np.packbits(_bits(h) * 2 > len(h), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int, wide: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, row, fp array<bigint>) of each row, row the text's hash; reads doc_id and text only."""
 
     def run(batches):
         fresh_worker()
         for b in batches:
-            fps = [fingerprint(t.as_py(), words, wide).view(np.int64) for t in b.column(2)]
+            fps = [fingerprint(t.as_py(), words, False).view(np.int64) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "row", "fp"])
 
     source = docs.select(F.col("doc_id").cast("bigint"), row_hash().alias("row"), F.col("text").cast("string"))
@@ -91,16 +108,35 @@ def row_hash():
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _wide_keys(nodes: DataFrame) -> DataFrame:
+def set_keys(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, row, node, fp array<bigint>, keys array<bigint>) of each row: node the shingle set's hash, fp its sketch, keys its bands."""
+
     def run(batches):
-        weights = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
-        table = np.arange(LAYOUTS * BLOCKS, dtype=np.int64) << 32
+        fresh_worker()
         for b in batches:
-            bits = np.unpackbits(np.stack([np.array(x.as_py(), np.int64).view(np.uint8) for x in b.column(1)]), axis=1, bitorder="little") if b.num_rows else np.zeros((0, 256), np.uint8)
-            keys = bits[:, _ORDER].reshape(len(bits), LAYOUTS * BLOCKS, BLOCK_BITS) @ weights + table
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "fp", "keys"])
+            nodes, fps, keys = [], [], []
+            for t in b.column(2):
+                h = shingles(t.as_py(), words)
+                low = min_hashes(h)
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
+                fps.append(sketch(low).view(np.int64))
+                keys.append(bands(low) if len(h) else [])
+            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "node", "fp", "keys"])
+
+    source = docs.select(F.col("doc_id").cast("bigint"), row_hash().alias("row"), F.col("text").cast("string"))
+    return source.mapInArrow(run, "doc_id bigint, row bigint, node bigint, fp array<bigint>, keys array<bigint>")
 
-    return nodes.mapInArrow(run, "node bigint, fp array<bigint>, keys array<bigint>")
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, items array<bigint>): the shingle set of each row (node, text)."""
+
+    def run(batches):
+        fresh_worker()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "items"])
+
+    return texts.mapInArrow(run, "node bigint, items array<bigint>")
 
 
 def _exact_keys(nodes: DataFrame) -> DataFrame:
@@ -113,50 +149,85 @@ def _distance(words: int):
     return sum((F.bit_count(F.col("a.fp")[i].bitwiseXOR(F.col("b.fp")[i])) for i in range(words)), F.lit(0))
 
 
-def links(nodes: DataFrame, max_distance: int, wide: bool) -> DataFrame:
+def links(nodes: DataFrame, max_distance: int) -> DataFrame:
     """Edges (a, b) between nodes (node bigint, fp) at ``max_distance`` or less; nodes have distinct fingerprints.
 
-    Exact mode finds edges that give the same components as all such pairs would."""
-    if not wide and max_distance > 2:
+    Finds edges that give the same components as all such pairs would."""
+    if max_distance > 2:
         raise ValueError("the exact mode links at 2 bits or fewer")
-    words = 4 if wide else 1
-    rows = (_wide_keys if wide else _exact_keys)(nodes).select("node", "fp", F.explode("keys").alias("key"))
-    rows = written(rows, "blocks")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    rows = rows.join(sizes, "key")
+    rows = written(_exact_keys(nodes).select("node", "fp", F.explode("keys").alias("key")), "blocks")
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     few, many = rows.where(F.col("n") <= BUCKET), rows.where(F.col("n") > BUCKET)
-    near = _distance(words) <= max_distance
+    near = _distance(1) <= max_distance
     found = few.alias("a").join(few.alias("b"), "key").where(F.col("a.node") < F.col("b.node")).where(near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    if wide:
-        own = many.select("node", "fp", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot").distinct()
-        rest = own.alias("a").join(nodes.alias("b"), F.col("a.pivot") == F.col("b.node")).where(near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    else:
-        free = [[1 << b if b < 63 else -(1 << 63) for k in range(4) if k not in p for b in range(16 * k, 16 * k + 16)] for p in PAIRS]
-        masks = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in [0, *x]]) for x in free])
-        flips = many.select("node", "fp", F.explode(F.element_at(masks, F.shiftright("key", 32).cast("int") + 1)).alias("m")).select("node", F.col("fp")[0].bitwiseXOR(F.col("m")).alias("value")).distinct()
-        met = flips.groupBy("value").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)  # at most 65 within one bit
-        rest = met.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a <> b")
+    free = [[1 << b if b < 63 else -(1 << 63) for k in range(4) if k not in p for b in range(16 * k, 16 * k + 16)] for p in PAIRS]
+    masks = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in [0, *x]]) for x in free])
+    flips = many.select("node", "fp", F.explode(F.element_at(masks, F.shiftright("key", 32).cast("int") + 1)).alias("m")).select("node", F.col("fp")[0].bitwiseXOR(F.col("m")).alias("value")).distinct()
+    met = flips.groupBy("value").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)  # at most 65 within one bit
+    rest = met.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a <> b")
     return found.unionByName(rest).distinct()
 
 
+def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets' Jaccard similarity is ``similarity`` or more."""
+    pairs = written(pairs, "pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = nodes.join(used, "node", "left_semi").select("node", "row")
+    texts = docs.select(row_hash().alias("row"), F.col("text").cast("string").alias("text")).join(rows, "row").select("node", "text").dropDuplicates(["node"])
+    sets = written(_sets(texts, words), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "alike")
+    drop_written(sets)
+    return alike
+
+
+def similar(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between nodes (node bigint, row, fp, keys) that give the components of all pairs at ``similarity`` or more that share a block."""
+    every = written(nodes.select("node", "fp", F.explode("keys").alias("key")), "blocks")
+    ends = F.struct("node", "fp")
+    sizes = every.groupBy("key").agg(F.count("*").alias("n"), F.min(ends).alias("low"), F.max(ends).alias("high")).where("n > 1")
+    rows = written(every.join(sizes, "key"), "shared")
+    near = _distance(4) <= sketch_distance(similarity)
+    star = rows.select(F.struct("node", "fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a.node <> b.node").where(near)
+    star = star.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    first = _alike(star, docs, nodes, words, similarity)
+    part = components(first, "a", "b")
+    rows = rows.select("key", "n", "node", "fp").join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    rows = written(rows, "parted")
+    mixed = rows.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
+    # parts of about BUCKET nodes: each meets itself and every other one, the lower as the left side
+    cut = F.ceil(F.col("n") / BUCKET).cast("int")
+    rows = rows.join(mixed, "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("node", "key"), cut).cast("int"))
+    left = rows.select("key", "node", "fp", "part", F.col("own").alias("i"), F.explode(F.sequence("own", cut - 1)).alias("j"))
+    right = rows.select("key", "node", "fp", "part", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
+    met = left.alias("a").join(right.alias("b"), ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a.node") < F.col("b.node")))
+    met = met.where(F.col("a.part") != F.col("b.part")).where(near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    return first.unionByName(_alike(met.distinct().join(star, ["a", "b"], "left_anti"), docs, nodes, words, similarity))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_distance: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: (doc_id, row, fp array<bigint>, component_id, component), component_id the
     smallest doc_id of its group, component the group's own number, row the text's hash.
 
-    With ``max_distance`` (0 to 2) 64-bit fingerprints link exactly at that distance. Without, 256-bit
-    fingerprints link where their distance stands for the Jaccard ``similarity`` or more.
+    With ``max_distance`` (0 to 2) 64-bit fingerprints link exactly at that distance. Without, texts link where the Jaccard
+    similarity of their shingle sets is ``similarity`` or more.
     """
     wide = max_distance is None
     text_batches(docs.sparkSession)
-    fps = written(fingerprints(docs, words, wide), "fingerprints")
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    nodes = written(groups.select((F.col("fp")[0] if not wide else F.xxhash64("fp")).alias("node"), "fp", "low"), "nodes")
-    found = links(nodes.select("node", "fp"), wide_distance(similarity) if wide else max_distance, wide)
+    if wide:
+        fps = written(set_keys(docs, words), "fingerprints")
+        nodes = written(fps.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+        found = similar(nodes, docs, words, similarity)
+    else:
+        fps = written(fingerprints(docs, words).withColumn("node", F.col("fp")[0]), "fingerprints")
+        nodes = written(fps.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp")), "nodes")
+        found = links(nodes.select("node", "fp"), max_distance)
     part = components(found, "a", "b")
-    of = nodes.join(part, "node", "left").select("fp", "low", F.coalesce("component", "node").alias("component"))
+    of = nodes.join(part, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lows = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = of.join(lows, "component").select("fp", "component_id", "component")
-    return fps.join(of, "fp").select("doc_id", "row", "fp", "component_id", "component")
+    of = of.join(lows, "component").select("node", "component_id", "component")
+    return fps.join(of, "node").select("doc_id", "row", "fp", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
