@@ -2,7 +2,7 @@
 
 import random
 
-from framewright.llm import simhash
+from framewright.llm import decontam, simhash
 
 DOCS = "doc_id bigint, text string"
 
@@ -44,3 +44,17 @@ def test_pairs_near_the_similarity(spark):
     want = groups(rows)
     assert 30 < sum(want[i] != i for i in want) < 115
     assert found(spark, rows) == want
+
+
+def held(spark, rows, items):
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    return {r.doc_id: r["items"] for r in decontam.contaminated(spark.createDataFrame(rows, DOCS), bench).collect()}
+
+
+def test_names_that_begin_a_sentence(spark):
+    item = "Natalia sold 48 clips to her friends in April. Natalia then sold half as many clips in May. How many clips did Natalia sell in all?"
+    other = "Then we met Tom at the old mill. Then we saw the long grey road with Tom and went home."
+    robert = item.replace("Natalia", "Robert").replace("48", "62")
+    rows = [(1, robert), (2, "So here is one. " + robert + " No answer."), (3, robert.replace("did Robert", "did Susan")), (4, other.replace("Then we met", "Now we met")), (5, other.replace("Tom", "Bill")), (6, "Robert went to the sea in May. Nobody sold clips.")]
+    got = held(spark, rows, [(1, item), (2, other)])
+    assert got == {1: [1], 2: [1], 3: [], 4: [2], 5: [2], 6: []}
