@@ -58,3 +58,9 @@ def test_names_that_begin_a_sentence(spark):
     rows = [(1, robert), (2, "So here is one. " + robert + " No answer."), (3, robert.replace("did Robert", "did Susan")), (4, other.replace("Then we met", "Now we met")), (5, other.replace("Tom", "Bill")), (6, "Robert went to the sea in May. Nobody sold clips.")]
     got = held(spark, rows, [(1, item), (2, other)])
     assert got == {1: [1], 2: [1], 3: [], 4: [2], 5: [2], 6: []}
+
+
+def test_items_without_telling_windows(spark):
+    items = [(1, "What is 12 + 34?"), (2, "Add 3 and Bob"), (3, "1 2 3 4 5 6 7 8 Anna 9 10"), (4, "the first text of this item has these words"), (4, "a second wording that shares nothing with it at all"), (5, " ... "), (6, None)]
+    rows = [(1, "He asked: what is 12 + 34? Nobody knew."), (2, "what is 12 + 35?"), (3, "Please add 3 and bob, then rest"), (4, "so 1 2 3 4 5 6 7 8 anna 9 10 it is"), (5, "1 2 3 4 5 6 7 8 anna 9 11"), (6, "x the first text of this item has these words y"), (7, "x a second wording that shares nothing with it at all y"), (8, None)]
+    assert held(spark, rows, items) == {1: [1], 2: [], 3: [2], 4: [3], 5: [], 6: [4], 7: [4], 8: []}
