@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from framewright.llm import decontam, simhash
 
 DOCS = "doc_id bigint, text string"
@@ -64,3 +66,26 @@ def test_items_without_telling_windows(spark):
     items = [(1, "What is 12 + 34?"), (2, "Add 3 and Bob"), (3, "1 2 3 4 5 6 7 8 Anna 9 10"), (4, "the first text of this item has these words"), (4, "a second wording that shares nothing with it at all"), (5, " ... "), (6, None)]
     rows = [(1, "He asked: what is 12 + 34? Nobody knew."), (2, "what is 12 + 35?"), (3, "Please add 3 and bob, then rest"), (4, "so 1 2 3 4 5 6 7 8 anna 9 10 it is"), (5, "1 2 3 4 5 6 7 8 anna 9 11"), (6, "x the first text of this item has these words y"), (7, "x a second wording that shares nothing with it at all y"), (8, None)]
     assert held(spark, rows, items) == {1: [1], 2: [], 3: [2], 4: [3], 5: [], 6: [4], 7: [4], 8: []}
+
+
+def crowded():
+    """Families of texts that share a passage of two thirds: their blocks hold many groups."""
+    rng = random.Random(12)
+    passage, rows = fresh(rng, 220), []
+    for _ in range(60):
+        own = fresh(rng, 100)
+        for _ in range(3):
+            w = passage + own
+            w[rng.randrange(220, 320)] = fresh(rng, 1)[0]
+            w[rng.randrange(220, 320)] = fresh(rng, 1)[0]
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("bucket", [64, 8])
+def test_large_blocks_of_many_groups(spark, monkeypatch, bucket):
+    rows = crowded()
+    want = groups(rows)
+    assert len(set(want.values())) == 60
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    assert found(spark, rows) == want
