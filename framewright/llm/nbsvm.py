@@ -1,7 +1,8 @@
 """Quality classifier: support vectors over n-gram indicators scaled by naive Bayes log-count ratios.
 
 A text's features are the sets of one to three consecutive word shapes (letter case, the punctuation behind the
-word, whether the word repeats the one before) and its short words, hashed into ``SPACE`` slots. Spark
+word, whether the word repeats the one before) and its short words, hashed into ``SHAPES`` slots, and of one to three consecutive words of
+any length, lower-cased and without the marks around them, hashed into ``WORDS`` further slots. Spark
 counts the slots of all labelled training rows; the log ratio of the smoothed class shares scales each indicator. A
 linear hinge-loss model is fitted by dual coordinate descent on at most ``SAMPLE`` labelled rows
 (half from each class, those with the smallest hash of doc_id), and a logistic curve over its margins,
@@ -20,17 +21,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import fresh_worker, text_batches, written
 
-SPACE = 1 << 18
+SHAPES, WORDS = 1 << 18, 1 << 20
+SPACE = SHAPES + WORDS
 SAMPLE = 20_000
 KEEP = 0.7
 SMOOTHING, COST, EPOCHS = 1.0, 0.1, 12
 _TAIL = ".,;:!?*&$%#|\"')]}…"
+_MARKS = _TAIL + "([{<“”‘’«»¿¡*_-"
 _RUN = re.compile(r"(.)\1+")
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def _shape(word: str) -> str:
@@ -48,11 +53,12 @@ def _shape(word: str) -> str:
 
 
 class Features:
-    """Hashed features of texts; remembers the shapes and slots it has seen, up to a bound."""
+    """Hashed features of texts; remembers the shapes, slots and words it has seen, up to a bound."""
 
     def __init__(self, bound: int = 50_000):
         self.shapes: dict[str, str] = {}
         self.slots: dict[tuple, int] = {}
+        self.words: dict[str, int] = {}
         self.bound = bound
 
     def shape(self, word: str) -> str:
@@ -68,18 +74,30 @@ class Features:
         if n is None:
             if len(self.slots) >= self.bound:
                 self.slots.clear()
-            n = self.slots[gram] = zlib.crc32("\x1f".join(gram).encode("utf-8", "surrogatepass")) % SPACE
+            n = self.slots[gram] = zlib.crc32("\x1f".join(gram).encode("utf-8", "surrogatepass")) % SHAPES
         return n
 
-    def __call__(self, text: str | None) -> list[int]:
+    def word(self, word: str) -> int:
+        n = self.words.get(word)
+        if n is None:
+            if len(self.words) >= self.bound:
+                self.words.clear()
+            n = self.words[word] = xxhash.xxh64_intdigest(word.lower().strip(_MARKS).encode("utf-8", "surrogatepass"))
+        return n
+
+    def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
         if not words:
-            return []
+            return np.zeros(0, np.int32)
         s = [self.shape(w) for w in words]
         s[1:] = [x if a != b else "=" + x for a, b, x in zip(words, words[1:], s[1:])]
         grams = {(x,) for x in s} | set(zip(s, s[1:])) | set(zip(s, s[1:], s[2:]))
         grams |= {("w", w.lower()) for w in set(words) if len(w) <= 3}
-        return sorted({self.slot(g) for g in grams})
+        h = np.fromiter((self.word(w) for w in words), np.uint64, len(words))
+        two = (h[:-1] * _ODD[0] + h[1:]) * _ODD[1]
+        three = (two[:-1] + h[2:]) * _ODD[2]
+        slots = SHAPES + (np.concatenate([h, two, three]) >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int32)
+        return np.unique(np.concatenate([np.fromiter((self.slot(g) for g in grams), np.int32, len(grams)), slots]))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -102,16 +120,17 @@ def held_out(doc_id: str = "doc_id"):
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int) -> np.ndarray:
     """Weights (the last one the intercept's) of a linear hinge-loss model over indicator rows scaled by ``scale``."""
     w, alpha, order = np.zeros(len(scale) + 1), np.zeros(len(rows)), np.random.default_rng(0)
-    x = [np.append(scale[r], 1.0) for r in rows]
-    at = [np.append(r, len(scale)) for r in rows]
-    norm = np.array([v @ v for v in x])
+    norm = np.array([scale[r] @ scale[r] + 1.0 for r in rows])
     for _ in range(epochs):
         worst = 0.0
         for i in order.permutation(len(rows)):
-            g = y[i] * (w[at[i]] @ x[i]) - 1
+            r = rows[i]
+            x = scale[r]
+            g = y[i] * (w[r] @ x + w[-1]) - 1
             new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             if step := new - alpha[i]:
-                w[at[i]] += step * y[i] * x[i]
+                w[r] += step * y[i] * x
+                w[-1] += step * y[i]
                 alpha[i] = new
                 worst = max(worst, abs(step))
         if worst < 1e-4:
@@ -134,12 +153,13 @@ def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(a), float(b)
 
 
-def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """(weights, slope, offset), from the labelled rows of ``feats`` that are not held out; None without both classes.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """(weights, slope, offset), from the labelled rows of ``docs`` that are not held out; None without both classes.
 
     What reaches the driver is bounded: two counts a slot, and ``sample`` rows."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    train = written(feats.where(~held_out()).join(known, "doc_id"), "labelled")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(~held_out())
+    train = written(features(texts.join(known.select("doc_id"), "doc_id", "left_semi")).join(known, "doc_id"), "labelled")
     total = {r.quality: r.n for r in train.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if set(total) != {0, 1}:
         return None
@@ -150,8 +170,8 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     scale = np.where(counts.sum(axis=0) > 2 * SMOOTHING, np.log(share[1] / share[0]), 0.0)
     rows, y = [], []
     for q in (0, 1):
-        part = train.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").select("feats").limit(sample // 2).toArrow()["feats"].to_pylist()
-        rows += [np.array(r, np.int64) for r in part]
+        part = train.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").select("feats").limit(sample // 2).toArrow()["feats"]
+        rows += [r for c in part.chunks for r in np.split(c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py())[1:-1]) if len(c)]
         y += [2 * q - 1] * len(part)
     y = np.array(y)
     seen = {q: int((y == 2 * q - 1).sum()) for q in (0, 1)}
@@ -162,7 +182,7 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return weights, a, b
 
 
-def _scores(model, feats: list[list[int]]) -> np.ndarray:
+def _scores(model, feats: list[np.ndarray]) -> np.ndarray:
     if model is None:
         return np.full(len(feats), 0.5)
     weights, slope, offset = model
@@ -172,26 +192,27 @@ def _scores(model, feats: list[list[int]]) -> np.ndarray:
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs``."""
-    feats = written(features(docs), "features")
-    model = fit(feats, labels, sample)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
     def run(batches):
+        fresh_worker()
+        of = Features()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model, b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model.value, [of(t.as_py()) for t in b.column(1)]), pa.float64())], ["doc_id", "score"])
 
-    scored = feats.select("doc_id", "feats").mapInArrow(run, "doc_id bigint, score double")
+    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``KEEP``; they are scored where they are read, without a shuffle."""
-    model = fit(features(docs), labels, sample)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     at = docs.columns.index("text")
 
     def run(batches):
         fresh_worker()
         of = Features()
         for b in batches:
-            yield b.filter(pa.array(_scores(model, [of(t.as_py()) for t in b.column(at)]) >= KEEP))
+            yield b.filter(pa.array(_scores(model.value, [of(t.as_py()) for t in b.column(at)]) >= KEEP))
 
     return docs.mapInArrow(run, docs.schema)

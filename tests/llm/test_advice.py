@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from framewright.llm import decontam, simhash
+from framewright.llm import decontam, nbsvm, simhash
 
 DOCS = "doc_id bigint, text string"
 
@@ -89,3 +89,12 @@ def test_large_blocks_of_many_groups(spark, monkeypatch, bucket):
     assert len(set(want.values())) == 60
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     assert found(spark, rows) == want
+
+
+def test_quality_that_depends_on_vocabulary(spark):
+    rng = random.Random(13)
+    good, bad = ([f"{k}word{i:02d}" for i in range(40)] for k in ("fine", "spam"))
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(40)).translate(str.maketrans("0123456789", "abcdefghij"))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
+    got = [r for r in nbsvm.score(spark.createDataFrame(rows, DOCS), labels).collect() if r.held_out]
+    assert len(got) > 50 and all(r.predicted == r.doc_id % 2 for r in got)
