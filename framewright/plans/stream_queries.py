@@ -10,7 +10,9 @@ from framewright.operators import sequential as S
 from framewright.plans.fixtures import WITH_FRAMES, frames
 from framewright.plans.registry import query
 
-SEQ = Window.partitionBy("stream_id").orderBy("frame_seq")
+def seq():
+    """A stream's frames in order; built when a query runs, since a window needs a session."""
+    return Window.partitionBy("stream_id").orderBy("frame_seq")
 
 
 def ordered(spark, sf):
@@ -107,12 +109,12 @@ def full_pass_cadence(spark, sf):
 @query("write_jitter", WITH_FRAMES + "select stream_id, frame_seq, epoch_us(ts) - epoch_us(lag(ts) over (partition by stream_id order by frame_seq)) as gap_us from frames")
 def write_jitter(spark, sf):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return frames(spark, sf).select("stream_id", "frame_seq", (us - F.lag(us).over(SEQ)).alias("gap_us"))
+    return frames(spark, sf).select("stream_id", "frame_seq", (us - F.lag(us).over(seq())).alias("gap_us"))
 
 
 @query("tile_seq", WITH_FRAMES + "select stream_id, frame_seq, cast(row_number() over (partition by stream_id order by frame_seq) as bigint) as tile_seq from frames where latency_ms > 50")
 def tile_seq(spark, sf):
-    return frames(spark, sf).where("latency_ms > 50").select("stream_id", "frame_seq", F.row_number().over(SEQ).cast("bigint").alias("tile_seq"))
+    return frames(spark, sf).where("latency_ms > 50").select("stream_id", "frame_seq", F.row_number().over(seq()).cast("bigint").alias("tile_seq"))
 
 
 @query("round_robin", WITH_FRAMES + "select stream_id, frame_seq, frame_seq % 3 as worker from frames")
@@ -189,7 +191,7 @@ def inflight_join(spark, sf):
 @query("roi_asof", WITH_FRAMES + ", x as (select *, last_value(case when frame_seq % 9 = 0 then frame_seq end ignore nulls) over (partition by stream_id order by frame_seq rows between unbounded preceding and 1 preceding) as roi_seq from frames) select stream_id, frame_seq, roi_seq, coalesce(frame_seq - roi_seq > 6, true) as stale from x")
 def roi_asof(spark, sf):
     """The latest snapshot before each frame, stale when it is more than six frames old."""
-    w = SEQ.rowsBetween(Window.unboundedPreceding, -1)
+    w = seq().rowsBetween(Window.unboundedPreceding, -1)
     x = frames(spark, sf).withColumn("roi_seq", F.last(F.when(F.col("frame_seq") % 9 == 0, F.col("frame_seq")), ignorenulls=True).over(w))
     return x.select("stream_id", "frame_seq", "roi_seq", F.coalesce(F.col("frame_seq") - F.col("roi_seq") > 6, F.lit(True)).alias("stale"))
 
@@ -266,7 +268,7 @@ def increase_2m(spark, sf):
 
 @query("changes_1m", WITH_FRAMES + ", c as (select stream_id, ts, model_id <> lag(model_id) over (partition by stream_id order by frame_seq) as moved from frames) select stream_id, strftime(date_trunc('minute', ts), '%Y%m%d%H%M') as minute, count(*) filter (moved) as changes from c group by all having count(*) filter (moved) > 0")
 def changes_1m(spark, sf):
-    moved = F.col("model_id") != F.lag("model_id").over(SEQ)
+    moved = F.col("model_id") != F.lag("model_id").over(seq())
     c = frames(spark, sf).select("stream_id", "ts", moved.alias("moved"))
     return c.groupBy("stream_id", _minute()).agg(F.count_if("moved").alias("changes")).where("changes > 0")
 
