@@ -14,6 +14,10 @@ from framewright.llm.common import written
 from framewright.llm.queries import table
 
 
+#: Repeated passages: words, and bytes of a match.
+PASSAGE, BYTES = 50, 240
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.7; the model is fitted on the labelled documents of the stage's input."""
     return nbsvm.keep(docs, table(spark, sf_dir, "labels"))
@@ -25,8 +29,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated passages of 400 bytes or more; a character cut in two goes as a whole."""
-    out = rindex.remove_repeats(docs).withColumn("text", F.col("kept_text"))
+    """Documents without their passages of ``PASSAGE`` words or more that come again anywhere; null texts stay null, repeated rows lose all they share.
+
+    Matches of ``BYTES`` bytes find them, which any such passage holds unless its words have less than four letters on average; a character cut in two goes as a whole."""
+    out = rindex.remove_repeats(docs, BYTES, PASSAGE).withColumn("text", F.col("kept_text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -8,6 +8,7 @@ import tempfile
 import types
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
         found = sc._jsc.sc().getCheckpointDir()
         own = found.get() if found.isDefined() else None
     if own is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="framewright-")
         sc.setCheckpointDir(own)
     return own
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, made of ``names``; Spark compares names without regard to case."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -49,8 +64,9 @@ def drop_written(df: DataFrame) -> None:
 
 
 def text_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hand Python at most ``rows`` rows at once, so that a batch of very long texts fits in a worker's memory."""
+    """Hand Python at most ``rows`` rows, or 32 MB, at once, so that a batch of very long texts fits in a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
 
 
 def process_cache(key: str, make):
@@ -71,6 +87,73 @@ def fresh_worker() -> None:
     pa.default_memory_pool().release_unused()
 
 
+_BYTE = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 2**64)
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        each = np.full(max(n, 1 << 16), base, np.uint64)
+        each[0] = 1
+        held = _powers[base] = each.cumprod(dtype=np.uint64)
+    return held[:n]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def plain_bytes(marks: bytes) -> np.ndarray:
+    """Byte values for :func:`word_hashes` that take A-Z for a-z and pass over ``marks`` around words."""
+    values = _BYTE.copy()
+    values[65:91] = values[97:123]
+    values[np.frombuffer(marks, np.uint8)] = 0
+    return values
+
+
+def word_hashes(b: np.ndarray, at_once: int = 1 << 16, values: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each word of a byte array, words parted by ASCII white space; equal words have equal hashes.
+
+    Works on about ``at_once`` bytes at a time, or on one word where that is longer."""
+    space = _SPACE[b]
+    cut, out = 0, []
+    while cut < len(b):
+        end = min(cut + at_once, len(b))
+        if end < len(b):
+            back = np.flatnonzero(space[cut:end])
+            if len(back):
+                end = cut + int(back[-1]) + 1
+            else:
+                while end < len(b) and not space[end]:
+                    ahead = np.flatnonzero(space[end : end + at_once])
+                    end = end + int(ahead[0]) if len(ahead) else min(end + at_once, len(b))
+        edge = np.diff(np.concatenate([[True], space[cut:end], [True]]).view(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        total, value = np.zeros(end - cut + 1, np.uint64), values[b[cut:end]]
+        np.cumsum(value * _power(_STEP, end - cut), out=total[1:])
+        sums = total[ends] - total[starts]
+        if values is not _BYTE:  # a word counts from its first byte that is no mark
+            live = np.flatnonzero(value)
+            starts = np.append(live, end - cut)[np.searchsorted(live, starts)]
+        out.append(mixed(sums * _power(_BACK, end - cut + 1)[starts]))
+        cut = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of all runs of ``n`` words."""
+    out = h[: max(0, len(h) - n + 1)]
+    for i in range(1, n):
+        out = out * np.uint64(0xBF58476D1CE4E5B9) + h[i : i + len(out)]
+    return mixed(out + np.uint64(n)) if n > 1 else out
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of the graph with an edge for each row (a, b), both bigint.
 

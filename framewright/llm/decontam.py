@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import written
+from framewright.llm.common import free_names, written
 
 WORDS, SIMILARITY, LITERALS = 5, 0.8, 3
 BROADCAST = 200_000
@@ -143,8 +143,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with items, the sorted item_ids that each document holds (empty if none), and containment, the largest."""
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
-    held = matches(keyed, benchmark, similarity).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("containment").alias("containment"))
-    both = keyed.join(held, ["k1", "k2"], "left")
+    """``docs`` with items, the sorted item_ids that each document holds (empty if none), and containment, the largest.
+
+    Columns of these names that ``docs`` has already are replaced."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("items", "containment")])
+    k1, k2 = free_names(docs, "k1", "k2")
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), F.xxhash64(F.coalesce("text", F.lit("")))]
+    held = matches(docs.select(key[0].alias("k1"), key[1].alias("k2"), "text"), benchmark, similarity)
+    held = held.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("containment").alias("containment"))
+    both = docs.withColumns({k1: key[0], k2: key[1]}).join(held, [k1, k2], "left")
     return both.select(*docs.columns, F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("containment", F.lit(0.0)).alias("containment"))

@@ -1,8 +1,8 @@
 """Quality classifier: support vectors over n-gram indicators scaled by naive Bayes log-count ratios.
 
-A text's features are the sets of one to three consecutive word shapes (letter case, the punctuation behind the
-word, whether the word repeats the one before) and its short words, hashed into ``SHAPES`` slots, and of one to three consecutive words of
-any length, lower-cased and without the marks around them, hashed into ``WORDS`` further slots. Spark
+A text's features are the sets of one to three consecutive words, A-Z lower-cased and without the marks around them, hashed into ``WORDS``
+slots, and of one to three consecutive word shapes, hashed into ``SHAPES`` further slots. A shape stands for a word's whole form: runs of small letters, of digits and of
+other letters than ASCII become one sign, runs of capitals and of equal marks two at most, and a word that repeats the one before is marked. Words are parted by ASCII white space. Spark
 counts the slots of all labelled training rows; the log ratio of the smoothed class shares scales each indicator. A
 linear hinge-loss model is fitted by dual coordinate descent on at most ``SAMPLE`` labelled rows
 (half from each class, those with the smallest hash of doc_id), and a logistic curve over its margins,
@@ -16,88 +16,45 @@ labels of both classes every score is 0.5.
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import fresh_worker, text_batches, written
+from framewright.llm.common import drop_written, fresh_worker, grams, plain_bytes, text_batches, word_hashes, written
 
 SHAPES, WORDS = 1 << 18, 1 << 20
 SPACE = SHAPES + WORDS
-SAMPLE = 20_000
+SAMPLE = 6_000
 KEEP = 0.7
 SMOOTHING, COST, EPOCHS = 1.0, 0.1, 12
-_TAIL = ".,;:!?*&$%#|\"')]}…"
-_MARKS = _TAIL + "([{<“”‘’«»¿¡*_-"
-_RUN = re.compile(r"(.)\1+")
-_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
-
-
-def _shape(word: str) -> str:
-    core = word.rstrip(_TAIL)
-    tail = _RUN.sub(r"\1\1", word[len(core) :])[:4]
-    if not core:
-        kind = ""
-    elif core.isalpha():
-        kind = "a" if core.islower() else "A" if core.isupper() and len(core) > 1 else "Aa" if core[0].isupper() else "aA"
-    elif core.isdigit():
-        kind = "9"
-    else:
-        kind = _RUN.sub(r"\1", "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in core[:64]))[:8]
-    return kind + tail
-
-
-class Features:
-    """Hashed features of texts; remembers the shapes, slots and words it has seen, up to a bound."""
-
-    def __init__(self, bound: int = 50_000):
-        self.shapes: dict[str, str] = {}
-        self.slots: dict[tuple, int] = {}
-        self.words: dict[str, int] = {}
-        self.bound = bound
-
-    def shape(self, word: str) -> str:
-        s = self.shapes.get(word)
-        if s is None:
-            if len(self.shapes) >= self.bound:
-                self.shapes.clear()
-            s = self.shapes[word] = _shape(word)
-        return s
-
-    def slot(self, gram: tuple) -> int:
-        n = self.slots.get(gram)
-        if n is None:
-            if len(self.slots) >= self.bound:
-                self.slots.clear()
-            n = self.slots[gram] = zlib.crc32("\x1f".join(gram).encode("utf-8", "surrogatepass")) % SHAPES
-        return n
-
-    def word(self, word: str) -> int:
-        n = self.words.get(word)
-        if n is None:
-            if len(self.words) >= self.bound:
-                self.words.clear()
-            n = self.words[word] = xxhash.xxh64_intdigest(word.lower().strip(_MARKS).encode("utf-8", "surrogatepass"))
-        return n
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        if not words:
-            return np.zeros(0, np.int32)
-        s = [self.shape(w) for w in words]
-        s[1:] = [x if a != b else "=" + x for a, b, x in zip(words, words[1:], s[1:])]
-        grams = {(x,) for x in s} | set(zip(s, s[1:])) | set(zip(s, s[1:], s[2:]))
-        grams |= {("w", w.lower()) for w in set(words) if len(w) <= 3}
-        h = np.fromiter((self.word(w) for w in words), np.uint64, len(words))
-        two = (h[:-1] * _ODD[0] + h[1:]) * _ODD[1]
-        three = (two[:-1] + h[2:]) * _ODD[2]
-        slots = SHAPES + (np.concatenate([h, two, three]) >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int32)
-        return np.unique(np.concatenate([np.fromiter((self.slot(g) for g in grams), np.int32, len(grams)), slots]))
+_MARKS = b".,;:!?*&$%#|\"')](}[{<>_-"
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[97:123] = _CLASS[128:] = ord("a")
+_CLASS[65:91] = ord("A")
+_CLASS[48:58] = ord("9")
+_ONE = np.isin(np.arange(256), [ord("a"), ord("9")])
+_AGAIN = np.uint64(0x94D049BB133111EB)
+_PLAIN = plain_bytes(_MARKS)
+
+
+def shapes(b: np.ndarray) -> np.ndarray:
+    """The shapes of a byte array's words, white space in between."""
+    c = _CLASS[b]
+    same, one = np.concatenate([[False], c[1:] == c[:-1]]), _ONE[c]
+    twice = np.concatenate([[False], same[1:] & same[:-1]])
+    return c[~np.where(one, same, twice)]
+
+
+def indicators(text: str | None) -> np.ndarray:
+    """The slots of a text's features, sorted."""
+    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    if not len(b):
+        return np.zeros(0, np.int32)
+    w, s = word_hashes(b, values=_PLAIN), word_hashes(shapes(b))
+    s[1:][w[1:] == w[:-1]] ^= _AGAIN
+    slots = lambda h, n: (np.concatenate([h, grams(h, 2), grams(h, 3)]) >> np.uint64(65 - n.bit_length())).astype(np.int32)
+    return np.unique(np.concatenate([slots(s, SHAPES), SHAPES + slots(w, WORDS)]))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -106,9 +63,8 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         fresh_worker()
-        of = Features()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))], ["doc_id", "feats"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([indicators(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))], ["doc_id", "feats"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, feats array<int>")
 
@@ -164,11 +120,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     if set(total) != {0, 1}:
         return None
     counts = np.full((2, SPACE), SMOOTHING)
-    for r in train.select("quality", F.explode("feats").alias("slot")).groupBy("slot").agg(*[F.count_if(F.col("quality") == q).alias(f"n{q}") for q in (0, 1)]).toLocalIterator():
-        counts[:, r.slot] += (r.n0, r.n1)
+    found = train.select("quality", F.explode("feats").alias("slot")).groupBy("slot").agg(*[F.count_if(F.col("quality") == q).alias(f"n{q}") for q in (0, 1)]).toArrow()
+    counts[:, found["slot"].to_numpy()] += np.array([found["n0"].to_numpy(), found["n1"].to_numpy()])
+    del found
     share = counts / counts.sum(axis=1, keepdims=True)
     scale = np.where(counts.sum(axis=0) > 2 * SMOOTHING, np.log(share[1] / share[0]), 0.0)
-    rows, y = [], []
+    rows, y = [], []  # what reaches the driver is bounded by the slots and the sample
     for q in (0, 1):
         part = train.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").select("feats").limit(sample // 2).toArrow()["feats"]
         rows += [r for c in part.chunks for r in np.split(c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py())[1:-1]) if len(c)]
@@ -176,17 +133,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     y = np.array(y)
     seen = {q: int((y == 2 * q - 1).sum()) for q in (0, 1)}
     w = dual_coordinate_descent(rows, y, scale, np.full(len(y), COST), EPOCHS)
-    weights = np.append(w[:-1] * scale, w[-1])
+    drop_written(train)
+    weights = np.append(w[:-1] * scale, w[-1]).astype(np.float32)
     margin = np.array([weights[r].sum() for r in rows]) + weights[-1]
     a, b = logistic(margin, y, np.where(y > 0, total[1] / seen[1], total[0] / seen[0]))
     return weights, a, b
 
 
-def _scores(model, feats: list[np.ndarray]) -> np.ndarray:
+def _scores(model, texts: list) -> np.ndarray:
     if model is None:
-        return np.full(len(feats), 0.5)
+        return np.full(len(texts), 0.5)
     weights, slope, offset = model
-    margin = np.array([weights[f].sum() for f in feats]) + weights[-1]
+    margin = np.array([weights[indicators(t)].sum(dtype=np.float64) for t in texts]) + weights[-1]
     return 1 / (1 + np.exp(-np.clip(slope * margin + offset, -700, 700)))
 
 
@@ -196,9 +154,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     def run(batches):
         fresh_worker()
-        of = Features()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model.value, [of(t.as_py()) for t in b.column(1)]), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model.value, [t.as_py() for t in b.column(1)]), pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
@@ -211,8 +168,7 @@ def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def run(batches):
         fresh_worker()
-        of = Features()
         for b in batches:
-            yield b.filter(pa.array(_scores(model.value, [of(t.as_py()) for t in b.column(at)]) >= KEEP))
+            yield b.filter(pa.array(_scores(model.value, [t.as_py() for t in b.column(at)]) >= KEEP))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,7 +3,7 @@
 Every byte covered by a ``length``-byte string that also starts anywhere else in the corpus is marked.
 
 1. Each window of ``length`` bytes belongs to its anchor, the leftmost position of least hash among its
-   ``SEED``-byte strings. Equal windows have equal anchors, so a window repeats only among the
+   strings of a quarter to half the length. Equal windows have equal anchors, so a window repeats only among the
    contexts (runs of windows) of one anchor hash. Contexts are counted by (anchor hash, context hash), combined before the shuffle.
 2. A context seen twice repeats as a whole. An anchor hash with a single context, seen once, has no repeats.
 3. The other contexts meet by anchor hash, one copy of each. Blocks of them become a suffix order, its
@@ -29,19 +29,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import fresh_worker, text_batches, written
+from framewright.llm.common import drop_written, free_names, fresh_worker, text_batches, written
 
-LENGTH, SEED = 400, 128
+LENGTH = 400
 #: Contexts of an anchor hash in one block, and bytes indexed at once.
 GROUP, BLOCK = 256, 1 << 19
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
 
-def _anchor_hashes(b: np.ndarray) -> np.ndarray:
-    """Hashes of all SEED-byte strings, by doubling; SEED is a power of two."""
+def seed_of(length: int) -> int:
+    """Bytes of the strings that anchor a window: the largest power of two up to half the length."""
+    return 1 << (length // 2).bit_length() - 1
+
+
+def _anchor_hashes(b: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of all ``seed``-byte strings, by doubling; ``seed`` is a power of two."""
     table = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
     h, size, base = table[b], 1, 0x9E3779B97F4A7C15
-    while size < SEED:
+    while size < seed:
         h = h[:-size] * np.uint64(base) + h[size:]
         base, size = base * base % 2**64, size * 2
     h ^= h >> np.uint64(32)
@@ -54,8 +59,9 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[list[int], list[int], li
     """The contexts of a text: anchor hashes, context hashes, context lengths and the starts of each."""
     if len(text) < length:
         return [], [], [], []
-    h = _anchor_hashes(np.frombuffer(text, np.uint8))
-    wide = length - SEED + 1
+    seed = seed_of(length)
+    h = _anchor_hashes(np.frombuffer(text, np.uint8), seed)
+    wide = length - seed + 1
     low, size = h, 1
     while size * 2 <= wide:
         low, size = np.minimum(low[:-size], low[size:]), size * 2
@@ -189,7 +195,7 @@ def _cores(seed: int, body: bytes, free: np.ndarray, length: int, width: int, on
     """For each class of ``width`` windows, by distance from the anchor, the hash of the bytes that all of them hold.
 
     ``free`` tells which windows found no other copy in their block; ``only`` names the classes to look at."""
-    anchor = int(np.flatnonzero(_anchor_hashes(np.frombuffer(body, np.uint8)).view(np.int64) == seed)[0])
+    anchor = int(np.flatnonzero(_anchor_hashes(np.frombuffer(body, np.uint8), seed_of(length)).view(np.int64) == seed)[0])
     out = []
     for c in range((anchor - len(free) + 1) // width, anchor // width + 1) if only is None else sorted(only):
         begin = anchor - c * width
@@ -268,9 +274,11 @@ def _between_blocks(found: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k1, k2, spans) for each text, by its key, that holds repeated passages; spans [a, b) in bytes may overlap. ``docs`` has k1, k2 and text."""
-    if length < 2 * SEED:
-        raise ValueError(f"length must be {2 * SEED} or more")
+    """(k1, k2, spans) for each text, by its key, that holds repeated passages; spans are structs of starts, an array, and size in bytes; they may overlap.
+
+    ``docs`` has k1, k2 and text."""
+    if length < 64:
+        raise ValueError("length must be 64 or more")
 
     def cut(batches):
         fresh_worker()
@@ -297,20 +305,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     place = asked.where("n = 1").select("seed", "ctx", "k1", "k2", "start")
     near = found.where("size(spans) > 0").select("seed", "ctx", F.explode("spans").alias("s"))
     far = _between_blocks(found, length)
-    part = near.unionByName(far).join(place, ["seed", "ctx"]).select("k1", "k2", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
-    copies = each.join(groups.where("n > 1").select("seed", "ctx"), ["seed", "ctx"])
-    whole = copies.select("k1", "k2", F.explode("starts").alias("a"), "size").select("k1", "k2", "a", (F.col("a") + F.col("size")).alias("b"))
-    return part.unionByName(whole).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    at = F.array(F.col("start") + F.col("s.a"))
+    part = near.unionByName(far).join(place, ["seed", "ctx"]).select("k1", "k2", at.alias("starts"), (F.col("s.b") - F.col("s.a")).alias("size"))
+    whole = each.join(groups.where("n > 1").select("seed", "ctx"), ["seed", "ctx"]).select("k1", "k2", "starts", "size")
+    return part.unionByName(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("starts", "size")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """``docs`` with removed array<struct<a,b>> (maximal spans in bytes), n_bytes, kept, the bytes outside the spans, and
-    kept_text, those bytes as text without characters that a span cuts in two."""
+    kept_text, those bytes as text without characters that a span cuts in two. Spans of fewer than ``words`` words stay.
+
+    Columns of these names that ``docs`` has already are replaced."""
     text_batches(docs.sparkSession)
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
-    spans = repeated_spans(keyed.select("k1", "k2", F.coalesce("text", F.lit("")).alias("text")), length)
+    added = ["removed", "n_bytes", "kept", "kept_text"]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    k1, k2, spans = free_names(docs, "k1", "k2", "spans")
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias(k1), F.xxhash64(F.coalesce("text", F.lit(""))).alias(k2))
+    found = repeated_spans(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.coalesce("text", F.lit("")).alias("text")), length)
     names = docs.columns
-    both = keyed.join(spans, ["k1", "k2"], "left").select(*names, "spans")
+    both = keyed.join(found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans)), [k1, k2], "left").select(*names, spans)
     at = names.index("text")
 
     def cut(batches):
@@ -320,16 +333,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             removed, sizes, kept, texts = [], [], [], []
             for t, s in zip(b.column(at), b.column(len(names))):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                cover = np.zeros(len(raw), bool)
+                edge = np.zeros(len(raw) + 1, np.int64)
                 for x in s.as_py() or []:
-                    cover[x["a"] : x["b"]] = True
-                out = _spans(cover)
+                    starts = np.array(x["starts"])
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, starts + x["size"], -1)
+                out = [x for x in _spans(np.cumsum(edge[:-1]) > 0) if not words or len(raw[x["a"] : x["b"]].split()) >= words] if s.is_valid else []
                 removed.append(out)
                 sizes.append(len(raw))
                 edges = [0, *(e for x in out for e in (x["a"], x["b"])), len(raw)]
                 kept.append(b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2])))
                 texts.append(kept[-1].decode("utf-8", "ignore") if out else t.as_py())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(removed, kind), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], [*names, "removed", "n_bytes", "kept", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(removed, kind), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed array<struct<a:int,b:int>>, n_bytes bigint, kept binary, kept_text string"
     return both.mapInArrow(cut, schema)

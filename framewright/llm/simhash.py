@@ -5,11 +5,12 @@ hashes. Equal fingerprints are one node. Nodes that share a pigeonhole block are
 Blocks with more than ``BUCKET`` nodes are not paired: their nodes meet on one-bit neighbours instead. Two fingerprints differ in at most two
 bits if and only if some value is within one bit of both, and at most 33 nodes share such a value.
 
-Wide mode (a similarity): equal shingle sets are one node. A node has ``HASHES`` min-hashes; ``BANDS`` bands of ``ROWS`` of them are its blocks, and one bit
-of each is its sketch. Two sets at Jaccard similarity s share no block with probability (1 - s**ROWS)**BANDS, 1.3e-7 at 0.8 and less
-above; the sketch only drops candidates more than eight standard deviations off. Every node is first checked against the smallest and
-largest node of its blocks. Then, in each block whose nodes are not yet one component, all pairs of different components are checked,
-large blocks part by part, so no pair of a block is left out unless its nodes are linked already. A link is a shingle similarity of at least the given one.
+Wide mode (a similarity): equal shingle sets are one node. A node has ``HASHES`` min-hashes; ``BANDS`` bands of ``ROWS`` of them are its blocks, and four bits
+of each are its sketch. Two sets at Jaccard similarity s share no block with probability (1 - s**ROWS)**BANDS, 3.2e-6 at 0.8 and less
+above. Every node is first checked against the smallest node of each of its blocks. Then, in each block whose nodes are not yet one
+component, all pairs of different components are checked, large blocks part by part, so no pair of a block is left out unless its nodes are linked
+already; a part hands out the first node of each linked group, never pairs. Pairs whose sizes cannot agree, or whose sketches differ by more than five standard deviations in too many min-hashes (3e-7 of the pairs at the limit), are no
+candidates. A link is a shingle similarity of at least the given one, measured on the whole sets.
 
 Defined results: null text is an empty text; a text with fewer words than a shingle is one shingle; texts without words are
 one group (in exact mode with fingerprint zero, which links like any other); repeated rows are separate rows of one group; a null
@@ -26,21 +27,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import components, drop_written, fresh_worker, text_batches, written
+from framewright.llm.common import components, drop_written, free_names, fresh_worker, grams, mixed, text_batches, word_hashes, written
 
 BUCKET = 64
+#: Wide mode: nodes, and shingles, of a block's part, about.
+PART, WEIGHT = 512, 1 << 18
 WORDS, SIMILARITY = 5, 0.8
 #: Exact mode: four blocks of 16 bits; fingerprints at distance 2 or less agree on at least two of them.
 PAIRS = list(combinations(range(4), 2))
 #: Wide mode: min-hashes, bands of rows, and the factor and offset of each min-hash.
-HASHES, BANDS, ROWS = 256, 40, 5
-_FACTORS, _OFFSETS = np.random.default_rng(7).integers(0, 2**64, (2, HASHES), np.uint64) | np.array([[1], [0]], np.uint64)
+HASHES, BANDS, ROWS = 96, 24, 4
+_FACTORS, _OFFSETS = np.random.default_rng(7).integers(0, 2**32, (2, HASHES, 1), np.uint32) | np.array([[[1]], [[0]]], np.uint32)
+#: Parts that a hot component's rows are dealt to.
+SALTS = 16
+_NULL = -(2**63)
+
+
+#: Rows that are broadcast at most; more are shuffled.
+BROADCAST = 200_000
 
 
 def sketch_distance(similarity: float) -> int:
-    """Bits of a sketch that differ at most at this similarity: the expected ones and eight standard deviations."""
-    p = (1 - similarity) / 2
-    return int(HASHES * p + 8 * (HASHES * p * (1 - p)) ** 0.5) + 1
+    """Min-hashes whose four bits differ, at most, at this similarity: the expected ones and five standard deviations."""
+    p = (1 - similarity) * 15 / 16
+    return int(HASHES * p + 5 * (HASHES * p * (1 - p)) ** 0.5) + 1
 
 
 def _hashes(text: str | None, words: int) -> np.ndarray:
@@ -62,30 +72,35 @@ def _bits(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The hashes of a text's set of shingles, sorted."""
-    return np.unique(_hashes(text, words))
+    h = word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8))
+    return np.unique(grams(h, min(words, len(h)))) if len(h) else h
 
 
 def min_hashes(h: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, 2**64 - 1, np.uint64)
-    for i in range(0, len(h), 512):
-        np.minimum(low, (h[i : i + 512, None] * _FACTORS + _OFFSETS).min(axis=0), out=low)
+    low, x = np.full(HASHES, 2**32 - 1, np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), 512):
+        y = _FACTORS * x[i : i + 512]
+        y += _OFFSETS
+        np.minimum(low, y.min(axis=1), out=low)
     return low
 
 
 def sketch(low: np.ndarray) -> np.ndarray:
-    """One bit of each min-hash, as 64-bit words."""
-    return np.packbits((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63) == 1, bitorder="little").view(np.uint64)
+    """Four bits of each min-hash, as 64-bit words."""
+    four = (mixed(low.astype(np.uint64)) >> np.uint64(60)).astype(np.uint8)
+    return (four[::2] << 4 | four[1::2]).view(np.int64)
 
 
-def bands(low: np.ndarray) -> list[int]:
+def bands(low: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band."""
-    return np.array([xxhash.xxh64_intdigest(low[ROWS * i : ROWS * (i + 1)].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64).tolist()
+    rows, key = low.astype(np.uint64).reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
+    return key.view(np.int64)
 
 
-def fingerprint(text: str | None, words: int, wide: bool) -> np.ndarray:
-    """The fingerprint's 64-bit words; in wide mode the sketch's."""
-    if wide:
-        return sketch(min_hashes(shingles(text, words)))
+def fingerprint(text: str | None, words: int) -> np.ndarray:
+    """The exact mode's fingerprint, as one 64-bit word."""
     h = _hashes(text, words)
     return np.packbits(_bits(h) * 2 > len(h), bitorder="little").view(np.uint64)
 
@@ -96,7 +111,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         fresh_worker()
         for b in batches:
-            fps = [fingerprint(t.as_py(), words, False).view(np.int64) for t in b.column(2)]
+            fps = [fingerprint(t.as_py(), words).view(np.int64) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "row", "fp"])
 
     source = docs.select(F.col("doc_id").cast("bigint"), row_hash().alias("row"), F.col("text").cast("string"))
@@ -109,7 +124,7 @@ def row_hash():
 
 
 def set_keys(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, row, node, fp array<bigint>, keys array<bigint>) of each row: node the shingle set's hash, fp its sketch, keys its bands."""
+    """(doc_id, row, node, fp array<bigint>, keys array<bigint>) of each row: node the shingle set's hash, fp its size and sketch, keys its bands."""
 
     def run(batches):
         fresh_worker()
@@ -119,7 +134,7 @@ def set_keys(docs: DataFrame, words: int) -> DataFrame:
                 h = shingles(t.as_py(), words)
                 low = min_hashes(h)
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
-                fps.append(sketch(low).view(np.int64))
+                fps.append([len(h), *sketch(low)])
                 keys.append(bands(low) if len(h) else [])
             node = pa.array(np.array(nodes, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "node", "fp", "keys"])
@@ -128,15 +143,25 @@ def set_keys(docs: DataFrame, words: int) -> DataFrame:
     return source.mapInArrow(run, "doc_id bigint, row bigint, node bigint, fp array<bigint>, keys array<bigint>")
 
 
-def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, items array<bigint>): the shingle set of each row (node, text)."""
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has ``BROADCAST`` rows or less."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def _sets(docs: DataFrame, used: DataFrame, words: int) -> DataFrame:
+    """(node, items array<bigint>): the sorted shingle sets of the nodes ``used`` (node, one): one names a row of ``docs`` by its doc_id and text hash."""
 
     def run(batches):
         fresh_worker()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(shingles(t.as_py(), words).view(np.int64)) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "items"])
 
-    return texts.mapInArrow(run, "node bigint, items array<bigint>")
+    used = written(used.select("node", F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")), "used")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("k1"), row_hash().alias("k2"), F.col("text").cast("string").alias("text"))
+    sets = texts.join(_few(used), ["k1", "k2"]).select("node", "text").mapInArrow(run, "node bigint, items array<bigint>")
+    sets = written(sets.dropDuplicates(["node"]), "sets")  # equal rows of one doc_id
+    drop_written(used)
+    return sets
 
 
 def _exact_keys(nodes: DataFrame) -> DataFrame:
@@ -168,42 +193,109 @@ def links(nodes: DataFrame, max_distance: int) -> DataFrame:
     return found.unionByName(rest).distinct()
 
 
+def _candidate(a: str, b: str, similarity: float):
+    """Whether the sizes and sketches of ``a`` and ``b`` allow this similarity."""
+    differ = F.lit(0)
+    for i in range(1, 1 + HASHES // 16):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for step in (2, 1):  # the lowest bit of each four is set if any of them is
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        differ = differ + F.bit_count(x.bitwiseAND(0x1111111111111111))
+    sizes = (F.col(a)[0] >= similarity * F.col(b)[0]) & (F.col(b)[0] >= similarity * F.col(a)[0])
+    return sizes & (differ <= sketch_distance(similarity))
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets' Jaccard similarity is ``similarity`` or more."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     pairs = written(pairs, "pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = nodes.join(used, "node", "left_semi").select("node", "row")
-    texts = docs.select(row_hash().alias("row"), F.col("text").cast("string").alias("text")).join(rows, "row").select("node", "text").dropDuplicates(["node"])
-    sets = written(_sets(texts, words), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "alike")
+    sets = _sets(docs, nodes.join(used, "node", "left_semi"), words)
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    alike = written(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "alike")
+    drop_written(pairs)
     drop_written(sets)
     return alike
 
 
+def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first member of each set's group, where sets (sorted arrays) link at a Jaccard similarity of ``similarity`` or more."""
+    size = np.array([len(x) for x in sets])
+    value, count = np.unique(np.concatenate(sets), return_counts=True)
+    value = value[count > 1]  # others are in no intersection
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for i in range(0, len(value), 4096):
+        part = value[i : i + 4096]
+        held = np.zeros((len(sets), len(part)), np.float32)
+        for k, x in enumerate(sets):
+            x = x[np.searchsorted(x, part[0]) : np.searchsorted(x, part[-1], "right")]
+            at = np.minimum(np.searchsorted(part, x), len(part) - 1)
+            held[k, at[part[at] == x]] = 1
+        shared += held @ held.T
+    near = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-4
+    np.fill_diagonal(near, True)
+    low = np.arange(len(sets))
+    while ((new := np.where(near, low, len(sets)).min(axis=1)) != low).any():
+        low = new
+    return low
+
+
+def _forest(similarity: float):
+    """Edges from each node of a block's part to the first of its group."""
+
+    def run(group):
+        import pandas as pd
+
+        group = group.drop_duplicates("node")
+        node = group["node"].to_numpy()
+        low = linked(group["items"].tolist(), similarity)
+        some = low != np.arange(len(low))
+        return pd.DataFrame({"a": node[low[some]], "b": node[some]})
+
+    return run
+
+
 def similar(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between nodes (node bigint, row, fp, keys) that give the components of all pairs at ``similarity`` or more that share a block."""
-    every = written(nodes.select("node", "fp", F.explode("keys").alias("key")), "blocks")
-    ends = F.struct("node", "fp")
-    sizes = every.groupBy("key").agg(F.count("*").alias("n"), F.min(ends).alias("low"), F.max(ends).alias("high")).where("n > 1")
-    rows = written(every.join(sizes, "key"), "shared")
-    near = _distance(4) <= sketch_distance(similarity)
-    star = rows.select(F.struct("node", "fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a.node <> b.node").where(near)
-    star = star.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    first = _alike(star, docs, nodes, words, similarity)
+    """(node, component) of the nodes (node bigint, one, fp, keys) that are linked: the components of all pairs at ``similarity`` or more that share a block."""
+    every = nodes.select("node", F.explode("keys").alias("key"))
+    lows = every.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("high")
+    shared = written(every.join(lows, "key"), "shared")
+    star = shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    star = star.join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b").join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a")
+    first = _alike(star.where(_candidate("x", "y", similarity)).select("a", "b"), docs, nodes, words, similarity)
     part = components(first, "a", "b")
-    rows = rows.select("key", "n", "node", "fp").join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    rows = written(rows, "parted")
-    mixed = rows.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
-    # parts of about BUCKET nodes: each meets itself and every other one, the lower as the left side
-    cut = F.ceil(F.col("n") / BUCKET).cast("int")
-    rows = rows.join(mixed, "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("node", "key"), cut).cast("int"))
-    left = rows.select("key", "node", "fp", "part", F.col("own").alias("i"), F.explode(F.sequence("own", cut - 1)).alias("j"))
-    right = rows.select("key", "node", "fp", "part", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
-    met = left.alias("a").join(right.alias("b"), ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a.node") < F.col("b.node")))
-    met = met.where(F.col("a.part") != F.col("b.part")).where(near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-    return first.unionByName(_alike(met.distinct().join(star, ["a", "b"], "left_anti"), docs, nodes, words, similarity))
+    rows = shared.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    rows = written(rows.join(nodes.select("node", "fp"), "node"), "parted")
+    sizes = rows.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n"), F.sum(F.col("fp")[0]).alias("weight"))
+    cut = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("weight") / WEIGHT), F.lit(1)).cast("int").alias("cut")
+    rows = rows.join(sizes.where("least < most").select("key", cut), "key")
+    # each part of a block meets itself and every other one
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), "cut").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    jobs = written(rows.select("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "node", "fp", "part"), "jobs")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    apart = (F.col("a.part") != F.col("b.part")) & ((F.col("a.i") == F.col("a.j")) | (F.col("a.own") != F.col("b.own")))
+    asked = written(jobs.alias("a").join(jobs.alias("b"), same & apart & _candidate("a.fp", "b.fp", similarity), "left_semi").select("key", "i", "j", "node"), "asked")
+    # the same nodes mostly share several blocks: one of the parts with equal nodes is enough
+    h = F.xxhash64("node")
+    same_nodes = asked.groupBy("key", "i", "j").agg(F.bit_xor(h).alias("h1"), F.bit_xor(F.xxhash64(h)).alias("h2"), F.count("*").alias("n"))
+    chosen = same_nodes.groupBy("h1", "h2", "n").agg(F.min(F.struct("key", "i", "j")).alias("job")).select("job.*")
+    sets = _sets(docs, nodes.join(asked.select("node").distinct(), "node", "left_semi"), words)
+    second = asked.join(chosen, ["key", "i", "j"], "left_semi").join(sets, "node").groupBy("key", "i", "j").applyInPandas(_forest(similarity), "a bigint, b bigint")
+    second = written(second.distinct(), "alike")
+    if not second.isEmpty():
+        part = components(first.unionByName(second), "a", "b")
+    for table in (shared, rows, jobs, asked, sets, first, second):
+        drop_written(table)
+    return part
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_distance: int | None = None) -> DataFrame:
@@ -215,26 +307,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     """
     wide = max_distance is None
     text_batches(docs.sparkSession)
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit(_NULL)).alias("k1"), F.col("row").alias("k2"))).alias("one")
     if wide:
         fps = written(set_keys(docs, words), "fingerprints")
-        nodes = written(fps.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
-        found = similar(nodes, docs, words, similarity)
+        nodes = written(fps.groupBy("node").agg(F.min("doc_id").alias("low"), one, F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+        part = similar(nodes, docs, words, similarity)
     else:
         fps = written(fingerprints(docs, words).withColumn("node", F.col("fp")[0]), "fingerprints")
         nodes = written(fps.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp")), "nodes")
-        found = links(nodes.select("node", "fp"), max_distance)
-    part = components(found, "a", "b")
-    of = nodes.join(part, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    lows = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = of.join(lows, "component").select("node", "component_id", "component")
+        part = components(links(nodes.select("node", "fp"), max_distance), "a", "b")
+    of = nodes.join(part, "node", "left").select("node", "low", "component")
+    linked = of.where("component is not null")
+    # a component may hold a third of all nodes: its smallest doc_id is handed to SALTS parts of it
+    lows = linked.groupBy("component").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lows, ["component", "salt"])
+    single = of.where("component is null").select("node", F.col("low").alias("component_id"), F.col("node").alias("component"))
+    of = single.unionByName(linked.select("node", "component_id", "component"))
     return fps.join(of, "node").select("doc_id", "row", "fp", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the smallest doc_id (a null one only if there is no other)."""
     last = F.lit(2**63 - 1)
-    groups = near_duplicates(docs, words, similarity)
-    first = groups.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_k1"), F.col("row").alias("_k2"))).alias("one"))
-    keyed = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("bigint"), last), "_k2": row_hash()})
-    kept = keyed.join(first.select("one.*").distinct(), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    k1, k2 = free_names(docs, "k1", "k2")
+    groups = near_duplicates(docs, words, similarity).select("component", F.coalesce("doc_id", last).alias(k1), F.col("row").alias(k2))
+    groups = written(groups, "groups")
+    one = groups.groupBy("component").agg(F.min(F.struct(k1, k2)).alias("one")).select("one.*")
+    gone = written(groups.select(k1, k2).join(one, [k1, k2], "left_anti").distinct(), "gone")
+    keyed = docs.withColumns({k1: F.coalesce(F.col("doc_id").cast("bigint"), last), k2: row_hash()})
+    kept = keyed.join(_few(gone), [k1, k2], "left_anti")
+    if not groups.groupBy(k1, k2).count().where("count > 1").isEmpty():  # rows of one doc_id and text
+        kept = kept.dropDuplicates([k1, k2])
     return kept.select(*docs.columns)
