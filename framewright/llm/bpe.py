@@ -3,7 +3,8 @@
 A text is cut by ``public_tokenizers.PATTERN``. The distinct words of a task's texts become token-position rows in an
 in-process DuckDB; a recursive query joins neighbouring positions to the merge table and
 contracts each word's leftmost pair of least rank until no pair is left. A word that is itself in the
-vocabulary is one token, as the tiktoken library has it. Words are remembered in the worker, up to a bound. Decoding joins the
+vocabulary is one token, as the tiktoken library has it. The recursion's rows grow with the square of a word's length, so words go to it
+in lots of bounded squares, and a word of more than ``LONG`` bytes is contracted by the same rule over a heap of its pairs. Words are remembered in the worker, up to a bound. Decoding joins the
 positions of each document's ids to the vocabulary and aggregates their bytes in order.
 
 Defined results: null text is an empty text, with no ids and empty bytes; special tokens are ordinary text; repeated rows give
@@ -13,6 +14,7 @@ repeated results; null doc_ids stay; other columns of the input are dropped.
 from __future__ import annotations
 
 import base64
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from framewright.llm.common import process_cache, text_batches
 
 #: Words, and pieces of ids, remembered in a worker, and characters of text taken to DuckDB at once.
 REMEMBER, AT_ONCE = 400_000, 4_000_000
+#: Bytes of a word that DuckDB contracts at most, and squared bytes of words in one call.
+LONG, SQUARES = 256, 4_000_000
 
 _ENCODE = """
 with recursive t(k, tok, done) as (
@@ -69,8 +73,9 @@ class Coder:
         self.spaced = np.zeros(max(ids, default=0) + 1, bool)
         self.spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.db = duckdb.connect()
-        self.db.execute("set threads = 1; set memory_limit = '300MB'")
+        self.db.execute("set threads = 1; set memory_limit = '300MB'; set temp_directory = ''")
         merges = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks] or np.zeros((0, 3)), np.int32)
+        self.merges, self.pairs = merges, None
         self.db.register("m", pa.table({"a": merges[:, 0], "b": merges[:, 1], "r": merges[:, 2]}))
         self.db.register("v", pa.table({"id": pa.array(ids, pa.int32()), "b": pa.array(tokens, pa.binary())}))
         self.db.execute("create table merges as select * from m; create table vocab as select id, hex(b) as h from v")
@@ -78,14 +83,43 @@ class Coder:
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.words]
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        slow = []
+        lot, squares = [], 0
         for w, b in zip(new, raw):
             if (r := self.ranks.get(b)) is not None:
                 self.words[w] = np.uint32(r).tobytes()
+            elif len(b) > LONG:
+                self.words[w] = self.contract(b)
             else:
-                slow.append((w, b))
-        if not slow:
-            return
+                if lot and squares + len(b) ** 2 > SQUARES:
+                    self.ask(lot)
+                    lot, squares = [], 0
+                lot.append((w, b))
+                squares += len(b) ** 2
+        if lot:
+            self.ask(lot)
+
+    def contract(self, word: bytes) -> bytes:
+        """The ids of one long word: its leftmost pair of least rank is contracted until there is none."""
+        if self.pairs is None:
+            self.pairs = {(a, b): r for a, b, r in self.merges.tolist()}
+        tok, n = self.single[np.frombuffer(word, np.uint8)].tolist(), len(word)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, tok[i], tok[i + 1]) for i in range(n - 1) if (r := self.pairs.get((tok[i], tok[i + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            r, i, a, b = heappop(heap)
+            j = right[i]
+            if j >= n or tok[i] != a or tok[j] != b:
+                continue  # one of the two has gone into another token since
+            tok[i], tok[j], right[i] = r, None, right[j]
+            if right[j] < n:
+                left[right[j]] = i
+            for x, y in ((left[i], i), (i, right[i])):
+                if x >= 0 and y < n and (new := self.pairs.get((tok[x], tok[y]))) is not None:
+                    heappush(heap, (new, x, tok[x], tok[y]))
+        return np.array([t for t in tok if t is not None], "<u4").tobytes()
+
+    def ask(self, slow: list[tuple[str, bytes]]) -> None:
         size = np.array([len(b) for _, b in slow])
         every = np.frombuffer(b"".join(b for _, b in slow), np.uint8)
         word = np.repeat(np.arange(len(slow), dtype=np.int64), size)

@@ -23,7 +23,7 @@ from framewright.llm.common import components, text_batches, written
 
 COSINE = 0.93
 #: Vectors a label that the k-means sees, nodes a cell should hold, nodes of a block, most cells a label, rounds.
-SAMPLE, CELL, BLOCK, CELLS, ROUNDS = 4000, 1500, 1024, 64, 8
+SAMPLE, CELL, BLOCK, CELLS, ROUNDS = 4000, 1500, 1024, 512, 8
 #: Centroids of all labels together; with more large labels than half of that, each label is one cell.
 CENTROIDS = 20_000
 

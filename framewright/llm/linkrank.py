@@ -6,7 +6,7 @@ same from the hosts of blocked pages against the links gives distrust, and a hos
 distrust), is below ``SHARE``. A host that neither reaches is allowed.
 
 Links are counted once a page and combined before the shuffle; links inside a host move nothing. Ranks are tables of one row a host,
-written each round, until no rank moves more than ``STILL`` in sum, or ``ROUNDS``.
+written each round, until the ranks move by less than ``STILL`` in sum; cycles and long chains settle too.
 
 Defined results: a null url or one without :// has an empty host and path, fits no rule and is allowed unless host '' is
 blocked by rank, which it never is; null html has no links; repeated pages count each; other columns are ignored.
@@ -26,7 +26,10 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-DAMPING, ROUNDS, STILL, SHARE = 0.85, 20, 1e-9, 0.5
+#: Each round moves at most ``DAMPING`` of what the one before moved, so ``ROUNDS`` rounds always come to ``STILL``.
+DAMPING, ROUNDS, STILL, SHARE = 0.85, 150, 1e-9, 0.5
+#: Rounds of the SQL form.
+SQL_ROUNDS = 40
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 
@@ -104,7 +107,7 @@ def oracle_sql() -> str:
         f""", r{k + 1} as materialized (select b.host, b.trust + {DAMPING} * coalesce(t.x, 0) as trust, b.distrust + {DAMPING} * coalesce(d.x, 0) as distrust
   from r0 b left join (select dst, sum(r.trust * a.p) as x from along a join r{k} r on r.host = a.src group by dst) t on t.dst = b.host
   left join (select src, sum(r.distrust * a.p) as x from against a join r{k} r on r.host = a.dst group by src) d on d.src = b.host)"""
-        for k in range(ROUNDS)
+        for k in range(SQL_ROUNDS)
     )
     return f"""
 with rules(h, p, v) as (values {rules}),
@@ -121,5 +124,5 @@ every as (select host from seeds union select src from links union select dst fr
 total as (select greatest(coalesce(sum(good), 0), 1) as g, greatest(coalesce(sum(bad), 0), 1) as b from seeds),
 r0 as materialized (select host, {1 - DAMPING} * coalesce(good, 0) / g as trust, {1 - DAMPING} * coalesce(bad, 0) / b as distrust from every left join seeds using (host), total){rounds}
 select page_id, host, path, rule, coalesce(v, case when trust + distrust > 0 and trust < {SHARE} * (trust + distrust) then 'block' end, 'allow') as verdict
-from u left join fit using (host, path) left join r{ROUNDS} using (host)
+from u left join fit using (host, path) left join r{SQL_ROUNDS} using (host)
 """

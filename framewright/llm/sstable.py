@@ -1,7 +1,7 @@
 """Token ids in sorted-string-table shards: prefix-compressed blocks, a sparse block index, a Bloom filter and a footer.
 
-Documents are range-partitioned by (doc_id, text hash); each task encodes its documents and writes one shard to the
-shared folder under a temporary name, then renames it, so a lost task leaves no half-written shard. A manifest holds each
+Documents are range-partitioned by (doc_id, text hash); each task encodes its documents and writes shards of about ``SHARD`` bytes to the
+shared folder, each under a temporary name, then renamed, so a lost task leaves no half-written shard. A manifest holds each
 shard's count of ids, from which the global start of a document follows.
 
 Shard file, integers little-endian unless said otherwise:
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from framewright.llm.common import new_path, process_cache, text_batches
 
 BLOCK, BITS, HASHES, MAGIC = 1 << 16, 10, 7, b"FWSSTAB1"
+#: Bytes of blocks after which a task begins its next shard.
+SHARD = 1 << 28
 FOOTER = "<6QBI8s"
 REMEMBER = 1_000_000
 _TAIL = ".,;:!?*%#$&"
@@ -155,20 +157,11 @@ class Shard:
         return out
 
 
-def _parts(word: str) -> tuple[str, ...]:
-    """Letters, lower-cased where that is plain ASCII, and the punctuation behind them; any other word stays whole."""
-    core = word.rstrip(_TAIL)
-    if not core.isalpha():
-        return (word,)
-    own = core.lower() if core.isascii() else core
-    return (own, word[len(core) :]) if len(core) < len(word) else (own,)
-
-
 class WordCoder:
     """The tokenizers library behind a memory of the words met: the pre-tokenizer never joins what ASCII white space parts.
 
     It also always parts letters from the punctuation behind them, and the normaliser lower-cases, so that words which
-    differ only in that share the ids of their parts."""
+    differ only in that share the ids of their parts. A word is cut only if what the normaliser makes of its letters is letters again."""
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -181,11 +174,19 @@ class WordCoder:
         self.mark = mark[0] if len(mark) == 1 else None
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
 
+    def parts(self, word: str) -> tuple[str, ...]:
+        """Letters, lower-cased where that is plain ASCII, and the punctuation behind them; any other word stays whole."""
+        core = word.rstrip(_TAIL)
+        if not core.isalpha() or not (core.isascii() or self.tokenizer.normalizer.normalize_str(core).isalpha()):
+            return (word,)
+        own = core.lower() if core.isascii() else core
+        return (own, word[len(core) :]) if len(core) < len(word) else (own,)
+
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         if len(self.words) > REMEMBER:
             self.words.clear()
         cut = [self.cut(t) for t in texts]
-        parts = {w: _parts(w) for w in set().union(*cut) if w not in self.words}
+        parts = {w: self.parts(w) for w in set().union(*cut) if w not in self.words}
         new = [p for p in set().union(*parts.values()) if p not in self.words]
         plain = [w for w in new if self.mark is not None and "\x01" not in w]
         runs = [plain[i : i + 500] for i in range(0, len(plain), 500)]
@@ -204,6 +205,10 @@ class WordCoder:
         return [np.frombuffer(b"".join(map(self.words.__getitem__, w)) + last, "<u4") for w in cut]
 
 
+def _name(shard: int) -> str:
+    return f"shard-{shard:010d}.sst"
+
+
 def _files(uri: str):
     from pyarrow import fs
 
@@ -229,18 +234,24 @@ def write(docs: DataFrame, model_path: str, end: int, directory: str) -> list[di
         coder = process_cache(f"words {model_path}", lambda: WordCoder(model.value))
         part = TaskContext.get().partitionId()
         files, root = _files(directory)
-        own = f"{root}/_tmp-{part}-{uuid.uuid4().hex}"
-        with files.open_output_stream(own) as out:
-            w = ShardWriter(out, coder.width)
-            for b in batches:
-                for i, ids in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()], end)):
-                    w.add(key_of(i), ids)
-            w.close()
-        if w.keys:
-            files.move(own, f"{root}/shard-{part:06d}.sst")
-            yield pa.RecordBatch.from_pylist([{"shard": part, "low": id_of(w.keys[0]), "high": id_of(w.last), "docs": len(w.keys), "ids": w.ids}], schema=pa.schema([(c, pa.int64()) for c in ("shard", "low", "high", "docs", "ids")]))
-        else:
-            files.delete_file(own)
+        encoded = ((key_of(i), ids) for b in batches for i, ids in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()], end)))
+        first, k = next(encoded, None), 0
+        while first:
+            own = f"{root}/_tmp-{part}-{uuid.uuid4().hex}"
+            with files.open_output_stream(own) as out:
+                w = ShardWriter(out, coder.width)
+                w.add(*first)
+                first = None
+                for first in encoded:
+                    if w.at >= SHARD:
+                        break
+                    w.add(*first)
+                    first = None
+                w.close()
+            shard = part * 10_000 + k
+            files.move(own, f"{root}/{_name(shard)}")
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "low": id_of(w.keys[0]), "high": id_of(w.last), "docs": len(w.keys), "ids": w.ids}], schema=pa.schema([(c, pa.int64()) for c in ("shard", "low", "high", "docs", "ids")]))
+            k += 1
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("row", F.xxhash64("text"))
@@ -254,28 +265,21 @@ def write(docs: DataFrame, model_path: str, end: int, directory: str) -> list[di
 
 def read(spark: SparkSession, directory: str, manifest: list[dict]) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of each document, from the shard files; ids are little-endian unsigned 32-bit integers."""
-    starts = {m["shard"]: m["start"] for m in manifest}
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
     if not manifest:
         return spark.createDataFrame([], schema)
+    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        for b in batches:
-            for path, content in zip(b.column(0), b.column(1)):
-                whole = memoryview(content.as_buffer())
-                base = starts[int(re.search(r"shard-(\d+)\.sst$", path.as_py())[1])]
-                rows = [[], [], [], []]
-                for key, before, ids in Shard(lambda at, size: bytes(whole[at : at + size]), len(whole)):
-                    for column, x in zip(rows, (id_of(key), base + before, len(ids), ids.astype("<u4").tobytes())):
-                        column.append(x)
-                    if len(rows[0]) >= 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(rows, kinds)], schema=kinds)
-                        rows = [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(rows, kinds)], schema=kinds)
+        files, root = _files(directory)
+        for m in (manifest[k] for b in batches for k in b.column(0).to_pylist()):
+            with files.open_input_file(f"{root}/{_name(m['shard'])}") as f:
+                shard = Shard(lambda at, size, f=f: f.read_at(size, at), f.size())
+                for k in range(len(shard.blocks)):  # a block at a time
+                    rows = [(id_of(key), m["start"] + before, len(ids), ids.astype("<u4").tobytes()) for key, before, ids in shard.block(k)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows), kinds)], schema=kinds)
 
-    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    text_batches(spark, 1)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.sst").load(directory).select("path", "content").mapInArrow(run, schema)
+    return spark.range(0, len(manifest), 1, len(manifest)).mapInArrow(run, schema)
 
 
 def lookup(keys: DataFrame, directory: str, manifest: list[dict]) -> DataFrame:
@@ -290,7 +294,7 @@ def lookup(keys: DataFrame, directory: str, manifest: list[dict]) -> DataFrame:
             for i in sorted(b.column(0).to_pylist(), key=key_of):
                 k = bisect.bisect_left(highs, key_of(i))
                 while k < len(shards) and key_of(shards[k]["low"]) <= key_of(i):
-                    with files.open_input_file(f"{root}/shard-{shards[k]['shard']:06d}.sst") as f:
+                    with files.open_input_file(f"{root}/{_name(shards[k]['shard'])}") as f:
                         s = Shard(lambda at, size, f=f: f.read_at(size, at), f.size())
                         rows += [{"doc_id": i, "start": shards[k]["start"] + a, "n_tokens": len(ids)} for a, ids in s.get(i)]
                     k += 1
