@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Spellings of each enumeration, as configuration files have them.
-VERSIONS = {"v5": "v5", "yolov5": "v5", "v8": "v8", "yolov8": "v8", "v11": "v11", "yolo11": "v11", "yolov11": "v11", "v26": "v26", "yolo26": "v26", "yolov26": "v26"}
-BACKENDS = {"cuda": "cuda", "trt": "cuda", "tensorrt": "cuda", "ascend": "ascend", "cpu": "cpu", "mps": "mps"}
+#: Spellings of each enumeration, as configuration files have them; letter case counts.
+VERSIONS = {"v5": "v5", "yolov5": "v5", "v8": "v8", "yolov8": "v8", "v11": "v11", "yolo11": "v11", "v26": "v26", "yolo26": "v26"}
+BACKENDS = {"cuda": "cuda", "trt": "cuda", "tensorrt": "cuda", "ascend": "ascend", "acl": "ascend", "cpu": "cpu", "mps": "mps", "metal": "mps"}
 TRUE, FALSE = ("true", "1", "yes", "on"), ("false", "0", "no", "off")
 SAFE = "^[A-Za-z0-9_-]+$"
 
@@ -15,12 +15,22 @@ SAFE = "^[A-Za-z0-9_-]+$"
 def enum_of(text: Column, spellings: dict[str, str]) -> Column:
     """The value of a spelling, null if unknown."""
     table = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])
-    return F.try_element_at(table, F.lower(text))
+    return F.try_element_at(table, text)
 
 
 def boolean_of(text: Column) -> Column:
-    low = F.lower(F.trim(text))
-    return F.when(low.isin(*TRUE), True).when(low.isin(*FALSE), False)
+    """True or false in one of their spellings, else null."""
+    return F.when(text.isin(*TRUE), True).when(text.isin(*FALSE), False)
+
+
+def integer_of(text: Column) -> Column:
+    """The whole number that a text begins with, white space aside; null where there is none or it is out of a 32-bit range."""
+    return F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("int")
+
+
+def float_of(text: Column) -> Column:
+    """The number that a text begins with, white space aside, as a 32-bit float; null where there is none."""
+    return F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("float")
 
 
 def comma_list(text: Column) -> Column:
@@ -66,5 +76,5 @@ def stop_reconnecting(failures: Column, most: Column) -> Column:
 
 
 def fault_of(code: Column) -> Column:
-    """Fault type of an error code: memory failures, device failures, others."""
-    return F.when(code == 2, "oom").when(code.isin(46, 100, 101, 999), "device").when(code == 0, "none").otherwise("unknown")
+    """Fault type of an error code (fixed values): memory failures, lost contexts, all others faults of the engine."""
+    return F.when(code == 2, "oom").when(code.isin(101, 201), "context_lost").otherwise("engine_fault")

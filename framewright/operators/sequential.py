@@ -1,97 +1,105 @@
-"""Rules whose next step depends on the last one's outcome, as folds over a stream's events in order.
+"""Rules whose next step depends on the last one's outcome.
 
-A fold runs over an array of one stream's events. ``chunked`` groups a stream's events by a span of time first only where a
-rule restarts there; otherwise the array holds the stream, as keyed state would in a streaming query (see ``framewright.streaming``).
-Time comes from the events, never from a clock, so results repeat.
+Where a window can tell the outcome, the rule is a window (:func:`health`). Else rows are dealt by stream, sorted inside their partition and followed
+batch by batch with a small state (:func:`carried`): nothing of a stream is gathered, so memory does not grow with it and time is linear.
+Time comes from the events, never from a clock, so results repeat. The streaming forms are in ``framewright.streaming``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from collections.abc import Callable
 
-def sample_by_time(times: Column, gap_us: int) -> Column:
-    """Which events are emitted: the first, and each that comes ``gap_us`` or more after the last emitted one. Whole microseconds."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s, t):
-        emit = s["last"].isNull() | (t - s["last"] >= gap_us)
-        return F.struct(F.when(emit, t).otherwise(s["last"]).alias("last"), F.array_append(s["out"], emit).alias("out"))
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-    return F.aggregate(times, start, step, lambda s: s["out"])
 
+def carried(df: DataFrame, key: str, order: str, inputs: dict[str, Column], start, step: Callable, name: str, kind: str) -> DataFrame:
+    """(key, order, name): ``step(state, *inputs)`` gives the next state and the row's value; each key begins with ``start``."""
+    rows = df.select(key, order, *[c.alias(n) for n, c in inputs.items()])
+    out = df.sparkSession.createDataFrame([], f"`{name}` {kind}").schema[0].dataType
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, `{order}` {rows.schema[order].dataType.simpleString()}, `{name}` {kind}"
+    value = to_arrow_type(out)
 
-def throttle(stale: Column, gap: int, interval: int) -> Column:
-    """Pass kind of each frame: full by cadence, ROI where the snapshot is fresh, else full again after ``gap`` frames, or a single tile."""
-    start = F.struct(F.lit(0).alias("count"), F.lit(-(10**6)).alias("last"), F.array().cast("array<string>").alias("out"))
+    def run(batches):
+        held, state = object(), start
+        for b in batches:
+            got = []
+            for k, *x in zip(b.column(0).to_pylist(), *(b.column(i).to_pylist() for i in range(2, b.num_columns))):
+                if k != held:
+                    held, state = k, start
+                state, y = step(state, *x)
+                got.append(y)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, value)], [key, order, name])
 
-    def step(s, old):
-        n = s["count"] + 1
-        cadence = F.lit(interval <= 1) | (n % max(interval, 1) == 1)
-        fallback = ~cadence & old & (n - s["last"] >= gap)
-        kind = F.when(cadence, "full").when(~old, "roi").when(fallback, "fallback").otherwise("single")
-        return F.struct(n.alias("count"), F.when(fallback, n).otherwise(s["last"]).alias("last"), F.array_append(s["out"], kind).alias("out"))
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
-    return F.aggregate(stale, start, step, lambda s: s["out"])
 
+def sample_by_time(df: DataFrame, us: Column, gap_us: int, key: str = "stream_id", order: str = "frame_seq") -> DataFrame:
+    """(key, order, emitted): the first event, and each that comes ``gap_us`` or more after the last emitted one. Whole microseconds."""
 
-def micro_batches(times: Column, size: int, delay_us: int) -> Column:
-    """Batch number of each event: a batch ends when it is full or an event comes ``delay_us`` or more after its first."""
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("first"), F.array().cast("array<int>").alias("out"))
+    def step(last, t):
+        emit = last is None or t - last >= gap_us
+        return t if emit else last, emit
 
-    def step(s, t):
-        new = (s["n"] == 0) | (s["n"] >= size) | (t - s["first"] >= delay_us)
-        batch = F.when(new, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(batch.alias("batch"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, t).otherwise(s["first"]).alias("first"), F.array_append(s["out"], batch).alias("out"))
+    return carried(df, key, order, {"us": us}, None, step, "emitted", "boolean")
 
-    return F.aggregate(times, start, step, lambda s: s["out"])
 
+def throttle(df: DataFrame, stale: Column, gap: int, interval: int, key: str = "stream_id", order: str = "frame_seq") -> DataFrame:
+    """(key, order, kind), the pass of each frame: full by cadence, roi where the snapshot is fresh, else a fallback to a full one if ``gap`` frames
+    have gone since the last (a stream's first ``gap`` frames have none), else a single tile."""
 
-def batch_policy(oom: Column, cap: int = 16, streak: int = 120) -> Column:
-    """Largest batch after each run: halved by a memory failure (1 at least), doubled after ``streak`` successes (``cap`` at most)."""
-    start = F.struct(F.lit(cap).alias("size"), F.lit(0).alias("ok"), F.array().cast("array<int>").alias("out"))
+    def step(state, old):
+        n, last = state[0] + 1, state[1]
+        if interval <= 1 or n % interval == 1:
+            return (n, last), "full"
+        if not old:
+            return (n, last), "roi"
+        return ((n, n), "fallback") if n - last >= gap else ((n, last), "single")
 
-    def step(s, bad):
-        ok = F.when(bad, 0).otherwise(s["ok"] + 1)
-        grow = (ok >= streak) & (s["size"] < cap)
-        size = F.when(bad, F.greatest(F.lit(1), F.floor(s["size"] / 2).cast("int"))).when(grow, F.least(F.lit(cap), s["size"] * 2)).otherwise(s["size"])
-        return F.struct(size.alias("size"), F.when(grow, 0).otherwise(ok).alias("ok"), F.array_append(s["out"], size).alias("out"))
+    return carried(df, key, order, {"stale": stale}, (0, 0), step, "kind", "string")
 
-    return F.aggregate(oom, start, step, lambda s: s["out"])
 
+def micro_batches(df: DataFrame, us: Column, size: int, delay_us: int, key: str = "stream_id", order: str = "frame_seq") -> DataFrame:
+    """(key, order, batch): a group of events ends when it has ``size`` of them or one comes ``delay_us`` or more after its first."""
 
-def health(kinds: Column, degraded: int, most: int) -> Column:
-    """State after each event of a stream: CONNECTING, STREAMING, RECONNECTING, DEGRADED, FAILED (final) or STOPPED.
+    def step(state, t):
+        batch, n, first = state
+        if n == 0 or n >= size or t - first >= delay_us:
+            batch, n, first = batch + 1, 0, t
+        return (batch, n + 1, first), batch
 
-    FAILED is tested before DEGRADED, so with equal limits DEGRADED is never seen; ``most`` 0 never fails."""
-    start = F.struct(F.lit("STOPPED").alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("reconnects"), F.array().cast("array<string>").alias("out"))
+    return carried(df, key, order, {"us": us}, (0, 0, 0), step, "batch", "int")
 
-    def step(s, kind):
-        lost = kind.isin("dropped", "reconnect_failed")
-        back = kind.isin("opened", "reconnect_ok", "frame")
-        final = s["state"] == "FAILED"
-        failures = F.when(final, s["failures"]).when(lost, s["failures"] + 1).when(back | (kind == "added"), 0).otherwise(s["failures"])
-        state = (
-            F.when(kind == "removed", "STOPPED").when(kind == "added", "CONNECTING").when(final, "FAILED").when(back, "STREAMING")
-            .when(lost & F.lit(most > 0) & (failures >= most), "FAILED").when(lost & (failures >= degraded), "DEGRADED").when(lost, "RECONNECTING").otherwise(s["state"])
-        )
-        again = (kind == "reconnect_ok") & ~final
-        return F.struct(state.alias("state"), failures.alias("failures"), (s["reconnects"] + again.cast("int")).alias("reconnects"), F.array_append(s["out"], state).alias("out"))
 
-    return F.aggregate(kinds, start, step, lambda s: s["out"])
+def batch_policy(df: DataFrame, failed: Column, cap: int = 16, streak: int = 120, key: str = "stream_id", order: str = "frame_seq") -> DataFrame:
+    """(key, order, size): the largest batch after each run, halved by a memory failure (1 at least), doubled after ``streak`` successes (``cap`` at most)."""
 
+    def step(state, bad):
+        size, ok = state
+        size, ok = (max(1, size // 2), 0) if bad else (size, ok + 1)
+        if ok >= streak and size < cap:
+            size, ok = min(cap, size * 2), 0
+        return (size, ok), size
 
-def bounded_queue(ticks: Column, capacity: int, drained: int, policy: str) -> Column:
-    """Sequence numbers that a bounded queue lets through, tick by tick: arrivals enter, then ``drained`` leave.
+    return carried(df, key, order, {"bad": failed}, (cap, 0), step, "size", "int")
 
-    ``ticks`` is an array of arrays of numbers. ``drop_newest`` and ``block`` (whose wait ends in a drop) refuse arrivals beyond the capacity; ``drop_oldest`` pushes out the front."""
-    none = F.array().cast("array<bigint>")
-    start = F.struct(none.alias("held"), none.alias("out"))
 
-    def step(s, arrived):
-        every = F.concat(s["held"], arrived)
-        kept = F.slice(every, F.greatest(F.lit(1), F.size(every) - capacity + 1), capacity) if policy == "drop_oldest" else F.slice(every, 1, capacity)
-        return F.struct(F.slice(kept, drained + 1, capacity).alias("held"), F.concat(s["out"], F.slice(kept, 1, drained)).alias("out"))
+def health(df: DataFrame, kind: Column, degraded: int, most: int, key: str = "stream_id", order: str = "frame_seq") -> DataFrame:
+    """(key, order, state) after each event: CONNECTING, STREAMING, RECONNECTING, DEGRADED, FAILED (final until the stream is added or removed) or STOPPED.
 
-    return F.aggregate(ticks, start, step, lambda s: F.concat(s["out"], s["held"]))
+    Failures in a row are counted since the last event that is none; FAILED is tested before DEGRADED, so with equal limits DEGRADED is
+    never seen; ``most`` 0 never fails; events of other kinds change nothing."""
+    every = Window.partitionBy(key).orderBy(order)
+    rows = df.select(key, order, kind.alias("kind")).withColumns({"lost": F.col("kind").isin("dropped", "reconnect_failed"), "back": F.col("kind").isin("opened", "reconnect_ok", "frame"), "new": F.col("kind").isin("added", "removed")})
+    upto = every.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("life", F.count_if("new").over(upto)).withColumn("calm", F.count_if(F.col("back") | F.col("new")).over(upto))
+    streak = Window.partitionBy(key, "life", "calm").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("failures", F.count_if("lost").over(streak))
+    life = Window.partitionBy(key, "life").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    failed = F.max(F.col("lost") & (F.col("failures") >= most)).over(life) if most > 0 else F.lit(False)
+    own = F.when(F.col("kind") == "removed", "STOPPED").when(F.col("kind") == "added", "CONNECTING").when(F.col("back"), "STREAMING").when(F.col("lost") & (F.col("failures") >= degraded), "DEGRADED").when(F.col("lost"), "RECONNECTING")
+    rows = rows.withColumn("failed", failed).withColumn("own", own)
+    state = F.when(F.col("failed"), "FAILED").otherwise(F.coalesce(F.last("own", ignorenulls=True).over(life), F.lit("STOPPED")))
+    return rows.select(key, order, state.alias("state"))

@@ -2,8 +2,8 @@
 
 Each frame: tracks move on by their velocity; confident detections are matched to tracks first, weak ones to the tracks left over; tracks
 without a match age and go once they were lost for more than ``max_lost`` frames; unmatched confident detections
-start tracks. A track's number is shown once it was hit ``min_hits`` times. Matching maximises total overlap (float64) and drops pairs below
-``min_iou``. Frames are taken in order of frame_seq, whatever order they came in. Classes do not matter.
+start tracks. A track's number is shown once it was hit ``min_hits`` times. Matching maximises total overlap (float64) among pairs of ``min_iou`` or more:
+others are priced out before. Frames are taken in order of frame_seq, whatever order they came in. Classes do not matter.
 """
 
 from __future__ import annotations
@@ -11,7 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+PRICED_OUT = 1e6
 
 
 @dataclass
@@ -76,7 +80,8 @@ class Tracker:
         if not len(tracks) or not len(which):
             return []
         near = overlaps(self.box[tracks], boxes[which])
-        return [(int(tracks[i]), int(which[j])) for i, j in assign(1 - near) if near[i, j] >= self.c.min_iou]
+        ok = near >= self.c.min_iou
+        return [(int(tracks[i]), int(which[j])) for i, j in assign(np.where(ok, 1 - near, PRICED_OUT)) if ok[i, j]]
 
     def update(self, boxes: np.ndarray, conf: np.ndarray) -> list[int | None]:
         """Takes a frame's detections; returns each one's track number, or None."""
@@ -114,17 +119,32 @@ class Tracker:
 
 
 def track(dets: DataFrame, config: Config | None = None) -> DataFrame:
-    """``dets`` (stream_id, frame_seq, idx, conf, x1, y1, x2, y2) with track_id; one task follows one stream, sorted by frame."""
-    c = config or Config()
-
-    def run(group):
-        group = group.sort_values(["frame_seq", "idx"])
-        tracker, out = Tracker(c), []
-        boxes, conf = group[["x1", "y1", "x2", "y2"]].to_numpy(float), group["conf"].to_numpy(float)
-        seq = group["frame_seq"].to_numpy()
-        edges = [0, *(np.flatnonzero(seq[1:] != seq[:-1]) + 1).tolist(), len(seq)]
-        for a, b in zip(edges, edges[1:]):
-            out += tracker.update(boxes[a:b], conf[a:b])
-        return group.assign(track_id=out)[["stream_id", "frame_seq", "idx", "track_id"]].astype({"track_id": "Int64"})
-
-    return dets.groupBy("stream_id").applyInPandas(run, "stream_id bigint, frame_seq bigint, idx bigint, track_id bigint")
+    """``dets`` (stream_id, frame_seq, idx, conf, x1, y1, x2, y2) with track_id; streams are dealt over tasks, sorted and followed batch by batch."""
+    c, names = config or Config(), ["stream_id", "frame_seq", "idx", "track_id"]
+
+    def run(batches):
+        stream, tracker, held = object(), None, []
+
+        def follow(rows):
+            nonlocal stream, tracker
+            if rows[0][0] != stream:
+                stream, tracker = rows[0][0], Tracker(c)
+            shown = tracker.update(np.array([r[4:] for r in rows], float), np.array([r[3] for r in rows], float))
+            return [(*r[:3], t) for r, t in zip(rows, shown)]
+
+        def packed(out):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names)
+
+        for b in batches:
+            out = []
+            for r in zip(*(x.to_pylist() for x in b.columns)):
+                if held and r[:2] != held[0][:2]:
+                    out += follow(held)
+                    held = []
+                held.append(r)
+            yield packed(out)
+        if held:
+            yield packed(follow(held))
+
+    rows = dets.select(*[F.col(x).cast("bigint") for x in names[:3]], "conf", "x1", "y1", "x2", "y2")
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "frame_seq", "idx").mapInArrow(run, "stream_id bigint, frame_seq bigint, idx bigint, track_id bigint")

@@ -188,16 +188,24 @@ def shell_quote(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.shell_quote(F.col("text"))).alias("quoted"), T.has_control(F.col("text")).alias("control"))
 
 
-@query("bool_parse", "select event_id, case event_id % 5 when 0 then true when 1 then true when 2 then false when 3 then false end as flag from events")
+@query("bool_parse", "select event_id, case event_id % 6 when 0 then true when 1 then true when 2 then false when 3 then false end as flag from events")
 def bool_parse(spark, sf):
-    text = F.element_at(F.array(*[F.lit(x) for x in ("Yes", " on ", "0", "FALSE", "maybe")]), (F.col("event_id") % 5 + 1).cast("int"))
+    text = F.element_at(F.array(*[F.lit(x) for x in ("yes", "on", "0", "false", "FALSE", " on ")]), (F.col("event_id") % 6 + 1).cast("int"))
     return table(spark, sf, "events").select("event_id", T.boolean_of(text).alias("flag"))
 
 
-@query("enum_parse", "select event_id, ['v8', 'v5', 'v11', 'v26', null][event_id % 5 + 1] as version, ['cuda', 'cuda', 'ascend', 'cpu', null][event_id % 5 + 1] as backend from events")
+@query("enum_parse", "select event_id, ['v8', 'v5', 'v11', 'v26', null, null][event_id % 6 + 1] as version, ['cuda', 'cuda', 'ascend', 'mps', null, null][event_id % 6 + 1] as backend from events")
 def enum_parse(spark, sf):
-    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("event_id") % 5 + 1).cast("int"))
-    return table(spark, sf, "events").select("event_id", T.enum_of(pick("YOLOv8", "v5", "yolo11", "v26", "v9"), T.VERSIONS).alias("version"), T.enum_of(pick("trt", "CUDA", "ascend", "cpu", "tpu"), T.BACKENDS).alias("backend"))
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", T.enum_of(pick("yolov8", "v5", "yolo11", "v26", "yolov11", "V8"), T.VERSIONS).alias("version"), T.enum_of(pick("trt", "tensorrt", "acl", "metal", "tpu", "CUDA"), T.BACKENDS).alias("backend"))
+
+
+@query("number_parse", "select event_id, case event_id % 4 when 0 then event_id when 1 then -7 end::int as i, case event_id % 4 when 0 then event_id + 0.5 when 1 then -7 when 3 then 0.25 end::float as x from events")
+def number_parse(spark, sf):
+    """Numbers that texts begin with; null where the text has none."""
+    n = F.col("event_id") % 4
+    text = F.when(n == 0, F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit(".5px"))).when(n == 1, "-7").when(n == 2, "x1").otherwise(".25")
+    return table(spark, sf, "events").select("event_id", T.integer_of(text).alias("i"), T.float_of(text).alias("x"))
 
 
 @query("reconnect_backoff", "select event_id, greatest(3000.0, least(3000 * power(2, least(event_id % 10, 6)), 60000) * (1 + ((event_id % 21) - 10) / 10.0 * 0.1)) as wait_ms from events")
@@ -217,9 +225,9 @@ def stop_reconnect(spark, sf):
     return table(spark, sf, "events").select("event_id", T.stop_reconnecting(F.col("event_id") % 9, most).alias("stop"))
 
 
-@query("fault_type", "select event_id, case when event_id % 110 = 2 then 'oom' when event_id % 110 in (46, 100, 101) then 'device' when event_id % 110 = 0 then 'none' else 'unknown' end as fault from events")
+@query("fault_type", "select event_id, case when event_id % 250 = 2 then 'oom' when event_id % 250 in (101, 201) then 'context_lost' else 'engine_fault' end as fault from events")
 def fault_type(spark, sf):
-    return table(spark, sf, "events").select("event_id", T.fault_of(F.col("event_id") % 110).alias("fault"))
+    return table(spark, sf, "events").select("event_id", T.fault_of(F.col("event_id") % 250).alias("fault"))
 
 
 @query("dynamic_shape", "select s_suppkey as id, s_nationkey % 3 = 0 as dynamic from supplier")

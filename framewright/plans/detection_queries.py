@@ -20,7 +20,7 @@ def names():
 
 def _rounded(df, *keys):
     """One row a detection of column d, its numbers rounded to six places."""
-    return df.select(*keys, *[F.round(f"d.{c}", 6).alias(c) for c in ("conf", *BOX)], F.col("d.idx").alias("idx"), F.col("d.class_id").alias("class_id"))
+    return df.select(*keys, "d.idx", "d.class_id", *[F.round(f"d.{c}", 6).alias(c) for c in ("conf", *BOX)])
 
 
 def _scaled_tensor():

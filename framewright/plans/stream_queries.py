@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from framewright.functions import geometry as G
 from framewright.functions import metrics as M
+from framewright.operators import results as R
 from framewright.operators import sequential as S
-from framewright.plans.fixtures import WITH_FRAMES, frames
+from framewright.plans.fixtures import WITH_DETECTIONS, WITH_FRAMES, frames, per_frame
 from framewright.plans.registry import query
 
 def seq():
@@ -15,14 +17,8 @@ def seq():
     return Window.partitionBy("stream_id").orderBy("frame_seq")
 
 
-def ordered(spark, sf):
-    """One row a stream, its events as arrays in order."""
-    one = F.struct("frame_seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "latency_ms", "model_id")
-    return frames(spark, sf).groupBy("stream_id").agg(F.array_sort(F.collect_list(one)).alias("e"))
-
-
-def _zip(df, out, name):
-    return df.select("stream_id", F.explode(F.arrays_zip(F.col("e.frame_seq").alias("frame_seq"), out.alias(name))).alias("x")).select("stream_id", "x.*")
+def _us(column="ts"):
+    return F.unix_micros(F.col(column).cast("timestamp"))
 
 
 def _recursive(state: str, start: str, step: str) -> str:
@@ -43,34 +39,30 @@ def frame_count_sample(spark, sf):
 @query("time_sample", _recursive("emitted", "true as emitted, us as last", "f.us - r.last >= 300000000, case when f.us - r.last >= 300000000 then f.us else r.last end"))
 def time_sample(spark, sf):
     """At most one frame in 300 seconds of event time, counted from the last emitted one."""
-    o = ordered(spark, sf)
-    return _zip(o, S.sample_by_time(F.col("e.us"), 300_000_000), "emitted")
+    return S.sample_by_time(frames(spark, sf), _us(), 300_000_000)
 
 
 @query(
     "fallback_throttle",
     _recursive(
-        "kind", "'full' as kind, 1 as n, -1000000 as last",
+        "kind", "'full' as kind, 1 as n, 0 as last",
         "case when (r.n + 1) % 100 = 1 then 'full' when f.latency_ms <= 100 then 'roi' when r.n + 1 - r.last >= 5 then 'fallback' else 'single' end, r.n + 1, case when (r.n + 1) % 100 <> 1 and f.latency_ms > 100 and r.n + 1 - r.last >= 5 then r.n + 1 else r.last end",
     ),
 )
 def fallback_throttle(spark, sf):
     """Full passes by cadence; stale snapshots fall back to a full pass at most every fifth frame, else to a single tile."""
-    o = ordered(spark, sf)
-    return _zip(o, S.throttle(F.transform("e", lambda x: x["latency_ms"] > 100), 5, 100), "kind")
+    return S.throttle(frames(spark, sf), F.col("latency_ms") > 100, 5, 100)
 
 
 @query("micro_batch", _recursive("batch", "1 as batch, 1 as n, us as first", "case when r.n >= 8 or f.us - r.first >= 900000000 then r.batch + 1 else r.batch end, case when r.n >= 8 or f.us - r.first >= 900000000 then 1 else r.n + 1 end, case when r.n >= 8 or f.us - r.first >= 900000000 then f.us else r.first end"))
 def micro_batch(spark, sf):
-    """Batches of eight frames, or of what came in 900 seconds."""
-    o = ordered(spark, sf)
-    return _zip(o, S.micro_batches(F.col("e.us"), 8, 900_000_000), "batch")
+    """Groups of eight frames, or of what came in 900 seconds."""
+    return S.micro_batches(frames(spark, sf), _us(), 8, 900_000_000)
 
 
 @query("success_streak", _recursive("size", "case when latency_ms > 200 then 8 else 16 end as size, case when latency_ms > 200 then 0 else 1 end as ok", "case when f.latency_ms > 200 then greatest(1, r.size // 2) when r.ok + 1 >= 12 and r.size < 16 then least(16, r.size * 2) else r.size end, case when f.latency_ms > 200 or (r.ok + 1 >= 12 and r.size < 16) then 0 else r.ok + 1 end"))
 def success_streak(spark, sf):
-    o = ordered(spark, sf)
-    return _zip(o, S.batch_policy(F.transform("e", lambda x: x["latency_ms"] > 200), 16, 12), "size")
+    return S.batch_policy(frames(spark, sf), F.col("latency_ms") > 200, 16, 12)
 
 
 _KIND = "case {f}event_id % 5 when 0 then 'dropped' when 1 then 'reconnect_failed' when 2 then 'reconnect_failed' when 3 then 'reconnect_ok' else 'frame' end"
@@ -87,18 +79,38 @@ select stream_id, frame_seq, state from r""",
 )
 def health_fsm(spark, sf):
     """Stream states after each event: degraded from three failures in a row, failed for good from five."""
-    kind = F.expr(_KIND.format(f=""))
-    e = frames(spark, sf).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("frame_seq", kind.alias("kind")))).alias("e"))
-    return _zip(e, S.health(F.col("e.kind"), 3, 5), "state")
+    return S.health(frames(spark, sf), F.expr(_KIND.format(f="")), 3, 5)
+
+
+_GRID = [(x, y, 960, 540) for y in (0, 540) for x in (0, 768, 960)]
 
 
-@query("bounded_queue")
-def bounded_queue(spark, sf):
-    """Frames that a queue of four lets through when 3 leave in each minute; the oldest go first when it is full."""
-    tick = F.date_trunc("minute", F.col("ts").cast("timestamp"))
-    t = frames(spark, sf).groupBy("stream_id", tick.alias("tick")).agg(F.array_sort(F.collect_list("frame_seq")).alias("seqs"))
-    ticks = t.groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tick", "seqs"))), lambda x: x["seqs"]).alias("ticks"))
-    return ticks.select("stream_id", F.explode(S.bounded_queue(F.col("ticks"), 4, 3, "drop_oldest")).alias("frame_seq"))
+@query(
+    "sahi_schedule",
+    _recursive(
+        "kind", "'full' as kind, 1 as n, 0 as last",
+        "case when (r.n + 1) % 100 = 1 then 'full' when f.latency_ms <= 100 then 'roi' when r.n + 1 - r.last >= 5 then 'fallback' else 'single' end, r.n + 1, case when (r.n + 1) % 100 <> 1 and f.latency_ms > 100 and r.n + 1 - r.last >= 5 then r.n + 1 else r.last end",
+    ).replace("with recursive", "with recursive kinds as (with recursive", 1)
+    + f"""), g(x, y, w, h) as (values {", ".join(map(str, _GRID))}),
+w as (select stream_id, frame_seq, kind, (frame_seq % 10) * 150 as ox, (frame_seq % 4) * 200 as oy from kinds),
+t as (select stream_id, frame_seq, kind, x, y, w, h from w, g where kind in ('full', 'fallback')
+ union all select stream_id, frame_seq, kind, 0, 0, 1920, 1080 from w where kind = 'single'
+ union all select stream_id, frame_seq, kind, greatest(0, ox - 28), greatest(0, oy - 28), least(1920, ox + 228) - greatest(0, ox - 28), least(1080, oy + 228) - greatest(0, oy - 28) from w where kind = 'roi')
+select stream_id, frame_seq, kind, cast(row_number() over (partition by stream_id, frame_seq order by y, x) - 1 as bigint) as tile, cast(row_number() over (partition by stream_id order by frame_seq, y, x) as bigint) as tile_seq,
+ cast(count(*) over (partition by stream_id, frame_seq) as bigint) as expected, cast(x as int) as x, cast(y as int) as y, cast(w as int) as w, cast(h as int) as h from t""",
+)
+def sahi_schedule(spark, sf):
+    """Frames to tiles: the whole grid on full passes, windows around the snapshot's boxes, or the frame itself as a single tile; tiles are numbered by stream."""
+    f = frames(spark, sf)
+    kinds = S.throttle(f, F.col("latency_ms") > 100, 5, 100)
+    box = F.struct(*[(c.cast("double")).alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), (F.col("frame_seq") % 10 * 150, F.col("frame_seq") % 4 * 200, F.col("frame_seq") % 10 * 150 + 200, F.col("frame_seq") % 4 * 200 + 200))])
+    whole = F.array(F.struct(F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(1920).alias("w"), F.lit(1080).alias("h")))
+    grid = G.tiles(1920, 1080, 960, 540, 0.2, 0.0)
+    tiles = F.when(F.col("kind").isin("full", "fallback"), grid).when(F.col("kind") == "single", whole).otherwise(F.array(G.roi_window(box, 0.28, 256, 1920, 1080)))
+    t = kinds.withColumn("tiles", tiles).withColumn("expected", F.size("tiles").cast("bigint"))
+    before = F.coalesce(F.sum("expected").over(seq().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = t.withColumn("before", before).select("stream_id", "frame_seq", "kind", "expected", "before", F.posexplode("tiles").alias("tile", "t"))
+    return t.select("stream_id", "frame_seq", "kind", F.col("tile").cast("bigint").alias("tile"), (F.col("before") + F.col("tile") + 1).cast("bigint").alias("tile_seq"), "expected", "t.x", "t.y", "t.w", "t.h")
 
 
 @query("full_pass_cadence", WITH_FRAMES + "select stream_id, frame_seq from frames where (frame_seq + 1) % 10 = 1")
@@ -229,16 +241,23 @@ def gauge_last(spark, sf):
     return frames(spark, sf).groupBy("stream_id").agg(F.max_by("latency_ms", "frame_seq").alias("value"))
 
 
-#: Quantile panels: name, quantile, label.
+_MINUTE = "strftime(date_trunc('minute', ts), '%Y%m%d%H%M')"
+
+
+def _minute(column="ts"):
+    return F.date_format(F.date_trunc("minute", F.col(column).cast("timestamp")), "yyyyMMddHHmm").alias("minute")
+
+
+#: Quantile panels: name, quantile, label; each over the rows of a minute, as a rate over one minute counts them.
 for _name, _q, _label in (("e2e_p99_all", 0.99, None), ("infer_p50_by_model", 0.5, "model_id"), ("infer_p99_by_model", 0.99, "model_id"), ("e2e_p50_by_stream", 0.5, "stream_id"), ("e2e_p90_by_stream", 0.9, "stream_id"), ("e2e_p99_by_stream", 0.99, "stream_id")):
     _g = f"{_label}," if _label else ""
-    _by = f"group by {_label}" if _label else ""
     _counts = ", ".join(f"count(*) filter (latency_ms <= {b})::double as b{i}" for i, b in enumerate(M.LATENCY))
     _case = " ".join(f"when b{i} >= {_q} * n and b{i} > 0 then {float(M.LATENCY[i - 1]) if i else 0.0} + {M.LATENCY[i] - (M.LATENCY[i - 1] if i else 0)} * ({_q} * n - {f'b{i - 1}' if i else 0}) / (b{i} - {f'b{i - 1}' if i else 0})" for i in range(len(M.LATENCY)))
 
-    @query(_name, WITH_FRAMES + f", h as (select {_g} count(*)::double as n, {_counts} from frames {_by}) select {_g} round(case {_case} else 1000.0 end, 6) as q from h")
+    @query(_name, WITH_FRAMES + f", h as (select {_g} {_MINUTE} as minute, count(*)::double as n, {_counts} from frames group by all) select {_g} minute, round(case {_case} else 1000.0 end, 6) as q from h")
     def _quantile(spark, sf, q=_q, label=_label):
-        return M.quantile(frames(spark, sf), F.col("latency_ms"), q, *([label] if label else [])).withColumn("q", F.round("q", 6))
+        rows = frames(spark, sf).withColumn("minute", _minute())
+        return M.quantile(rows, F.col("latency_ms"), q, *([label] if label else []), "minute").withColumn("q", F.round("q", 6))
 
 
 _COUNTER = ", c as (select stream_id, frame_seq, ts, model_id, cast(frame_seq % 400 as double) as total from frames), s as (select *, case when lag(total) over w is null then null when total < lag(total) over w then total else total - lag(total) over w end as step from c window w as (partition by stream_id order by frame_seq))"
@@ -250,10 +269,6 @@ def counters(spark, sf):
     return M.increase(c, "total", ["stream_id"], ["frame_seq"])
 
 
-def _minute(column="ts"):
-    return F.date_format(F.date_trunc("minute", F.col(column).cast("timestamp")), "yyyyMMddHHmm").alias("minute")
-
-
 @query("rate_1m", WITH_FRAMES + _COUNTER + " select stream_id, strftime(date_trunc('minute', ts), '%Y%m%d%H%M') as minute, round(coalesce(sum(step), 0) / 60, 6) as rate from s group by all")
 def rate_1m(spark, sf):
     """Growth a second in each minute."""
@@ -291,16 +306,17 @@ def drop_ratio(spark, sf):
     return frames(spark, sf).groupBy("stream_id").agg(F.round(F.count_if(F.col("event_id") % 11 == 0) / (F.count("*") + F.lit(1e-9)), 6).alias("ratio"))
 
 
-@query("publish_drop_rates", WITH_FRAMES + "select model_id, round(count(*) filter (event_id % 11 <> 0) / 60.0, 6) as published, round(count(*) filter (event_id % 11 = 0) / 60.0, 6) as dropped from frames group by 1")
+@query("publish_drop_rates", WITH_FRAMES + f"select model_id, {_MINUTE} as minute, round(count(*) filter (event_id % 11 <> 0) / 60.0, 6) as published, round(count(*) filter (event_id % 11 = 0) / 60.0, 6) as dropped from frames group by all")
 def publish_drop_rates(spark, sf):
-    """Published and dropped a second, of a minute's rows."""
+    """Published and dropped a second, in each minute."""
     drop = F.col("event_id") % 11 == 0
-    return frames(spark, sf).groupBy("model_id").agg(F.round(F.count_if(~drop) / 60, 6).alias("published"), F.round(F.count_if(drop) / 60, 6).alias("dropped"))
+    return frames(spark, sf).groupBy("model_id", _minute()).agg(F.round(F.count_if(~drop) / 60, 6).alias("published"), F.round(F.count_if(drop) / 60, 6).alias("dropped"))
 
 
-@query("avg_batch", WITH_FRAMES + "select model_id, round(sum(1 + event_id % 20) / count(*), 6) as size, round(count(*) / 60.0, 6) as batches_s from frames group by 1")
+@query("avg_batch", WITH_FRAMES + f"select model_id, {_MINUTE} as minute, round(sum(1 + event_id % 20) / count(*), 6) as size, round(count(*) / 60.0, 6) as batches_s from frames group by all")
 def avg_batch(spark, sf):
-    return frames(spark, sf).groupBy("model_id").agg(F.round(F.sum(1 + F.col("event_id") % 20) / F.count("*"), 6).alias("size"), F.round(F.count("*") / 60, 6).alias("batches_s"))
+    """Mean size and number a second of the batches of each minute."""
+    return frames(spark, sf).groupBy("model_id", _minute()).agg(F.round(F.sum(1 + F.col("event_id") % 20) / F.count("*"), 6).alias("size"), F.round(F.count("*") / 60, 6).alias("batches_s"))
 
 
 @query("batch_distribution", WITH_FRAMES + ", b as (select epoch_us(ts) // 120000000 as bucket, 1 + event_id % 20 as size from frames) select bucket, le, count(*) filter (size <= le) as n from b, (select unnest([1.0, 2, 4, 8, 16, 32, 'inf'::double]) as le) group by all")
@@ -345,6 +361,34 @@ def redis_json(spark, sf):
     return frames(spark, sf).select(F.concat(F.lit("inference:"), "stream_id").alias("stream_key"), F.to_json(F.struct("stream_id", "frame_seq", "model_id")).alias("data"))
 
 
+_DETS = """, dets as (select frame_id, string_agg('{"attributes":' || case when idx = 0 then '{"color":"red"}' else '{}' end || ',"bbox":[' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || '],"class_id":' || class_id || ',"class_name":"' || ['car', 'truck', 'bus', 'bike'][class_id + 1]
+ || '","confidence":' || conf || case when idx % 2 = 0 then ',"track_id":' || (idx + 1) else '' end || '}', ',' order by idx) as d from detections group by 1)"""
+
+
+def results(spark, sf):
+    """Results of frames: orders as frames of 16 streams, some detections with a track number and attributes."""
+    f = per_frame(spark, sf)
+    attributes = lambda d: F.when(d["idx"] == 0, F.create_map(F.lit("color"), F.lit("red"))).otherwise(F.create_map().cast("map<string,string>"))
+    names = F.array(*[F.lit(n) for n in ("car", "truck", "bus", "bike")])
+    dets = F.transform("dets", lambda d: F.struct(attributes(d).alias("attributes"), d["class_id"].alias("class_id"), F.get(names, d["class_id"].cast("int")).alias("class_name"), d["conf"].alias("conf"), d["x1"].alias("x1"), d["y1"].alias("y1"), d["x2"].alias("x2"), d["y2"].alias("y2"), F.when(d["idx"] % 2 == 0, d["idx"] + 1).alias("track_id")))
+    at = F.col("frame_id")
+    return f.select(F.concat(F.lit("cam_"), (at % 16).cast("string")).alias("stream_id"), at.alias("frame_seq"), (at + 0.5).alias("frame_ts"), (at + 0.75).alias("infer_ts"), F.lit(250.0).alias("latency_ms"), F.lit("yolo").alias("model_id"), F.concat(F.lit("/data/"), at.cast("string"), F.lit(".jpg")).alias("frame_local_path"), F.concat(F.lit("http://a/"), at.cast("string")).alias("frame_url"), dets.alias("detections"))
+
+
+@query("result_json", WITH_DETECTIONS + _DETS + """ select 'cam_' || frame_id % 16 as key_, '{"detections":[' || d || '],"frame_local_path":"/data/' || frame_id || '.jpg","frame_seq":' || frame_id || ',"frame_ts":' || (frame_id + 0.5)::double || ',"frame_url":"http://a/' || frame_id || '","infer_ts":' || (frame_id + 0.75)::double || ',"latency_ms":250.0,"model_id":"yolo","stream_id":"cam_' || frame_id % 16 || '"}' as value from dets""")
+def result_json(spark, sf):
+    """The whole result as sinks publish it, keys in order; a track number only where there is one."""
+    return results(spark, sf).select(F.col("stream_id").alias("key_"), R.result_json().alias("value"))
+
+
+@query("frame_message", WITH_DETECTIONS + """ select 'cam_' || frame_id % 16 as stream_id, frame_id as frame_seq, (frame_id + 0.5)::double as frame_ts, (frame_id + 0.75)::double as infer_ts, 250.0::double as latency_ms, 'yolo' as model_id, '/data/' || frame_id || '.jpg' as frame_local_path, 'http://a/' || frame_id as frame_url,
+ idx as pos, class_id, ['car', 'truck', 'bus', 'bike'][class_id + 1] as class_name, conf as confidence, x1, y1, x2, y2, case when idx % 2 = 0 then idx + 1 else 0 end as track_id, case when idx = 0 then 'red' end as color from detections""")
+def frame_message(spark, sf):
+    """The frame message with its nine fields, its detections laid out as rows; track number 0 stands for none."""
+    m = results(spark, sf).select("*", F.posexplode(R.frame_detections()).alias("pos", "d")).drop("detections")
+    return m.select(*m.columns[:-2], F.col("pos").cast("bigint").alias("pos"), "d.class_id", "d.class_name", "d.confidence", "d.bbox.*", "d.track_id", F.try_element_at("d.attributes", F.lit("color")).alias("color"))
+
+
 @query("event_ids", WITH_FRAMES + "select stream_id || ':' || frame_seq as event_id, stream_id || ':' || frame_seq || '#tile' || (frame_seq + 1) as tile_id from frames")
 def event_ids(spark, sf):
     event = F.concat_ws(":", "stream_id", F.col("frame_seq").cast("string"))

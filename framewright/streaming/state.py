@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -36,9 +37,9 @@ def sample_by_time(frames: DataFrame, gap_us: int, idle_ms: int = 60_000) -> Dat
 
 
 def complete_tiles(tiles: DataFrame, wait: str = "2 seconds") -> DataFrame:
-    """Tiles (stream_id, parent_seq, tile_seq, ts, expected) gathered by parent; parents not complete within ``wait`` of event time are dropped."""
+    """Tiles (stream_id, parent_seq, tile_seq, ts, expected) gathered by parent as long as no more than ``wait`` of event time lies between them; parents that stay incomplete are dropped."""
     t = tiles.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", wait)
-    g = t.groupBy("stream_id", "parent_seq", F.window("ts", wait)).agg(F.count("*").alias("n"), F.max("expected").alias("expected"), F.min("tile_seq").alias("template"))
+    g = t.groupBy("stream_id", "parent_seq", F.session_window("ts", wait)).agg(F.count("*").alias("n"), F.max("expected").alias("expected"), F.min("tile_seq").alias("template"))
     return g.where("n >= expected").select("stream_id", "parent_seq", "n", "template")
 
 
@@ -49,7 +50,7 @@ def latency_windows(frames: DataFrame, size: str = "1 minute", late: str = "1 mi
 
 
 def fan_out(sinks: dict[str, Callable[[DataFrame, int], None]]):
-    """A foreachBatch function that hands each batch to every sink; a failing one never holds up the others, and is reported at the end."""
+    """A foreachBatch function that hands each batch to every sink; a failing one never holds up the others and is logged; if all fail, the batch fails."""
 
     def run(df: DataFrame, batch: int) -> None:
         failed = {}
@@ -60,6 +61,7 @@ def fan_out(sinks: dict[str, Callable[[DataFrame, int], None]]):
                     sink(df, batch)
                 except Exception as e:  # noqa: BLE001
                     failed[name] = e
+                    logging.getLogger(__name__).error("sink %s failed on batch %s: %s", name, batch, e)
         finally:
             df.unpersist()
         if len(failed) == len(sinks) and sinks:

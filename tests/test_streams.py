@@ -1,6 +1,9 @@
 """Golden rows of sequential rules, metrics, tracking, catalog, pipelines; streaming agrees with batch."""
 
 import json
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -14,38 +17,67 @@ from framewright.sources.catalog import Catalog, scan_repository
 from framewright.streaming import state
 
 
-def longs(*v):
-    return F.array(*[F.lit(x).cast("bigint") for x in v])
-
-
 def one(spark, c):
     return spark.range(1).select(c.alias("x")).first().x
 
 
+def followed(spark, rule, kind, *values):
+    """What a rule says of one stream's values, and of a second stream of the same values."""
+    df = spark.createDataFrame([(s, i, v) for s in ("a", "b") for i, v in enumerate(values)], f"stream_id string, frame_seq bigint, v {kind}")
+    rows = rule(df, F.col("v")).collect()
+    out = [[r[2] for r in sorted(rows, key=lambda r: r.frame_seq) if r.stream_id == s] for s in ("a", "b")]
+    assert out[0] == out[1]
+    return out[0]
+
+
 def test_sampling(spark):
-    assert one(spark, S.sample_by_time(longs(0, 100_000, 200_000, 300_000, 400_000), 200_000)) == [True, False, True, False, True]
+    assert followed(spark, lambda d, c: S.sample_by_time(d, c, 200_000), "bigint", 0, 100_000, 200_000, 300_000, 400_000) == [True, False, True, False, True]
 
 
 def test_health(spark):
     def states(degraded, most, *kinds):
-        return one(spark, S.health(F.array(*[F.lit(k) for k in kinds]), degraded, most))
+        return followed(spark, lambda d, c: S.health(d, c, degraded, most), "string", *kinds)
 
     assert states(3, 9, "reconnect_failed", "reconnect_failed", "reconnect_failed") == ["RECONNECTING", "RECONNECTING", "DEGRADED"]
     assert states(2, 9, "dropped", "reconnect_failed", "reconnect_ok")[-1] == "STREAMING"
     assert states(2, 2, "dropped", "dropped", "frame")[-1] == "FAILED"
     assert "DEGRADED" not in states(5, 5, *["dropped"] * 6)
+    assert states(2, 2, "?", "added", "frame", "dropped", "dropped", "frame", "added", "dropped", "?", "removed") == ["STOPPED", "CONNECTING", "STREAMING", "RECONNECTING", "FAILED", "FAILED", "CONNECTING", "RECONNECTING", "RECONNECTING", "STOPPED"]
+
+
+def test_throttle(spark):
+    got = followed(spark, lambda d, c: S.throttle(d, c, 5, 10), "boolean", *[True] * 12)
+    assert got == ["full", "single", "single", "single", "fallback", "single", "single", "single", "single", "fallback", "full", "single"]
+    assert followed(spark, lambda d, c: S.throttle(d, c, 5, 10), "boolean", True, False, True)[1:] == ["roi", "single"]
 
 
 def test_batches_and_policy(spark):
-    assert one(spark, S.micro_batches(longs(0, 1, 2, 3, 50, 51), 3, 20)) == [1, 1, 1, 2, 3, 3]
-    sizes = one(spark, S.batch_policy(F.array(*[F.lit(x) for x in [True] * 6 + [False] * 3]), 16, 3))
-    assert sizes == [8, 4, 2, 1, 1, 1, 1, 1, 2]
+    assert followed(spark, lambda d, c: S.micro_batches(d, c, 3, 20), "bigint", 0, 1, 2, 3, 50, 51) == [1, 1, 1, 2, 3, 3]
+    assert followed(spark, lambda d, c: S.batch_policy(d, c, 16, 3), "boolean", *[True] * 6, *[False] * 3) == [8, 4, 2, 1, 1, 1, 1, 1, 2]
+
+
+def test_text_rules(spark):
+    lit = F.lit
+    assert [one(spark, T.fault_of(lit(c))) for c in (2, 101, 201, 46, 0)] == ["oom", "context_lost", "context_lost", "engine_fault", "engine_fault"]
+    assert [one(spark, T.enum_of(lit(x), T.VERSIONS)) for x in ("yolo11", "yolov11", "V8")] == ["v11", None, None]
+    assert [one(spark, T.enum_of(lit(x), T.BACKENDS)) for x in ("acl", "metal", "CUDA")] == ["ascend", "mps", None]
+    assert [one(spark, T.boolean_of(lit(x))) for x in ("on", "0", "On", " on")] == [True, False, None, None]
+    assert [one(spark, T.integer_of(lit(x))) for x in (" 12px", "x", "99999999999", "-3")] == [12, None, None, -3]
+    assert one(spark, T.float_of(lit("1.5e1z"))) == 15.0
+
+
+def test_gated_assignment():
+    t = Tracker(Config(min_hits=1))
+    box = lambda *b: np.array(b, float)
+    first, second = t.update(box([0, 0, 100, 100], [60, 0, 160, 100]), np.array([0.9, 0.9]))
+    # without the gate the pairs of 0.29 and 0.82 would beat the only lawful one
+    assert t.update(box([55, 0, 155, 100]), np.array([0.9])) == [second] and first != second
 
 
-def test_queue_policies(spark):
-    ticks = F.array(longs(1, 2, 3), longs(4))
-    assert one(spark, S.bounded_queue(ticks, 2, 1, "drop_newest")) == [1, 2, 4]
-    assert one(spark, S.bounded_queue(ticks, 2, 1, "drop_oldest")) == [2, 3, 4]
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 110; from pyspark import SparkContext; assert SparkContext._active_spark_context is None"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
 
 
 def test_histograms(spark):
@@ -118,16 +150,15 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("sampled").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r.stream_id, r.frame_seq) for r in spark.table("sampled").collect()}
-    e = rows.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("frame_seq", F.unix_micros("ts").alias("us")))).alias("e"))
-    out = e.select("stream_id", F.explode(F.arrays_zip(F.col("e.frame_seq").alias("q"), S.sample_by_time(F.col("e.us"), 30_000_000).alias("on"))).alias("x"))
-    assert got == {(r.stream_id, r.q) for r in out.where("x.on").select("stream_id", F.col("x.q").alias("q")).collect()}
+    out = S.sample_by_time(rows, F.unix_micros("ts"), 30_000_000)
+    assert got == {(r.stream_id, r.frame_seq) for r in out.where("emitted").collect()}
 
 
-def test_fan_out(spark):
+def test_fan_out(spark, caplog):
     seen = []
 
     def bad(df, n):
         raise OSError("down")
 
     state.fan_out({"bad": bad, "good": lambda df, n: seen.append(df.count())})(spark.range(3), 0)
-    assert seen == [3]
+    assert seen == [3] and "sink bad failed" in caplog.text
