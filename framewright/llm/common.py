@@ -63,6 +63,15 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+#: Rows that are broadcast at most; more are shuffled.
+BROADCAST = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has ``BROADCAST`` rows or less."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def text_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand Python at most ``rows`` rows, or 32 MB, at once, so that a batch of very long texts fits in a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

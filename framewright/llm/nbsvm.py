@@ -3,7 +3,7 @@
 A text's features are the sets of one to three consecutive words, A-Z lower-cased and without the marks around them, hashed into ``WORDS``
 slots, and of one to three consecutive word shapes, hashed into ``SHAPES`` further slots. A shape stands for a word's whole form: runs of small letters, of digits and of
 other letters than ASCII become one sign, runs of capitals and of equal marks two at most, and a word that repeats the one before is marked. Words are parted by ASCII white space. Spark
-counts the slots of all labelled training rows; the log ratio of the smoothed class shares scales each indicator. A
+counts the slots of all labelled training rows, each task its own first; the log ratio of the smoothed class shares scales each indicator. A
 linear hinge-loss model is fitted by dual coordinate descent on at most ``SAMPLE`` labelled rows
 (half from each class, those with the smallest hash of doc_id), and a logistic curve over its margins,
 weighted to the true class shares, gives scores in 0 to 1.
@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import drop_written, fresh_worker, grams, plain_bytes, text_batches, word_hashes, written
+from framewright.llm.common import drop_written, few, fresh_worker, grams, plain_bytes, text_batches, word_hashes, written
 
-SHAPES, WORDS = 1 << 18, 1 << 20
+SHAPES, WORDS = 1 << 18, 1 << 18
 SPACE = SHAPES + WORDS
 SAMPLE = 6_000
 KEEP = 0.7
@@ -109,33 +109,51 @@ def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(a), float(b)
 
 
+def _counted(batches):
+    """A task's counts of each slot among texts of quality 0 and 1."""
+    fresh_worker()
+    counts = np.zeros((2, SPACE), np.int64)
+    for b in batches:
+        for q, t in zip(b.column(0).to_pylist(), b.column(1)):
+            counts[q, indicators(t.as_py())] += 1
+    some = np.flatnonzero(counts.any(axis=0))
+    for i in range(0, len(some), 65536):
+        at = some[i : i + 65536]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], ["slot", "n0", "n1"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """(weights, slope, offset), from the labelled rows of ``docs`` that are not held out; None without both classes.
 
     What reaches the driver is bounded: two counts a slot, and ``sample`` rows."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(~held_out())
-    train = written(features(texts.join(known.select("doc_id"), "doc_id", "left_semi")).join(known, "doc_id"), "labelled")
-    total = {r.quality: r.n for r in train.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    known = written(known, "known")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out()).join(few(known), "doc_id")
+    ids = written(rows.select("doc_id", "quality"), "ids")
+    total = {r.quality: r.n for r in ids.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if set(total) != {0, 1}:
         return None
+    text_batches(docs.sparkSession)
+    each = rows.select("quality", "text").mapInArrow(_counted, "slot int, n0 bigint, n1 bigint")
+    found = each.groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     counts = np.full((2, SPACE), SMOOTHING)
-    found = train.select("quality", F.explode("feats").alias("slot")).groupBy("slot").agg(*[F.count_if(F.col("quality") == q).alias(f"n{q}") for q in (0, 1)]).toArrow()
     counts[:, found["slot"].to_numpy()] += np.array([found["n0"].to_numpy(), found["n1"].to_numpy()])
     del found
     share = counts / counts.sum(axis=1, keepdims=True)
     scale = np.where(counts.sum(axis=0) > 2 * SMOOTHING, np.log(share[1] / share[0]), 0.0)
-    rows, y = [], []  # what reaches the driver is bounded by the slots and the sample
+    vectors, y = [], []  # what reaches the driver is bounded by the slots and the sample
     for q in (0, 1):
-        part = train.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").select("feats").limit(sample // 2).toArrow()["feats"]
-        rows += [r for c in part.chunks for r in np.split(c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py())[1:-1]) if len(c)]
+        chosen = ids.where(F.col("quality") == q).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
+        part = features(rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).dropDuplicates(["doc_id"]).select("feats").toArrow()["feats"]
+        vectors += [r for c in part.chunks for r in np.split(c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py())[1:-1]) if len(c)]
         y += [2 * q - 1] * len(part)
     y = np.array(y)
     seen = {q: int((y == 2 * q - 1).sum()) for q in (0, 1)}
-    w = dual_coordinate_descent(rows, y, scale, np.full(len(y), COST), EPOCHS)
-    drop_written(train)
+    w = dual_coordinate_descent(vectors, y, scale, np.full(len(y), COST), EPOCHS)
+    drop_written(ids)
+    drop_written(known)
     weights = np.append(w[:-1] * scale, w[-1]).astype(np.float32)
-    margin = np.array([weights[r].sum() for r in rows]) + weights[-1]
+    margin = np.array([weights[r].sum() for r in vectors]) + weights[-1]
     a, b = logistic(margin, y, np.where(y > 0, total[1] / seen[1], total[0] / seen[0]))
     return weights, a, b
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import components, drop_written, free_names, fresh_worker, grams, mixed, text_batches, word_hashes, written
+from framewright.llm.common import components, drop_written, few, free_names, fresh_worker, grams, mixed, text_batches, word_hashes, written
 
 BUCKET = 64
 #: Wide mode: nodes, and shingles, of a block's part, about.
@@ -43,10 +43,6 @@ SALTS = 16
 _NULL = -(2**63)
 
 
-#: Rows that are broadcast at most; more are shuffled.
-BROADCAST = 200_000
-
-
 def sketch_distance(similarity: float) -> int:
     """Min-hashes whose four bits differ, at most, at this similarity: the expected ones and five standard deviations."""
     p = (1 - similarity) * 15 / 16
@@ -143,11 +139,6 @@ def set_keys(docs: DataFrame, words: int) -> DataFrame:
     return source.mapInArrow(run, "doc_id bigint, row bigint, node bigint, fp array<bigint>, keys array<bigint>")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has ``BROADCAST`` rows or less."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
-
-
 def _sets(docs: DataFrame, used: DataFrame, words: int) -> DataFrame:
     """(node, items array<bigint>): the sorted shingle sets of the nodes ``used`` (node, one): one names a row of ``docs`` by its doc_id and text hash."""
 
@@ -158,7 +149,7 @@ def _sets(docs: DataFrame, used: DataFrame, words: int) -> DataFrame:
 
     used = written(used.select("node", F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")), "used")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("k1"), row_hash().alias("k2"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(_few(used), ["k1", "k2"]).select("node", "text").mapInArrow(run, "node bigint, items array<bigint>")
+    sets = texts.join(few(used), ["k1", "k2"]).select("node", "text").mapInArrow(run, "node bigint, items array<bigint>")
     sets = written(sets.dropDuplicates(["node"]), "sets")  # equal rows of one doc_id
     drop_written(used)
     return sets
@@ -182,9 +173,9 @@ def links(nodes: DataFrame, max_distance: int) -> DataFrame:
         raise ValueError("the exact mode links at 2 bits or fewer")
     rows = written(_exact_keys(nodes).select("node", "fp", F.explode("keys").alias("key")), "blocks")
     rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    few, many = rows.where(F.col("n") <= BUCKET), rows.where(F.col("n") > BUCKET)
+    small, many = rows.where(F.col("n") <= BUCKET), rows.where(F.col("n") > BUCKET)
     near = _distance(1) <= max_distance
-    found = few.alias("a").join(few.alias("b"), "key").where(F.col("a.node") < F.col("b.node")).where(near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    found = small.alias("a").join(small.alias("b"), "key").where(F.col("a.node") < F.col("b.node")).where(near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     free = [[1 << b if b < 63 else -(1 << 63) for k in range(4) if k not in p for b in range(16 * k, 16 * k + 16)] for p in PAIRS]
     masks = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in [0, *x]]) for x in free])
     flips = many.select("node", "fp", F.explode(F.element_at(masks, F.shiftright("key", 32).cast("int") + 1)).alias("m")).select("node", F.col("fp")[0].bitwiseXOR(F.col("m")).alias("value")).distinct()
@@ -335,7 +326,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     one = groups.groupBy("component").agg(F.min(F.struct(k1, k2)).alias("one")).select("one.*")
     gone = written(groups.select(k1, k2).join(one, [k1, k2], "left_anti").distinct(), "gone")
     keyed = docs.withColumns({k1: F.coalesce(F.col("doc_id").cast("bigint"), last), k2: row_hash()})
-    kept = keyed.join(_few(gone), [k1, k2], "left_anti")
+    kept = keyed.join(few(gone), [k1, k2], "left_anti")
     if not groups.groupBy(k1, k2).count().where("count > 1").isEmpty():  # rows of one doc_id and text
         kept = kept.dropDuplicates([k1, k2])
     return kept.select(*docs.columns)
