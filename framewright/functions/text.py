@@ -78,3 +78,19 @@ def stop_reconnecting(failures: Column, most: Column) -> Column:
 def fault_of(code: Column) -> Column:
     """Fault type of an error code (fixed values): memory failures, lost contexts, all others faults of the engine."""
     return F.when(code == 2, "oom").when(code.isin(101, 201), "context_lost").otherwise("engine_fault")
+
+
+def bucket_end(day: Column, hour: Column, minute: Column) -> Column:
+    """UTC seconds at which an archive's minute folder ends, from the names of its day, hour and minute folders; null unless all are well formed.
+
+    A day beyond its month's end counts on into the next one."""
+    good = day.rlike(r"^\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$") & hour.rlike(r"^([01]\d|2[0-3])$") & minute.rlike(r"^[0-5]\d$")
+    part = lambda at, n: F.when(good, F.substring(day, at, n)).try_cast("int")
+    days = F.unix_date(F.make_date(part(1, 4), part(5, 2), F.lit(1))) + part(7, 2) - 1
+    return F.when(good, days.cast("bigint") * 86400 + hour.try_cast("int") * 3600 + minute.try_cast("int") * 60 + 60)
+
+
+def time_text(at: Column, stream: Column | None = None) -> Column:
+    """Local time with milliseconds, behind the stream's name unless that is empty or not asked for."""
+    text = F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSS")
+    return text if stream is None else F.when(F.coalesce(stream, F.lit("")) == "", text).otherwise(F.concat(stream, F.lit(" "), text))

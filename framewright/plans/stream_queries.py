@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import geometry as G
 from framewright.functions import metrics as M
+from framewright.functions import text as T
 from framewright.operators import results as R
 from framewright.operators import sequential as S
 from framewright.plans.fixtures import WITH_DETECTIONS, WITH_FRAMES, frames, per_frame
@@ -348,6 +349,62 @@ def stability_ratio(spark, sf):
     return q.join(size, "model_id").select("model_id", F.round(F.col("q") / F.col("size"), 6).alias("ratio"))
 
 
+@query("stream_age_failures", WITH_FRAMES + """, h as (select stream_id, epoch_us(ts) // 3600000000 as hour, max(epoch_us(ts)) as last, arg_max(event_id % 4, frame_seq) as failures from frames group by all),
+n as (select *, lead(hour) over (partition by stream_id order by hour) as next from h), s as (select stream_id, unnest(range(hour, coalesce(next, hour + 1))) as hour, last, failures from n) select stream_id, hour, (hour + 1) * 3600000000 - last as age_us, failures from s""")
+def stream_age_failures(spark, sf):
+    """Age of the last frame and failures of each stream, read at the end of every hour; hours without frames go on with the last ones."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    h = frames(spark, sf).withColumn("us", us).groupBy("stream_id", F.floor(us / 3_600_000_000).alias("hour")).agg(F.max("us").alias("last"), F.max_by(F.col("event_id") % 4, "frame_seq").alias("failures"))
+    after = F.coalesce(F.lead("hour").over(Window.partitionBy("stream_id").orderBy("hour")), F.col("hour") + 1)
+    rows = h.withColumn("after", after).withColumn("hour", F.explode(F.sequence("hour", F.col("after") - 1)))
+    return rows.select("stream_id", "hour", ((F.col("hour") + 1) * 3_600_000_000 - F.col("last")).alias("age_us"), "failures")
+
+
+@query("archive_rates", WITH_FRAMES + f""", a as (select ts, event_id % 11 = 0 as dropped from frames where frame_seq % 2 = 0), e as (select {_MINUTE} as minute, case when dropped then 'dropped' else 'archived' end as kind from a
+union all select strftime(date_trunc('minute', ts) + interval 3 day + interval 1 minute, '%Y%m%d%H%M'), 'deleted' from a where not dropped)
+select minute, round(count(*) filter (kind = 'archived') / 60.0, 6) as archived, round(count(*) filter (kind = 'dropped') / 60.0, 6) as dropped, round(count(*) filter (kind = 'deleted') / 60.0, 6) as deleted from e group by 1""")
+def archive_rates(spark, sf):
+    """Frames archived, dropped and deleted a second, in each minute; a frame is deleted three days after its minute ends."""
+    t, keep = F.col("ts").cast("timestamp_ntz"), F.col("event_id") % 11 != 0
+    kind = lambda at, name: F.struct(at.alias("at"), F.lit(name).alias("kind"))
+    gone = F.date_trunc("minute", t).cast("timestamp_ntz") + F.expr("interval 3 days 1 minute")
+    each = F.when(keep, F.array(kind(t, "archived"), kind(gone, "deleted"))).otherwise(F.array(kind(t, "dropped")))
+    e = frames(spark, sf).where("frame_seq % 2 = 0").select(F.explode(each).alias("e")).select("e.*")
+    return e.groupBy(_minute("at")).agg(*[F.round(F.count_if(F.col("kind") == k) / 60, 6).alias(k) for k in ("archived", "dropped", "deleted")])
+
+
+@query("archive_queue_depth", WITH_FRAMES + f"select {_MINUTE} as minute, arg_max(event_id % 50, (ts, event_id)) as depth from frames group by 1")
+def archive_queue_depth(spark, sf):
+    """The archive queue's depth, as last seen in each minute."""
+    return frames(spark, sf).groupBy(_minute()).agg(F.max_by(F.col("event_id") % 50, F.struct("ts", "event_id")).alias("depth"))
+
+
+@query("bucket_parse", WITH_FRAMES + "select event_id, case when event_id % 7 > 2 then epoch_us(date_trunc('minute', ts)) // 1000000 + 60 end as ends from frames")
+def bucket_parse(spark, sf):
+    """When the minute folders of archived frames end; folders with bad days, hours or minutes have no end."""
+    t, n = F.col("ts").cast("timestamp"), F.col("event_id") % 7
+    key = F.date_format(t, "yyyyMMdd/HH/mm")
+    key = F.when(n == 0, F.regexp_replace(key, "/../", "/24/")).when(n == 1, F.concat(F.lit("x"), F.substring(key, 2, 20))).when(n == 2, F.concat(F.substring(key, 1, 12), F.lit("60"))).otherwise(key)
+    part = F.split(key, "/")
+    return frames(spark, sf).select("event_id", T.bucket_end(part[0], part[1], part[2]).alias("ends"))
+
+
+@query("time_text", WITH_FRAMES + "select event_id, case when event_id % 2 = 0 then stream_id || ' ' else '' end || strftime(ts, '%Y-%m-%d %H:%M:%S.%g') as label from frames")
+def time_text(spark, sf):
+    """Time labels of frames, half of them with their stream."""
+    stream = F.when(F.col("event_id") % 2 == 0, F.col("stream_id")).otherwise("")
+    return frames(spark, sf).select("event_id", T.time_text(F.col("ts").cast("timestamp"), stream).alias("label"))
+
+
+@query("stream_pool", "with r as (select event_id, user_id % 40 as stream from events), f as (select stream, min(event_id) as first from r group by 1), l as (select case when count(*) = 16 then max(first) end as full_at from (select first from f order by first limit 16)) select event_id, r.stream, case when event_id > full_at then 'limit' when event_id = first then 'added' else 'duplicate' end as outcome from r join f on r.stream = f.stream, l")
+def stream_pool(spark, sf):
+    """Requests to open 40 streams where 16 may be open."""
+    from framewright.operators.admission import admit
+    from framewright.plans.fixtures import table
+
+    return admit(table(spark, sf, "events").select("event_id", (F.col("user_id") % 40).alias("stream")), "stream", "event_id", 16).select("event_id", "stream", "outcome")
+
+
 _JSON = "'{\"stream_id\":\"' || stream_id || '\",\"frame_seq\":' || frame_seq || ',\"model_id\":\"' || model_id || '\"}'"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,11 +67,35 @@ def scan_repository(spark: SparkSession, root: str) -> DataFrame:
     return versions.groupBy("model").agg(F.max("version").alias("version"), F.max_by("files", "version").alias("files"))
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, id, running, spec) of a saved store of models, sources, pipelines and tasks: one JSON document of items by their ids.
+
+    Kinds that the document lacks have no rows; spec is the item's JSON text, for a task that of its creation."""
+    kinds = [k for k in KINDS if k != "tasks"]
+    schema = ", ".join([f"{k} map<string, string>" for k in kinds] + ["tasks map<string, struct<create: string, running: boolean>>"])
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+
+    def rows_of(kind: str):
+        def row(e):
+            task = kind == "tasks"
+            running, spec = (e["value"]["running"], e["value"]["create"]) if task else (F.lit(None).cast("boolean"), e["value"])
+            return F.struct(F.lit(kind).alias("kind"), e["key"].alias("id"), running.alias("running"), spec.alias("spec"))
+
+        return F.transform(F.map_entries(kind), row)
+
+    none = F.array().cast("array<struct<kind: string, id: string, running: boolean, spec: string>>")
+    return doc.select(F.explode(F.concat(*[F.coalesce(rows_of(k), none) for k in KINDS])).alias("x")).select("x.*")
+
+
 class Catalog:
-    """Sources, models, pipelines and tasks with the rules of their changes; ``deltas`` hold what was added and removed since the configuration."""
+    """Sources, models, pipelines and tasks with the rules of their changes; ``deltas`` hold what was added and removed since the configuration.
 
-    def __init__(self, config: dict | None = None):
+    ``repository`` holds models that may be loaded, ``metrics`` gives the exposition text that the command metrics returns."""
+
+    def __init__(self, config: dict | None = None, repository: list[dict] | None = None, metrics: Callable[[], str] | None = None):
         config = config or {}
+        self.repository = {m["id"]: m for m in repository or []}
+        self.metrics = metrics or (lambda: "")
         validate(config)
         self.state = {k: {x["id"]: x for x in config.get(k, [])} for k in KINDS}
         self.base = {k: set(v) for k, v in self.state.items()}
@@ -104,6 +129,27 @@ class Catalog:
             self.state["pipelines"][item["id"]] = old
             raise
 
+    def update_task(self, item: dict) -> None:
+        """Puts ``item`` in the place of the task of its id, which must not run; its source and pipeline must be known."""
+        if item["id"] in self.running:
+            raise ValueError(f"{item['id']} is running")
+        old = self.state["tasks"].pop(item["id"])
+        try:
+            self.add("tasks", item)
+        except ValueError:
+            self.state["tasks"][item["id"]] = old
+            raise
+
+    def load_from_repository(self, name: str) -> None:
+        self.add("models", self.repository[name])
+
+    def unload_model(self, name: str) -> None:
+        """Removes a model that no running task's pipeline and no cascade names."""
+        used = {t["pipeline_id"] for t in self.state["tasks"].values() if t["id"] in self.running}
+        if any(name == str(n.get("with", {}).get("model_id")) for p in used for n in self.state["pipelines"][p]["nodes"]):
+            raise ValueError(f"{name} is in use")
+        self.remove("models", name)
+
     def start(self, task: str) -> None:
         self.running.add(self.state["tasks"][task]["id"])
 
@@ -120,6 +166,15 @@ class Catalog:
             json.dump(self.deltas(), f)
         os.replace(f.name, path)
 
+    def load(self, path: str) -> None:
+        """Applies deltas that were saved; a missing or malformed file counts as none."""
+        try:
+            with open(path, encoding="utf-8") as f:
+                deltas = json.load(f)
+        except (FileNotFoundError, ValueError):
+            return
+        self.apply(deltas)
+
     def apply(self, deltas: dict) -> None:
         for k in KINDS:
             for name in deltas.get(f"removed_{k}", []):
@@ -128,16 +183,25 @@ class Catalog:
                 self.state[k].setdefault(item["id"], item)
 
     def command(self, line: str) -> dict:
-        """Answers a request of one JSON line: health, list_*, add_*, remove_*, update_pipeline, start_task, stop_task."""
+        """Answers a request of one JSON line: health, metrics, list_*, add_*, remove_*, update_pipeline, update_task, start_task, stop_task,
+        list_repository, load_from_repository, load_model, unload_model."""
         try:
             r = json.loads(line)
             verb, _, kind = r["cmd"].partition("_")
             if r["cmd"] == "health":
                 return {"ok": True}
+            if r["cmd"] == "metrics":
+                return {"ok": True, "data": self.metrics()}
+            if r["cmd"] == "list_repository":
+                return {"ok": True, "data": [m | {"loaded": m["id"] in self.state["models"]} for m in self.repository.values()]}
             if verb == "list":
                 return {"ok": True, kind: [*self.state[kind].values()]}
-            if r["cmd"] == "update_pipeline":
-                self.update_pipeline(r["item"])
+            if r["cmd"] in ("update_pipeline", "update_task"):
+                getattr(self, r["cmd"])(r["item"])
+            elif r["cmd"] in ("load_from_repository", "unload_model"):
+                getattr(self, r["cmd"])(r["id"])
+            elif r["cmd"] == "load_model":
+                self.add("models", r["item"])
             elif verb in ("start", "stop") and kind == "task":
                 getattr(self, verb)(r["id"])
             elif verb == "add":

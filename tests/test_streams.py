@@ -13,7 +13,8 @@ from framewright.functions import metrics as M
 from framewright.functions import text as T
 from framewright.operators import sequential as S
 from framewright.operators.tracking import Config, Tracker, assign
-from framewright.sources.catalog import Catalog, scan_repository
+from framewright.operators.admission import admit
+from framewright.sources.catalog import Catalog, read_store, scan_repository
 from framewright.streaming import state
 
 
@@ -162,3 +163,50 @@ def test_fan_out(spark, caplog):
 
     state.fan_out({"bad": bad, "good": lambda df, n: seen.append(df.count())})(spark.range(3), 0)
     assert seen == [3] and "sink bad failed" in caplog.text
+
+
+def test_admission(spark):
+    asked = [(1, "a"), (2, "a"), (3, "b"), (4, "a"), (5, "c"), (6, "a")]
+    df = spark.createDataFrame(asked, "pos bigint, name string")
+    out = lambda most: [r.outcome for r in admit(df, "name", "pos", most).orderBy("pos").collect()]
+    assert out(2) == ["added", "duplicate", "added", "limit", "limit", "limit"]
+    assert out(9) == ["added", "duplicate", "added", "duplicate", "added", "duplicate"]
+    assert out(0) == ["limit"] * 6
+    assert admit(df.limit(0), "name", "pos", 2).collect() == []
+
+
+def test_bucket_names(spark):
+    rows = [("19700101", "00", "00", 60), ("20240230", "23", "59", 1709337600), ("20241301", "00", "00", None), ("20240100", "00", "00", None), ("2024010", "00", "00", None), ("20240101", "24", "00", None), ("20240101", "1", "00", None), ("20240101", "00", "60", None), (None, "00", "00", None)]
+    df = spark.createDataFrame(rows, "d string, h string, m string, want bigint")
+    got = df.select("want", T.bucket_end(F.col("d"), F.col("h"), F.col("m")).alias("got")).collect()
+    assert [r.want for r in got] == [r.got for r in got]
+
+
+def test_store(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"sources": {"a": {"url": "rtsp://x", "n": 1}}, "tasks": {"t": {"create": {"id": "t"}, "running": True}}}))
+    got = {(r.kind, r.id, r.running, json.dumps(json.loads(r.spec), sort_keys=True)) for r in read_store(spark, str(tmp_path / "s.json")).collect()}
+    assert got == {("sources", "a", None, '{"n": 1, "url": "rtsp://x"}'), ("tasks", "t", True, '{"id": "t"}')}
+
+
+def test_catalog_models_and_tasks(tmp_path):
+    config = {"sources": [{"id": "s"}], "models": [{"id": "m"}], "pipelines": [{"id": "p", "nodes": [{"id": "i", "type": "infer", "with": {"model_id": "m"}}], "edges": []}], "tasks": [{"id": "t", "source_id": "s", "pipeline_id": "p"}]}
+    c = Catalog(config, repository=[{"id": "r"}], metrics=lambda: "up 1")
+    ask = lambda **r: c.command(json.dumps(r))
+    assert ask(cmd="metrics")["data"] == "up 1"
+    assert [m["loaded"] for m in ask(cmd="list_repository")["data"]] == [False]
+    assert ask(cmd="load_from_repository", id="r")["ok"] and not ask(cmd="load_from_repository", id="r")["ok"] and not ask(cmd="load_from_repository", id="x")["ok"]
+    assert [m["loaded"] for m in ask(cmd="list_repository")["data"]] == [True]
+    assert ask(cmd="load_model", item={"id": "n"})["ok"] and not ask(cmd="load_model", item={"id": "n"})["ok"]
+    assert not ask(cmd="update_task", item={"id": "t", "source_id": "?", "pipeline_id": "p"})["ok"] and c.state["tasks"]["t"]["source_id"] == "s"
+    assert ask(cmd="update_task", item={"id": "t", "source_id": "s", "pipeline_id": "p", "sample_fps": 2})["ok"] and c.state["tasks"]["t"]["sample_fps"] == 2
+    assert ask(cmd="start_task", id="t")["ok"] and not ask(cmd="update_task", item=c.state["tasks"]["t"])["ok"]
+    assert ask(cmd="unload_model", id="m")["in_use"]
+    assert ask(cmd="stop_task", id="t")["ok"] and ask(cmd="unload_model", id="m")["ok"] and not ask(cmd="unload_model", id="m")["ok"]
+    c.save(str(tmp_path / "d.json"))
+    again = Catalog(config)
+    again.load(str(tmp_path / "d.json"))
+    assert set(again.state["models"]) == {"r", "n"}
+    again.load(str(tmp_path / "none.json"))
+    (tmp_path / "bad.json").write_text("{")
+    again.load(str(tmp_path / "bad.json"))
+    assert set(again.state["models"]) == {"r", "n"}
