@@ -51,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("leaks", leaks), ("tokens", tokens)]
-#: SQL expresses neither a fitted model nor a suffix index. No test compares run() as a whole; the operators behind the stages have tests of their own.
+#: SQL expresses neither a fitted model nor a suffix index; tests/llm/test_whole.py compares all rows of run() on planted cases.
 ORACLE_SQL = None
 
 
