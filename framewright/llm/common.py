@@ -65,6 +65,8 @@ def drop_written(df: DataFrame) -> None:
 
 #: Rows that are broadcast at most; more are shuffled.
 BROADCAST = 200_000
+#: Parts that the rows of a hub or of a hot component are dealt to.
+SALTS = 16
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -163,37 +165,44 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out + np.uint64(n)) if n > 1 else out
 
 
+def _beside(edges: DataFrame, low: DataFrame, key: str) -> DataFrame:
+    """``edges`` (u, v) with the m of ``low`` (key, m) or null; beyond a broadcast, a hub's edges are dealt to ``SALTS`` parts."""
+    if low.count() <= BROADCAST:
+        return edges.join(F.broadcast(low), key, "left")
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("u", "v"), F.lit(SALTS)).cast("int")).join(low, [key, "salt"], "left").drop("salt")
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of the graph with an edge for each row (a, b), both bigint.
 
     Returns (node, component): component is the smallest node reachable; nodes without an edge
     to another node are absent. Alternates large-star and small-star contraction; each
-    round moves at most two rows an edge, and every minimum is combined before the shuffle, so a
-    hub costs no more than its edges. Each round is a written table. Rows with a null end are ignored.
+    round moves at most two rows an edge. Only nodes that are not yet leaf or centre of a star are joined to the edges, so a
+    hub's edges stay where they are, and when there are none such the graph is settled. Rows with a null end are ignored.
     """
     e = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
-    before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v")
-            .where("u <> v")
-            .distinct()
-        )
-        nxt = written(small, "edges")
-        drop_written(e)
-        e = nxt
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
-        if now == before:
+        # nodes with smaller and larger neighbours hand the larger ones to their smallest
+        between = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("high")).where("m < u and u < high")
+        between = written(between.select(F.col("u").alias("v"), "m"), "between")
+        large = _beside(e, between, "v").select("u", F.coalesce("m", "v").alias("v"))
+        # nodes with several smaller neighbours hand them to the smallest
+        many = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("high")).where("m < high")
+        many = written(many.select("u", "m"), "many")
+        settled = between.isEmpty() and many.isEmpty()
+        if not settled:
+            ends = F.when(F.col("m").isNull(), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+            small = written(_beside(large, many, "u").select(F.explode(ends).alias("x")).select("x.*").where("u <> v").distinct(), "edges")
+            drop_written(e)
+            e = small
+        drop_written(between)
+        drop_written(many)
+        if settled:
             break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import components, drop_written, few, free_names, fresh_worker, grams, mixed, text_batches, word_hashes, written
+from framewright.llm.common import SALTS, components, drop_written, few, free_names, fresh_worker, grams, mixed, text_batches, word_hashes, written
 
 BUCKET = 64
 #: Wide mode: nodes, and shingles, of a block's part, about.
@@ -38,8 +38,6 @@ PAIRS = list(combinations(range(4), 2))
 #: Wide mode: min-hashes, bands of rows, and the factor and offset of each min-hash.
 HASHES, BANDS, ROWS = 96, 24, 4
 _FACTORS, _OFFSETS = np.random.default_rng(7).integers(0, 2**32, (2, HASHES, 1), np.uint32) | np.array([[[1]], [[0]]], np.uint32)
-#: Parts that a hot component's rows are dealt to.
-SALTS = 16
 _NULL = -(2**63)
 
 
@@ -283,7 +281,7 @@ def similar(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) ->
     second = asked.join(chosen, ["key", "i", "j"], "left_semi").join(sets, "node").groupBy("key", "i", "j").applyInPandas(_forest(similarity), "a bigint, b bigint")
     second = written(second.distinct(), "alike")
     if not second.isEmpty():
-        part = components(first.unionByName(second), "a", "b")
+        part = components(part.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(second), "a", "b")
     for table in (shared, rows, jobs, asked, sets, first, second):
         drop_written(table)
     return part
