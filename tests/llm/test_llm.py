@@ -40,6 +40,14 @@ def test_components(spark):
     assert got == {i: 0 if i <= 20 else 21 for i in range(41)}
 
 
+def test_components_of_hubs_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST", 0)
+    pairs = [(500, 300 + i) for i in range(400)] + [(10 + i % 3, 10 + i % 7) for i in range(40)] + [(-4, 699), (4, None)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(pairs, "a bigint, b bigint"), "a", "b").collect()}
+    assert got == {**{i: 10 for i in range(10, 17)}, **{i: -4 for i in [-4, *range(300, 700)]}}
+    assert common.components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").isEmpty()
+
+
 def own_fingerprint(text):
     """The fingerprint by its definition, bit by bit."""
     w = [x for x in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
