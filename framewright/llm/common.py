@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import sys
 import tempfile
@@ -80,6 +81,20 @@ def text_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 10_000, size: int = 32 << 20):
+    """Hands Python at most ``rows`` rows or ``size`` bytes at once in what is run inside, and then sets the session back."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def process_cache(key: str, make):
     """What ``make()`` built first in this Python worker: later tasks of the same process use it again.
 
