@@ -87,5 +87,30 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_hosts": op2_hosts, "op3_quality": op3_quality, "op4_revisits": op4_revisits, "op5_repeats": op5_repeats, "op6_vectors": op6_vectors, "op7_text": op7_text, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_shards": op10_shards}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.spelling import variants, word_counts
+
+    return variants(word_counts(table(spark, sf_dir, "documents"), typo=31)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from framewright.llm.packing import sequences
+
+    out = sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from framewright.llm.alignment import align
+
+    out = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_hosts": op2_hosts, "op3_quality": op3_quality, "op4_revisits": op4_revisits, "op5_repeats": op5_repeats, "op6_vectors": op6_vectors, "op7_text": op7_text, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_shards": op10_shards, "op11_spelling": op11_spelling, "op12_packing": op12_packing, "op13_alignment": op13_alignment}
 ORACLE_SQL: dict[str, str] = {"op2_hosts": linkrank.oracle_sql(), "op4_revisits": warc.ORACLE}
