@@ -16,6 +16,7 @@ again; null doc_ids stay; an empty table gives an empty result; other columns ar
 from __future__ import annotations
 
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from framewright.llm.common import SALTS, arrow_batches, process_cache, written
 from framewright.llm.units import ByteLevel, Memory, Pieces, units
 
 #: Bytes of text whose units make one table; counts of links that are broadcast at most.
-AT_ONCE, COUNTS = 4 << 20, 1_000_000
+AT_ONCE, COUNTS = 16 << 20, 1_000_000
 _IDS = pa.list_(pa.int32())
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("units", _IDS)]))
 _KINDS = pa.schema([("batch", pa.string()), ("unit", pa.int32()), ("uses", pa.int64()), ("a", _IDS), ("a_ends", _IDS), ("b", _IDS), ("b_ends", _IDS), ("docs", _DOCS)])
@@ -42,15 +43,17 @@ class Aligner:
     def table(self, docs: list[tuple[int | None, str]]):
         """Arrow batches of the units of ``docs``, then one row with the documents as unit numbers."""
         cuts = [units(" " + t) if t else [] for _, t in docs]
+        every = set().union(*cuts)
         for m in self.memories:
             m.room()
-            m.learn(set().union(*cuts))
+            m.learn(every)
         a, b = (m.found for m in self.memories)
-        bad = {u for u in set().union(*cuts) if a[u] is None or b[u] is None}
+        bad = {u for u in every if a[u] is None or b[u] is None}
         if bad:
             cuts = [[] if not bad.isdisjoint(c) else c for c in cuts]
-        number: dict[str, int] = {}
-        rows = [np.array([number.setdefault(u, len(number)) for u in c], np.int32) for c in cuts]
+        number = dict.fromkeys(chain.from_iterable(cuts))
+        number = dict(zip(number, range(len(number))))
+        rows = [np.fromiter(map(number.__getitem__, c), np.int32, len(c)) for c in cuts]
         flat, batch = np.concatenate([*rows, np.zeros(0, np.int32)]), uuid.uuid4().hex
         names, uses = list(number), np.bincount(flat, minlength=len(number))
         for i in range(0, len(names), 20_000):
@@ -106,7 +109,7 @@ def _token_at(ends: str):
 def unit_tables(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(batch, unit, uses, n_a, n_b, n_groups, links, groups, docs): units with links as (a id << 32 | b id), and one row a batch with docs."""
     cut = _tokenised(docs, a_path, b_path).withColumns({"a_at": _token_at("a_ends"), "b_at": _token_at("b_ends"), "cuts": F.array_intersect("a_ends", "b_ends")})
-    links = F.transform(F.array_sort(F.array_union("a_ends", "b_ends")), lambda e: F.get("a", F.get("a_at", e - 1)).cast("bigint") * (1 << 32) + F.get("b", F.get("b_at", e - 1)))
+    links = F.transform(F.sort_array(F.array_union("a_ends", "b_ends")), lambda e: F.get("a", F.get("a_at", e - 1)).cast("bigint") * (1 << 32) + F.get("b", F.get("b_at", e - 1)))
 
     def side(ids, at, before, end):
         return F.array_join(F.transform(F.sequence(F.get(at, before), F.get(at, end - 1)), lambda i: F.get(ids, i).cast("string")), ",")

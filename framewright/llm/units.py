@@ -14,7 +14,7 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RISK = re.compile(f" (?=[{WHITE}]|\\Z)").search
 _CUT = re.compile(f"(?<=[^{WHITE}])(?= )").split
-_FIRST = re.compile(f"[{WHITE}]").match
+_ODD = re.compile(f"[{WHITE}]|$").match
 
 
 def units(text: str) -> list[str]:
@@ -82,8 +82,9 @@ class Memory:
     def learn(self, keys) -> None:
         found = self.found
         new = [k for k in keys if k not in found]
-        plain = [k for k in new if k and not _FIRST(k)]
-        odd = [k for k in new if not k or _FIRST(k)]
+        odd = [k for k in new if not k or not k[0].isalnum() and _ODD(k)]
+        aside = set(odd)
+        plain = [k for k in new if k not in aside] if odd else new
         runs = [plain[i : i + self.RUN] for i in range(0, len(plain), self.RUN)]
         for run, ids in zip(runs, self.coder.ids([" " + " ".join(r) for r in runs])):
             raw = [k.encode() for k in run]
@@ -91,7 +92,7 @@ class Memory:
                 odd += run
                 continue
             at = np.cumsum(self.size[np.array(ids)])
-            cut = np.searchsorted(at, np.cumsum([len(r) + 1 for r in raw])) + 1
+            cut = np.searchsorted(at, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)) + 1
             packed, a = np.array(ids, "<u4").tobytes(), 0
             for k, z in zip(run, (4 * cut).tolist()):
                 found[k] = packed[a:z]
