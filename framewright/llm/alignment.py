@@ -27,7 +27,7 @@ from framewright.llm.common import SALTS, arrow_batches, process_cache, written
 from framewright.llm.units import ByteLevel, Memory, Pieces, units
 
 #: Bytes of text whose units make one table; counts of links that are broadcast at most.
-AT_ONCE, COUNTS = 16 << 20, 1_000_000
+AT_ONCE, COUNTS = 8 << 20, 1_000_000
 _IDS = pa.list_(pa.int32())
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("units", _IDS)]))
 _KINDS = pa.schema([("batch", pa.string()), ("unit", pa.int32()), ("uses", pa.int64()), ("a", _IDS), ("a_ends", _IDS), ("b", _IDS), ("b_ends", _IDS), ("docs", _DOCS)])
