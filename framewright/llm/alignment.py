@@ -1,13 +1,13 @@
 """Alignment of two tokenizers: where their tokens end together, which tokens overlap, and how often two ids do so in the corpus.
 
-Python only tokenises: both tokenizers cut a text at the same units (see :mod:`units`), so each batch of texts becomes a table of its
-distinct units, with ids and byte ends in both vocabularies, and its documents as lists of unit numbers. All else is done by Spark's
-array functions on those columns: ``array_intersect`` of the ends cuts a unit into groups, a token's number at each byte comes from
-repeated numbers, ``transform`` over all ends gives the links, ``sequence`` and ``transform`` write the groups, ``aggregate`` sums up documents.
-Every step is linear in a unit's length.
+Python only tokenises: both tokenizers cut a text at the same units (see :mod:`units`), each encoded once, and a text becomes rows of
+ids and byte ends in both vocabularies, a row for about ``CHUNK`` characters, cut between units. All else is done by Spark's
+array functions on those columns: ``array_intersect`` of the ends cuts a row into groups, a token's number at each byte comes from
+repeated numbers, ``transform`` over all ends gives the links, ``sequence`` and ``transform`` write the groups.
+Every step is linear in a row's length.
 
-Links are counted over the corpus by a sum over units with their uses, and come back to the units of each batch by a join, broadcast up to
-``COUNTS`` rows, else with salted hot links.
+Links are counted over the corpus by one aggregation, and their counts come back by a join, broadcast up to
+``COUNTS`` rows, else with salted hot links; documents sum them up.
 
 Defined results: null and empty texts, and texts that either vocabulary does not spell, have no tokens; repeated rows are counted
 again; null doc_ids stay; an empty table gives an empty result; other columns are ignored.
@@ -15,9 +15,6 @@ again; null doc_ids stay; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
-import uuid
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,12 +23,19 @@ from pyspark.sql import functions as F
 from framewright.llm.common import SALTS, arrow_batches, process_cache, written
 from framewright.llm.units import ByteLevel, Memory, Pieces, units
 
-#: Bytes of text whose units make one table; counts of links that are broadcast at most.
-AT_ONCE, COUNTS = 8 << 20, 1_000_000
+#: Characters of text that are cut at once, and of a row; rows that are broadcast at most.
+AT_ONCE, CHUNK, COUNTS = 1 << 20, 1 << 16, 1_000_000
 _IDS = pa.list_(pa.int32())
-_DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("units", _IDS)]))
-_KINDS = pa.schema([("batch", pa.string()), ("unit", pa.int32()), ("uses", pa.int64()), ("a", _IDS), ("a_ends", _IDS), ("b", _IDS), ("b_ends", _IDS), ("docs", _DOCS)])
-_SCHEMA = "batch string, unit int, uses bigint, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>, docs array<struct<doc_id: bigint, units: array<int>>>"
+_KINDS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("a", _IDS), ("a_ends", _IDS), ("b", _IDS), ("b_ends", _IDS)])
+_SCHEMA = "row bigint, doc_id bigint, chunk int, chunks int, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+
+
+def chunks_of(cut: list[str]) -> list[list[str]]:
+    """The units of a text in runs of about ``CHUNK`` characters; at least one run, a longer unit has its own."""
+    if len(cut) < 2 or (at := np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)) + 1) // CHUNK)[-1] == 0:
+        return [cut]
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(cut)]
+    return [cut[i:j] for i, j in zip(edges, edges[1:])]
 
 
 class Aligner:
@@ -40,35 +44,30 @@ class Aligner:
     def __init__(self, a: str, b: bytes):
         self.memories = Memory(ByteLevel(a)), Memory(Pieces(b))
 
-    def table(self, docs: list[tuple[int | None, str]]):
-        """Arrow batches of the units of ``docs``, then one row with the documents as unit numbers."""
+    def table(self, docs: list[tuple[int | None, str]], row: int) -> pa.RecordBatch:
+        """The rows of ``docs``, numbered from ``row``."""
         cuts = [units(" " + t) if t else [] for _, t in docs]
         every = set().union(*cuts)
         for m in self.memories:
             m.room()
             m.learn(every)
-        a, b = (m.found for m in self.memories)
-        bad = {u for u in every if a[u] is None or b[u] is None}
-        if bad:
-            cuts = [[] if not bad.isdisjoint(c) else c for c in cuts]
-        number = dict.fromkeys(chain.from_iterable(cuts))
-        number = dict(zip(number, range(len(number))))
-        rows = [np.fromiter(map(number.__getitem__, c), np.int32, len(c)) for c in cuts]
-        flat, batch = np.concatenate([*rows, np.zeros(0, np.int32)]), uuid.uuid4().hex
-        names, uses = list(number), np.bincount(flat, minlength=len(number))
-        for i in range(0, len(names), 20_000):
-            part = names[i : i + 20_000]
-            columns = [column for m in self.memories for column in self.ids_and_ends(m, part)]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array([batch] * n), pa.array(np.arange(i, i + n, dtype=np.int32)), pa.array(uses[i : i + n].astype(np.int64)), *columns, pa.nulls(n, _DOCS)], schema=_KINDS)
-        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        whole = pa.StructArray.from_arrays([pa.array([i for i, _ in docs], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "units"])
-        yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), *(pa.nulls(1, _IDS) for _ in range(4)), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), whole)], schema=_KINDS)
+        found = [m.found.__getitem__ for m in self.memories]
+        numbers, packed = [], ([], [])
+        for k, ((doc, _), cut) in enumerate(zip(docs, cuts)):
+            parts = chunks_of(cut)
+            try:
+                spelt = [[b"".join(map(f, c)) for c in parts] for f in found]
+            except TypeError:  # a unit that is not spelt is None
+                parts, spelt = [[]], [[b""], [b""]]
+            numbers += [(row + k, doc, i, len(parts)) for i in range(len(parts))]
+            for held, own in zip(packed, spelt):
+                held += own
+        columns = [c for m, own in zip(self.memories, packed) for c in self.ids_and_ends(m, own)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, x.type) for c, x in zip(zip(*numbers), _KINDS)), *columns], schema=_KINDS)
 
     @staticmethod
-    def ids_and_ends(memory: Memory, part: list[str]):
-        packed = [memory.found[u] for u in part]
-        count = np.array([len(p) // 4 for p in packed], np.int64)
+    def ids_and_ends(memory: Memory, packed: list[bytes]):
+        count = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
         at, edges = np.cumsum(memory.size[ids]), np.concatenate([[0], np.cumsum(count)])
         ends = at - np.repeat(np.concatenate([[0], at])[edges[:-1]], count)
@@ -84,32 +83,34 @@ def _tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches):
         import os
 
+        from pyspark import TaskContext
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         aligner = process_cache(f"aligned {a_path} {b_path}", lambda: Aligner(*held.value))
-        some, size = [], 0
+        row, some, size = TaskContext.get().partitionId() << 33, [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py() or ""
                 if some and size + len(text) > AT_ONCE:
-                    yield from aligner.table(some)
-                    some, size = [], 0
+                    yield aligner.table(some, row)
+                    row, some, size = row + len(some), [], 0
                 some.append((doc, text))
                 size += len(text)
         if some:
-            yield from aligner.table(some)
+            yield aligner.table(some, row)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
 
 
 def _token_at(ends: str):
-    """For each byte of a unit, the number of the token that holds it."""
+    """For each byte of a row, the number of the token that holds it."""
     return F.flatten(F.transform(ends, lambda e, k: F.array_repeat(k, e - F.coalesce(F.get(ends, k - 1), F.lit(0)))))
 
 
-def unit_tables(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(batch, unit, uses, n_a, n_b, n_groups, links, groups, docs): units with links as (a id << 32 | b id), and one row a batch with docs."""
+def aligned_rows(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """(row, doc_id, chunk, chunks, n_a, n_b, n_groups, links, groups): links as (a id << 32 | b id), in order of number."""
     cut = _tokenised(docs, a_path, b_path).withColumns({"a_at": _token_at("a_ends"), "b_at": _token_at("b_ends"), "cuts": F.array_intersect("a_ends", "b_ends")})
-    links = F.transform(F.sort_array(F.array_union("a_ends", "b_ends")), lambda e: F.get("a", F.get("a_at", e - 1)).cast("bigint") * (1 << 32) + F.get("b", F.get("b_at", e - 1)))
+    links = F.transform(F.array_union("a_ends", "b_ends"), lambda e: F.get("a", F.get("a_at", e - 1)).cast("bigint") * (1 << 32) + F.get("b", F.get("b_at", e - 1)))
 
     def side(ids, at, before, end):
         return F.array_join(F.transform(F.sequence(F.get(at, before), F.get(at, end - 1)), lambda i: F.get(ids, i).cast("string")), ",")
@@ -119,12 +120,12 @@ def unit_tables(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         return F.concat(side("a", "a_at", before, end), F.lit("|"), side("b", "b_at", before, end))
 
     sizes = [F.size(x).cast("bigint").alias(y) for x, y in (("a", "n_a"), ("b", "n_b"), ("cuts", "n_groups"))]
-    return cut.select("batch", "unit", "uses", *sizes, links.alias("links"), F.array_join(F.transform("cuts", group), ";").alias("groups"), "docs")
+    return cut.select("row", "doc_id", "chunk", "chunks", *sizes, F.sort_array(links).alias("links"), F.array_join(F.transform("cuts", group), ";").alias("groups"))
 
 
-def link_counts(tables: DataFrame) -> DataFrame:
-    """(link, n, best): how often each pair of ids is linked, and whether no pair with its B id is linked more often."""
-    counts = tables.where("docs is null").select("uses", F.explode("links").alias("link")).groupBy("link").agg(F.sum("uses").alias("n"))
+def link_counts(rows: DataFrame) -> DataFrame:
+    """(link, n, best): how often each pair of ids is linked, and 1 where no pair with its B id is linked more often."""
+    counts = rows.select(F.explode("links").alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts.withColumn("b", F.col("link").bitwiseAND(F.lit((1 << 32) - 1))), "counts")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))  # a row for each id of the vocabulary at most
     return counts.join(F.broadcast(most), "b").select("link", "n", (F.col("n") == F.col("most")).cast("bigint").alias("best"))
@@ -133,25 +134,19 @@ def link_counts(tables: DataFrame) -> DataFrame:
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each row; groups is the text `a1,a2|b1;a3|b2,b3` of ids."""
     with arrow_batches(docs.sparkSession, 2000):
-        tables = written(unit_tables(docs, a_path, b_path), "units")
-    counts = written(link_counts(tables), "links")
-    per_batch = tables.where("docs is null").select("batch", "unit", "n_a", "n_b", "n_groups", "groups", "links").repartition("batch")
-    rows = per_batch.select("batch", "unit", "n_a", "n_b", "n_groups", "groups", F.explode("links").alias("link"))
+        rows = written(aligned_rows(docs, a_path, b_path), "aligned")
+    counts = written(link_counts(rows), "links")
+    each = rows.select("row", F.explode("links").alias("link"))
     if counts.count() <= COUNTS:
-        rows = rows.join(F.broadcast(counts), "link")
+        each = each.join(F.broadcast(counts), "link")
     else:
-        salt = F.pmod(F.xxhash64("batch", "unit"), F.lit(SALTS)).cast("int")
-        rows = rows.withColumn("salt", salt).join(counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["link", "salt"])
-    summed = rows.groupBy("batch", "unit", "n_a", "n_b", "n_groups", "groups").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    parts = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    of_batch = summed.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("unit", *parts, "groups"))).alias("own"))
-    whole = tables.where("docs is not null").select("batch", "docs").join(of_batch, "batch", "left")
-
-    def total(numbers, part):
-        return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda s, u: s + F.get("own", u)[part]).alias(part)
-
-    def digest(d):
-        sums = [total(d["units"], part) for part in parts]
-        return F.struct(d["doc_id"].alias("doc_id"), *sums, F.array_join(F.transform(d["units"], lambda u: F.get("own", u)["groups"]), ";").alias("groups"))
-
-    return whole.select(F.inline(F.transform("docs", digest)))
+        salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        each = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["link", "salt"])
+    sums = written(each.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum")), "sums")
+    sizes = ("n_a", "n_b", "n_groups")
+    one = rows.where("chunks = 1").select("row", "doc_id", *sizes, "groups")
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "groups"))), lambda x: x["groups"])
+    more = rows.where("chunks > 1").groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in sizes], F.array_join(in_order, ";").alias("groups"))
+    whole = one.unionByName(more).join(F.broadcast(sums) if sums.count() <= COUNTS else sums, "row", "left")
+    n_links = F.col("n_a") + F.col("n_b") - F.col("n_groups")  # one for each place where either has an end
+    return whole.select("doc_id", *sizes, n_links.alias("n_links"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")], "groups")

@@ -70,7 +70,7 @@ class Memory:
     """What ``coder`` makes of units, each encoded once: ``found`` gives the ids of a unit (without its first space), or None where
     they do not spell it. Plain units are encoded ``RUN`` at a time and told apart by the bytes of their tokens."""
 
-    RUN, REMEMBER = 400, 400_000
+    RUN, REMEMBER = 400, 300_000
 
     def __init__(self, coder):
         self.coder, self.found = coder, {}

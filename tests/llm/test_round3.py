@@ -1,5 +1,6 @@
 """Spelling variants, packing and alignment against brute force, with nulls, empty and long texts, repeats, ties and clashing names."""
 
+import bisect
 import collections
 import hashlib
 import random
@@ -202,7 +203,7 @@ def brute_alignment(rows):
         if not text or b"".join(name_a[x] for x in a) != raw or b"".join(name_b[x] for x in b) != raw:
             docs.append((i, 0, 0, 0, [], ""))
             continue
-        ends = lambda ids, name: [sum(len(name[x]) for x in ids[: k + 1]) for k in range(len(ids))] if len(ids) < 400 else list(spelling.np.cumsum([len(name[x]) for x in ids]))
+        ends = lambda ids, name: [sum(len(name[x]) for x in ids[: k + 1]) for k in range(len(ids))] if len(ids) < 100 else list(spelling.np.cumsum([len(name[x]) for x in ids]))
         ea, eb = ends(a, name_a), ends(b, name_b)
         links, i_a, i_b = [], 0, 0
         while i_a < len(a):
@@ -211,7 +212,7 @@ def brute_alignment(rows):
             i_a, i_b = i_a + (ea[i_a] == end), i_b + (eb[i_b] == end)
         cuts, groups, pa_, pb = sorted(set(ea) & set(eb)), [], 0, 0
         for c in cuts:
-            qa, qb = ea.index(c) + 1, eb.index(c) + 1
+            qa, qb = bisect.bisect(ea, c), bisect.bisect(eb, c)
             groups.append(",".join(map(str, a[pa_:qa])) + "|" + ",".join(map(str, b[pb:qb])))
             pa_, pb = qa, qb
         counts.update(links)
@@ -225,9 +226,8 @@ def brute_alignment(rows):
 @pytest.mark.parametrize("counts", [10**6, 0])
 def test_alignment_matches_brute_force(spark, monkeypatch, counts):
     monkeypatch.setattr(alignment, "COUNTS", counts)
-    monkeypatch.setattr(alignment, "AT_ONCE", 5000)
     some = odd_texts(3)
-    rows = list(enumerate(some[:300] + some[-9:-3])) + [(500, "x" * 3000), (501, "你好" * 500), (502, None), (None, "Hello world, hello"), (7, "twice"), (7, "twice")]
+    rows = list(enumerate(some[:300] + some[-9:-3])) + [(500, "x" * 3000), (501, "你好" * 500), (503, "many words " * 9000), (504, "x" * 70000 + " y" * 50000), (502, None), (None, "Hello world, hello"), (7, "twice"), (7, "twice")]
     got = collections.Counter(tuple(r) for r in alignment.align(frame(spark, rows), A, B).collect())
     assert got == brute_alignment(rows)
     assert alignment.align(frame(spark, []), A, B).count() == 0
