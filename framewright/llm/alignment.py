@@ -108,19 +108,21 @@ def _token_at(ends: str):
 
 
 def aligned_rows(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(row, doc_id, chunk, chunks, n_a, n_b, n_groups, links, groups): links as (a id << 32 | b id), in order of number."""
+    """(row, doc_id, chunk, chunks, n_a, n_b, n_groups, links, groups): links as (a id << 32 | b id)."""
     cut = _tokenised(docs, a_path, b_path).withColumns({"a_at": _token_at("a_ends"), "b_at": _token_at("b_ends"), "cuts": F.array_intersect("a_ends", "b_ends")})
     links = F.transform(F.array_union("a_ends", "b_ends"), lambda e: F.get("a", F.get("a_at", e - 1)).cast("bigint") * (1 << 32) + F.get("b", F.get("b_at", e - 1)))
 
     def side(ids, at, before, end):
-        return F.array_join(F.transform(F.sequence(F.get(at, before), F.get(at, end - 1)), lambda i: F.get(ids, i).cast("string")), ",")
+        first, last = F.get(at, before), F.get(at, end - 1)  # most groups have one token a side
+        several = F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(ids, i).cast("string")), ",")
+        return F.when(first == last, F.get(ids, first).cast("string")).otherwise(several)
 
     def group(end, k):
         before = F.coalesce(F.get("cuts", k - 1), F.lit(0))
         return F.concat(side("a", "a_at", before, end), F.lit("|"), side("b", "b_at", before, end))
 
     sizes = [F.size(x).cast("bigint").alias(y) for x, y in (("a", "n_a"), ("b", "n_b"), ("cuts", "n_groups"))]
-    return cut.select("row", "doc_id", "chunk", "chunks", *sizes, F.sort_array(links).alias("links"), F.array_join(F.transform("cuts", group), ";").alias("groups"))
+    return cut.select("row", "doc_id", "chunk", "chunks", *sizes, links.alias("links"), F.array_join(F.transform("cuts", group), ";").alias("groups"))
 
 
 def link_counts(rows: DataFrame) -> DataFrame:
