@@ -20,7 +20,7 @@ def test_extrapolation(spark):
     even = [(t * 1000, t / 15 * 10.0) for t in (0, 15, 30, 45, 60)]
     assert at(spark, even, 60_000) == pytest.approx(40)  # 30 in 45 s, carried on to the window's begin
     assert at(spark, even, 60_000, S.rate) == pytest.approx(40 / 60)
-    assert at(spark, even, 90_000) == pytest.approx(10 * (15 + 15 / 2 + 15 / 2) / 15)  # both ends are too far: half a gap each
+    assert at(spark, even, 90_000) == pytest.approx(10 * (15 + 15 + 15 / 2) / 15)  # the end is too far: half a gap
     assert at(spark, even, 105_000) is None  # one sample
 
 
