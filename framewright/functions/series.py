@@ -11,6 +11,7 @@ most the samples of a slice or the slices of a window. Null values are taken for
 
 from __future__ import annotations
 
+from functools import wraps
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,18 @@ from pyspark.sql import functions as F
 LOOKBACK_MS = 300_000
 
 
+def _own_names(f):
+    """Gives a series function labels of other names, so that none of them clashes with a column made on the way."""
+
+    @wraps(f)
+    def run(samples: DataFrame, labels: list[str], *args) -> DataFrame:
+        inner = [f"label_{i}" for i in range(len(labels))]
+        out = f(samples.select(*[F.col(c).alias(i) for c, i in zip(labels, inner)], "t_ms", "value"), inner, *args)
+        return out.select(*[F.col(i).alias(c) for c, i in zip(labels, inner)], "t_ms", "value")
+
+    return run
+
+
 def _slices(samples: DataFrame, labels: list[str], slice_ms: int) -> DataFrame:
     """(labels, slot, part): what the samples of (slot - slice, slot] say: count, first and last sample, and what was lost in resets."""
     slot = (F.ceil(F.col("t_ms") / slice_ms) * slice_ms).alias("slot")
@@ -48,6 +61,7 @@ def _windows(samples: DataFrame, labels: list[str], range_ms: int, step_ms: int)
     return spread.groupBy(*labels, "t_ms").agg(F.sort_array(F.collect_list("part")).alias("parts"))
 
 
+@_own_names
 def increase(samples: DataFrame, labels: list[str], range_ms: int, step_ms: int) -> DataFrame:
     """How much a counter grew in each step's window, carried on to the ends of the window.
 
@@ -72,6 +86,7 @@ def rate(samples: DataFrame, labels: list[str], range_ms: int, step_ms: int) ->
     return increase(samples, labels, range_ms, step_ms).withColumn("value", F.col("value") / (range_ms / 1000))
 
 
+@_own_names
 def changes(samples: DataFrame, labels: list[str], range_ms: int, step_ms: int) -> DataFrame:
     """How often the value differs from the sample before, inside each step's window."""
     slot = samples.where("value is not null and t_ms is not null").select(*labels, F.col("t_ms").cast("bigint").alias("t_ms"), F.col("value").cast("double").alias("value"))
@@ -83,6 +98,7 @@ def changes(samples: DataFrame, labels: list[str], range_ms: int, step_ms: int)
     return rows.select(*labels, F.col("step").alias("t_ms"), moved.cast("double").alias("value"))
 
 
+@_own_names
 def latest(samples: DataFrame, labels: list[str], step_ms: int, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
     """The last sample of each series at each step, if it is no older than ``lookback_ms``."""
     w = _windows(samples, labels, lookback_ms, step_ms)

@@ -46,9 +46,8 @@ def sample_by_time(df: DataFrame, us: Column, gap_us: int, key: str = "stream_id
     return carried(df, key, order, {"us": us}, None, step, "emitted", "boolean")
 
 
-def throttle(df: DataFrame, stale: Column, gap: int, interval: int, key: str = "stream_id", order: str = "frame_seq") -> DataFrame:
-    """(key, order, kind), the pass of each frame: full by cadence, roi where the snapshot is fresh, else a fallback to a full one if ``gap`` frames
-    have gone since the last (a stream's first ``gap`` frames have none), else a single tile."""
+def throttle_step(gap: int, interval: int) -> Callable:
+    """The step of :func:`throttle`: its state counts the frames and holds the last fallback's number."""
 
     def step(state, old):
         n, last = state[0] + 1, state[1]
@@ -58,7 +57,13 @@ def throttle(df: DataFrame, stale: Column, gap: int, interval: int, key: str = "
             return (n, last), "roi"
         return ((n, n), "fallback") if n - last >= gap else ((n, last), "single")
 
-    return carried(df, key, order, {"stale": stale}, (0, 0), step, "kind", "string")
+    return step
+
+
+def throttle(df: DataFrame, stale: Column, gap: int, interval: int, key: str = "stream_id", order: str = "frame_seq") -> DataFrame:
+    """(key, order, kind), the pass of each frame: full by cadence, roi where the snapshot is fresh, else a fallback to a full one if ``gap`` frames
+    have gone since the last (a stream's first ``gap`` frames have none), else a single tile."""
+    return carried(df, key, order, {"stale": stale}, (0, 0), throttle_step(gap, interval), "kind", "string")
 
 
 def micro_batches(df: DataFrame, us: Column, size: int, delay_us: int, key: str = "stream_id", order: str = "frame_seq") -> DataFrame:

@@ -119,32 +119,40 @@ class Tracker:
 
 
 def track(dets: DataFrame, config: Config | None = None) -> DataFrame:
-    """``dets`` (stream_id, frame_seq, idx, conf, x1, y1, x2, y2) with track_id; streams are dealt over tasks, sorted and followed batch by batch."""
-    c, names = config or Config(), ["stream_id", "frame_seq", "idx", "track_id"]
+    """``dets`` (stream_id, frame_seq, idx, conf, x1, y1, x2, y2) with track_id; streams are dealt over tasks, sorted and followed batch by batch.
+
+    Columns stay NumPy arrays and a frame is a slice of them; a frame that a batch cuts in two waits for its rest."""
+    c, names = config or Config(), ["stream_id", "frame_seq", "idx", "conf", "x1", "y1", "x2", "y2"]
 
     def run(batches):
-        stream, tracker, held = object(), None, []
+        stream, tracker, held = None, None, None
 
-        def follow(rows):
+        def follow(rows: pa.Table, last: bool):
             nonlocal stream, tracker
-            if rows[0][0] != stream:
-                stream, tracker = rows[0][0], Tracker(c)
-            shown = tracker.update(np.array([r[4:] for r in rows], float), np.array([r[3] for r in rows], float))
-            return [(*r[:3], t) for r, t in zip(rows, shown)]
-
-        def packed(out):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names)
+            own = rows.column(0).to_pylist()
+            seq, conf = rows.column(1).to_numpy(), rows.column(3).to_numpy()
+            boxes = np.stack([rows.column(i).to_numpy() for i in range(4, 8)], 1)
+            moved = np.fromiter((a != b for a, b in zip(own, own[1:])), bool, len(own) - 1) | (seq[1:] != seq[:-1])
+            edges = [0, *(np.flatnonzero(moved) + 1).tolist(), *[len(own)] * last]
+            shown: list = []
+            for i, j in zip(edges, edges[1:]):
+                if tracker is None or own[i] != stream:
+                    stream, tracker = own[i], Tracker(c)
+                shown += tracker.update(boxes[i:j], conf[i:j])
+            n = edges[-1]
+            done = rows.slice(0, n).select(names[:3]).append_column("track_id", pa.array(shown, pa.int64()))
+            return done.combine_chunks().to_batches(), rows.slice(n)
 
         for b in batches:
-            out = []
-            for r in zip(*(x.to_pylist() for x in b.columns)):
-                if held and r[:2] != held[0][:2]:
-                    out += follow(held)
-                    held = []
-                held.append(r)
-            yield packed(out)
-        if held:
-            yield packed(follow(held))
-
-    rows = dets.select(*[F.col(x).cast("bigint") for x in names[:3]], "conf", "x1", "y1", "x2", "y2")
-    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "frame_seq", "idx").mapInArrow(run, "stream_id bigint, frame_seq bigint, idx bigint, track_id bigint")
+            rows = pa.Table.from_batches([b])
+            rows = pa.concat_tables([held, rows]) if held is not None and held.num_rows else rows
+            if rows.num_rows:
+                out, held = follow(rows, False)
+                yield from out
+        if held is not None and held.num_rows:
+            yield from follow(held, True)[0]
+
+    kind = dets.schema["stream_id"].dataType
+    kind = "string" if kind.typeName() == "string" else "bigint"
+    rows = dets.select(F.col("stream_id").cast(kind), *[F.col(x).cast("bigint") for x in names[1:3]], *[F.col(x).cast("double") for x in names[3:]])
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "frame_seq", "idx").mapInArrow(run, f"stream_id {kind}, frame_seq bigint, idx bigint, track_id bigint")

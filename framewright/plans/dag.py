@@ -2,68 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from framewright.plans.stages import STAGES, Context, read_params
 from framewright.sources.catalog import order
 
-OPERATORS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
-
-
-def operator(kind: str):
-    def keep(f):
-        OPERATORS[kind] = f
-        return f
-
-    return keep
-
-
-@operator("filter.conf")
-def _conf(df: DataFrame, params: dict) -> DataFrame:
-    return df.where(F.col("conf") >= float(params.get("threshold", 0.4)))
-
-
-@operator("sample.count")
-def _count(df: DataFrame, params: dict) -> DataFrame:
-    return df.where(F.col("frame_seq") % int(params.get("interval", 1)) == 0)
-
-
-@operator("filter.streams")
-def _streams(df: DataFrame, params: dict) -> DataFrame:
-    names = [x for x in params.get("ids", "").replace(" ", "").split(",") if x]
-    return df.where(F.col("stream_id").isin(names)) if names else df
-
-
-@operator("archive.raw")
-def _archive(df: DataFrame, params: dict) -> DataFrame:
-    at = F.col("frame_seq") % int(params.get("save_interval", 1)) == 0
-    return df.withColumn("frame_url", F.when(at, F.concat_ws("/", F.rtrim(F.lit(params["base_url"]), F.lit("/")), "stream_id", F.col("frame_seq").cast("string"))))
-
-
-@operator("sink.publish")
-def _publish(df: DataFrame, params: dict) -> DataFrame:
-    return df.select(F.col("stream_id").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
-
-
-def compile_pipeline(spec: dict, sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The DataFrame of each node of ``spec`` (nodes with id, type, with; edges from, to); nodes whose type begins with source. take ``sources``."""
+#: What an edge may do when it is full; plans have no queues, so that the policy is only checked.
+POLICIES = ("block", "drop_oldest", "drop_newest")
+
+
+def check_pipeline(spec: dict, context: Context | None = None) -> dict[str, dict]:
+    """The read parameters of each node of ``spec``; ValueError for cycles, unknown nodes, stages, models or publishers, bad parameters or edges."""
+    names = [n["id"] for n in spec["nodes"]]
+    if len(names) != len(set(names)):
+        raise ValueError("duplicate node ids")
+    for e in spec.get("edges", []):
+        if e.get("policy", "block") not in POLICIES:
+            raise ValueError(f"edge policy must be one of: {', '.join(POLICIES)}")
+        if int(e.get("capacity", 1)) < 1:
+            raise ValueError("edge capacity must be >= 1")
+    order(names, [(e["from"], e["to"]) for e in spec.get("edges", [])])
+    into = {e["to"] for e in spec.get("edges", [])}
+    for n in spec["nodes"]:
+        if n["type"].startswith("source.") == (n["id"] in into) and n["type"] in STAGES:
+            raise ValueError(f"{n['id']} has {'an' if n['id'] in into else 'no'} input")
+    return {n["id"]: read_params(n["type"], n.get("with", {}), context or Context()) for n in spec["nodes"]}
+
+
+def compile_pipeline(spec: dict, sources: dict[str, DataFrame], context: Context | None = None) -> dict[str, DataFrame]:
+    """The DataFrame of each node of ``spec`` (nodes with id, type, with; edges from, to); nodes whose type begins with source. take ``sources``.
+
+    All parameters are checked before any plan is built. Columns that only some of the united inputs have are null in the others."""
+    context = context or Context()
+    params = check_pipeline(spec, context)
     edges = [(e["from"], e["to"]) for e in spec.get("edges", [])]
     nodes = {n["id"]: n for n in spec["nodes"]}
     out: dict[str, DataFrame] = {}
     for name in order(list(nodes), edges):
-        node = nodes[name]
-        if node["type"].startswith("source."):
-            out[name] = sources[name]
-            continue
-        if node["type"] not in OPERATORS:
-            raise ValueError(f"unknown stage type {node['type']}")
-        into = [out[a] for a, b in edges if b == name]
-        if not into:
-            raise ValueError(f"{name} has no input")
+        into = [out[a] for a, b in edges if b == name] or [sources[name]]
         df = into[0]
         for other in into[1:]:
-            df = df.unionByName(other)
-        out[name] = OPERATORS[node["type"]](df, node.get("with", {}))
+            df = df.unionByName(other, allowMissingColumns=True)
+        out[name] = STAGES[nodes[name]["type"]](df, params[name], context)
     return out

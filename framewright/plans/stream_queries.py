@@ -470,3 +470,72 @@ def pipeline_graph(spark, sf):
     stage = lambda i, t, **w: {"id": i, "type": t, "with": w}
     spec = {"nodes": [stage("in", "source.file"), stage("every", "sample.count", interval="2"), stage("two", "filter.streams", ids="cam_01, cam_02"), stage("keep", "archive.raw", base_url="http://a/", save_interval="4"), stage("out", "sink.publish")], "edges": [{"from": a, "to": b} for a, b in (("in", "every"), ("every", "two"), ("two", "keep"), ("keep", "out"))]}
     return compile_pipeline(spec, {"in": frames(spark, sf).select("stream_id", "frame_seq")})["out"]
+
+
+_GRAPH_PAYLOAD = "string_agg(name || ':' || color, ';' order by conf desc, idx)"
+_GRAPH_SQL = """f as (select 'cam_' || lpad(cast(vec_id % 16 as varchar), 2, '0') as stream_id, cast(vec_id as bigint) as frame_seq from embeddings),
+k as (select vec_id as frame_seq, conf, idx, ['car', 'truck', 'bus', 'bike'][class_id + 1] as name, case when class_id in (0, 2) and (vec_id + idx) % 3 <> 0 then case when idx % 2 = 0 then 'red' else 'blue' end else '' end as color from flat),
+n(node, publisher, prefix, least) as (values ('all', 'bus', '', 0.0), ('all', 'cache', 'p:', 0.0), ('strong', 'cache', 'p:', 0.9)),
+o as (select frame_seq, node, count(*) as n, string_agg(name || ':' || color, ';' order by conf desc, idx) as payload from k, (select distinct node, least from n) m where conf >= least group by all)
+select n.node, n.publisher, n.prefix || f.stream_id as key, f.frame_seq, coalesce(o.n, 0) as n, coalesce(o.payload, '') as payload from f cross join n left join o on o.frame_seq = f.frame_seq and o.node = n.node"""
+
+
+def _graph_oracle() -> str:
+    from framewright.plans.detection_queries import _OVER, _V8, _nms_sql
+
+    return f"with {_V8}, {_nms_sql('d8', 'vec_id', _OVER)}, {_GRAPH_SQL}"
+
+
+@query("declared_graph", _graph_oracle())
+def declared_graph(spark, sf):
+    """A declared detector graph: two sources united, an engine with a cascade, then all results to every publisher and the strong ones to a cache."""
+    from framewright.plans.dag import compile_pipeline
+    from framewright.plans.detection_queries import _scaled_tensor
+    from framewright.plans.fixtures import tensors
+    from framewright.plans.stages import Context
+
+    stream = F.concat(F.lit("cam_"), F.lpad((F.col("vec_id") % 16).cast("string"), 2, "0")).alias("stream_id")
+    seq_, tile = F.col("vec_id").cast("bigint").alias("frame_seq"), F.lit(0).cast("bigint").alias("tile")
+    t = tensors(spark, sf)
+    given = t.select(stream, seq_, tile, _scaled_tensor().alias("tensor"))
+    said = t.select(stream, seq_, tile, "vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("idx")).where((F.col("vec_id") + F.col("idx")) % 3 != 0)
+    answers = said.select("stream_id", "frame_seq", "tile", "idx", F.when(F.col("idx") % 2 == 0, "red").otherwise("blue").alias("label"))
+    context = Context(
+        models={"det": {"version": "v8", "names": ["car", "truck", "bus", "bike"], "anchors": 8, "cascade": [{"model_id": "color", "triggers": [0, 2], "attribute": "color"}]}, "color": {"version": "v8", "names": []}},
+        outputs={"det": given}, answers={"color": answers}, publishers={"bus": {"type": "kafka"}, "cache": {"type": "redis", "prefix": "p"}},
+    )
+    node = lambda i, t, **w: {"id": i, "type": t, "with": w}
+    spec = {
+        "nodes": [node("even", "source.file"), node("odd", "source.rtsp"), node("det", "infer.engine", model_id="det"), node("sure", "filter.conf", threshold="0.9"), node("all", "sink.publish"), node("strong", "sink.publish", to="cache")],
+        "edges": [{"from": a, "to": b} for a, b in (("even", "det"), ("odd", "det"), ("det", "all"), ("det", "sure"), ("sure", "strong"))],
+    }
+    f = t.select(stream, seq_, F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+    out = compile_pipeline(spec, {"even": f.where("frame_seq % 2 = 0"), "odd": f.where("frame_seq % 2 = 1")}, context)
+    rows = out["all"].withColumn("node", F.lit("all")).unionByName(out["strong"].withColumn("node", F.lit("strong")))
+    dets = F.from_json("value", "detections array<struct<class_name: string, attributes: map<string, string>>>")["detections"]
+    rows = rows.select("node", "publisher", "key", "frame_seq", dets.alias("d"))
+    one = lambda d: F.concat(d["class_name"], F.lit(":"), F.coalesce(d["attributes"]["color"], F.lit("")))
+    return rows.select("node", "publisher", "key", "frame_seq", F.size("d").cast("bigint").alias("n"), F.array_join(F.transform("d", one), ";").alias("payload"))
+
+
+@query("cascade_deadline", WITH_FRAMES + """, r as (select stream_id, frame_seq, ts as start, (event_id % 4)::bigint as expected from frames),
+a as (select stream_id, frame_seq, start + to_microseconds(((frame_seq + j) % 6 * 5000 - 2000)::bigint) as came, j as idx from r, range(4) t(j) where (frame_seq + j) % 5 <> 0),
+t as (select a.*, r.start, r.expected, row_number() over (partition by stream_id, frame_seq order by came, idx) as k from a join r using (stream_id, frame_seq) where a.came >= r.start and a.came < r.start + interval 20 milliseconds),
+g as (select stream_id, frame_seq, count(*) as received, max(came) as last, string_agg(idx::varchar, ',' order by came, idx) filter (idx < 3) as answers from t where k <= expected group by 1, 2)
+select r.stream_id, r.frame_seq, r.expected, coalesce(g.received, 0) as received, coalesce(answers, '') as answers, epoch_us(case when r.expected = 0 then r.start when g.received >= r.expected then g.last else r.start + interval 20 milliseconds end) - epoch_us(r.start) as waited_us from r left join g using (stream_id, frame_seq)""")
+def cascade_deadline(spark, sf):
+    """Primary results with the answers that came in 20 ms, emitted when complete or at the deadline."""
+    from framewright.streaming.joins import cascade_deadline as merged
+
+    results, answers = cascade_rows(spark, sf)
+    out = merged(results, answers, 20).join(results.select("stream_id", "frame_seq", "at"), ["stream_id", "frame_seq"])
+    waited = F.unix_micros("emitted") - F.unix_micros("at")
+    return out.select("stream_id", "frame_seq", "expected", "received", F.array_join(F.transform("answers", lambda x: x["idx"].cast("string")), ",").alias("answers"), waited.alias("waited_us"))
+
+
+def cascade_rows(spark, sf):
+    """Results that expect up to three answers, and up to four answers each, some too early, some too late, one to no detection."""
+    r = frames(spark, sf).select("stream_id", "frame_seq", F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 4).cast("bigint").alias("expected"), F.lit(3).cast("bigint").alias("n_dets"))
+    j = r.select("stream_id", "frame_seq", "at", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx")).where((F.col("frame_seq") + F.col("idx")) % 5 != 0)
+    at = F.timestamp_micros(F.unix_micros("at") + (F.col("frame_seq") + F.col("idx")) % 6 * 5000 - 2000)
+    return r, j.select("stream_id", "frame_seq", at.alias("at"), "idx", F.lit("color").alias("attribute"), F.lit("red").alias("label"))
