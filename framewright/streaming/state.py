@@ -103,12 +103,14 @@ def track(dets: DataFrame, config: Config | None = None, idle_ms: int = 60_000,
         if state.hasTimedOut:
             state.remove()
             return
-        tracker = pickle.loads(state.get[0]) if state.exists else Tracker(c)
+        tracker = Tracker(c)
+        if state.exists:
+            vars(tracker).update(pickle.loads(state.get[0]))
         batch = pd.concat(list(batches)).sort_values(["frame_seq", "idx"])
         shown: list = []
         for _, frame in batch.groupby("frame_seq", sort=False):
             shown += tracker.update(frame[boxes].to_numpy(float), frame["conf"].to_numpy(float))
-        state.update((pickle.dumps(tracker),))
+        state.update((pickle.dumps({k: v for k, v in vars(tracker).items() if k != "c"}),))
         newest = int(batch["ts"].max().value // 1_000_000)
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         yield batch[["stream_id", "frame_seq", "idx", "ts"]].assign(track_id=pd.array(shown, "Int64"))
