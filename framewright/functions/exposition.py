@@ -87,9 +87,9 @@ def text(lines: DataFrame) -> str:
 
 
 def parse(lines: DataFrame, column: str = "line") -> DataFrame:
-    """(metric, kind, labels, value) of each sample line; comments, empty lines and lines of no sample go.
+    """(metric, labels, value) of each sample line; comments, empty lines and lines of no sample go.
 
-    Other columns of ``lines`` stay, such as the time of the scrape. ``kind`` is null here, since it stands on another line; see :func:`kinds`."""
+    Other columns of ``lines`` stay, such as the time of the scrape. The kinds stand on lines of their own: see :func:`kinds`."""
     line = F.trim(F.col(column))
     metric = F.regexp_extract(line, f"^({_NAME})", 1)
     body = F.regexp_extract(line, rf"^{_NAME}\{{(.*)\}}\s", 1)
