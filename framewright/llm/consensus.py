@@ -13,6 +13,7 @@ host ''; repeated pages each vote and each get their text; other columns are ign
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -26,7 +27,9 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("p div article section main body html h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th pre blockquote figure figcaption hr address details summary center br".split())
 NOISE = frozenset("ad ads advert advertisement advertising adverts sponsor sponsored promo banner comment comments reply replies discussion disqus sidebar menu nav navigation navbar breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices notification alert popup modal newsletter subscribe signup social share sharing related widget pagination login".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
+#: A tag ends before the next ``<`` outside quotes, and nothing is tried twice, so that a page of unclosed tags takes linear time.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+(?:>|\Z)", re.S)
+_OPEN_END = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSES_P = frozenset("p div article section main h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr address details form nav header footer aside".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -48,6 +51,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, str, bool, int]] = []  # tag, step, skipped, number
     held: list[str] = []
+    opened: Counter[str] = Counter()  # how often each tag stands in the stack
     number = at = 0
     skipped = 0
 
@@ -64,8 +68,12 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in BLOCKS or skip:
             close()
         stack.pop()
+        opened[tag] -= 1
         skipped -= skip
 
+    tail = _OPEN_END.search(html, html.rfind(">") + 1)  # a tag that never ends is no text
+    if tail:
+        html = html[: tail.start()]
     end = len(html)
     while at < end:
         m = _TOKEN.search(html, at)
@@ -80,7 +88,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if not tag:
             continue
         if m[1]:
-            if any(s[0] == tag for s in stack):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -88,8 +96,8 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in BLOCKS or tag in SKIP:
             if not skipped:
                 close()
-            if tag in _CLOSES_P and any(s[0] == "p" for s in stack) and stack[-1][0] not in ("td", "th", "li", "div"):
-                while any(s[0] == "p" for s in stack):
+            if tag in _CLOSES_P and opened["p"] and stack[-1][0] not in ("td", "th", "li", "div"):
+                while opened["p"]:
                     pop()
             while stack and stack[-1][0] in _SAME.get(tag, ()):
                 pop()
@@ -99,6 +107,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         skip = tag in SKIP or (noise and tag not in ("html", "body"))
         number += 1
         stack.append((tag, tag + classes, skip, number))
+        opened[tag] += 1
         skipped += skip
         if tag in RAW:
             stop = re.compile(rf"</{tag}[\s>/]", re.I).search(html, at)

@@ -164,11 +164,11 @@ def _distance(words: int):
 
 
 def links(nodes: DataFrame, max_distance: int) -> DataFrame:
-    """Edges (a, b) between nodes (node bigint, fp) at ``max_distance`` or less; nodes have distinct fingerprints.
+    """Edges (a, b) between nodes (node bigint, fp) at ``max_distance`` or less, which is 2; nodes have distinct fingerprints.
 
     Finds edges that give the same components as all such pairs would."""
-    if max_distance > 2:
-        raise ValueError("the exact mode links at 2 bits or fewer")
+    if max_distance != 2:
+        raise ValueError("the exact mode links at 2 bits or fewer, no other distance")
     rows = written(_exact_keys(nodes).select("node", "fp", F.explode("keys").alias("key")), "blocks")
     rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     small, many = rows.where(F.col("n") <= BUCKET), rows.where(F.col("n") > BUCKET)

@@ -36,7 +36,9 @@ def canonical_url(uri: Column) -> Column:
 
 def resolve(records: DataFrame) -> DataFrame:
     """(record_id, canonical, response_id, status, headers) of each revisit; status is resolved, mismatch or missing."""
-    lowered = F.map_from_entries(F.array_sort(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    entries = F.array_sort(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("name"), e["value"].alias("value"))))
+    single = F.filter(entries, lambda e, i: ~F.coalesce(F.get(entries, i + 1)["key"] == e["key"], F.lit(False)))  # of names that differ in case only, the last in order
+    lowered = F.map_from_entries(F.transform(single, lambda e: F.struct(e["key"], e["value"])))
     r = records.select("record_id", "kind", canonical_url(F.col("uri")).alias("canonical"), F.unix_micros("at").alias("at"), "etag", "last_modified", "digest", lowered.alias("headers"))
     r = r.withColumn("span", F.floor(F.col("at") / (SPAN * 1_000_000)))
     full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "digest", "headers"))
