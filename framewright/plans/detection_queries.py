@@ -23,6 +23,11 @@ def _rounded(df, *keys):
     return df.select(*keys, "d.idx", "d.class_id", *[F.round(f"d.{c}", 6).alias(c) for c in ("conf", *BOX)])
 
 
+def _each(df):
+    """A row for each of a tensor's ``dets``. The outer form adds no filter on their number, which would decode every tensor once more."""
+    return df.select("vec_id", F.explode_outer("dets").alias("d")).where("d is not null")
+
+
 def _scaled_tensor():
     """Signed values to coordinates and scores of a v8 tensor: centres, sizes, class scores."""
     return F.transform("v", lambda x, i: F.abs(x) * F.when(i < 16, 1000.0).when(i < 32, 6000.0).otherwise(3.0))
@@ -49,13 +54,14 @@ _TILE = f"k.class_id = d.class_id and ((({_AREA.format('k')} + {_AREA.format('d'
 
 
 def v8_detections(spark, sf):
-    return tensors(spark, sf).select("vec_id", decode.v8(_scaled_tensor(), 4, 8, 0.4).alias("dets"))
+    """The scaled tensor is a column of its own, so that the decoder's accesses read it instead of working it out again."""
+    return tensors(spark, sf).select("vec_id", _scaled_tensor().alias("v")).select("vec_id", decode.v8(F.col("v"), 4, 8, 0.4).alias("dets"))
 
 
 @query("conf_filter_v8", f"with {_V8} select vec_id, {_OUT} from d8")
 def conf_filter_v8(spark, sf):
     """Best class probability at the threshold or more."""
-    return _rounded(v8_detections(spark, sf).select("vec_id", F.explode("dets").alias("d")), "vec_id")
+    return _rounded(_each(v8_detections(spark, sf)), "vec_id")
 
 
 @query(
@@ -69,7 +75,7 @@ select vec_id, {_OUT} from d where obj >= 0.4 and conf >= 0.4""",
 def conf_filter_v5(spark, sf):
     """Objectness gate, then objectness times class."""
     v = tensors(spark, sf).select("vec_id", F.transform("v", lambda x: F.abs(x) * 3).alias("v"))
-    return _rounded(v.select("vec_id", F.explode(decode.v5(F.col("v"), 8, 3, 0.4)).alias("d")), "vec_id")
+    return _rounded(_each(v.select("vec_id", decode.v5(F.col("v"), 8, 3, 0.4).alias("dets"))), "vec_id")
 
 
 @query(
@@ -81,7 +87,7 @@ select vec_id, {_OUT} from a where conf >= 0.4""",
 def conf_filter_v26(spark, sf):
     """Six values a row; the gate also drops padding; no suppression."""
     v = tensors(spark, sf).select("vec_id", F.transform("v", lambda x, i: F.when(i % 6 < 4, x * 2000).when(i % 6 == 4, F.abs(x) * 3).otherwise(F.abs(x) * 20)).alias("v"))
-    return _rounded(v.select("vec_id", F.explode(decode.v26(F.col("v"), 10, 0.4)).alias("d")), "vec_id")
+    return _rounded(_each(v.select("vec_id", decode.v26(F.col("v"), 10, 0.4).alias("dets"))), "vec_id")
 
 
 @query("classifier_gate", "with t as (select vec_id, embedding::double[] as v from embeddings) select vec_id, cast(list_position(v, list_max(v)) - 1 as bigint) as class_id, round(list_max(v), 6) as conf from t where list_max(v) >= 0.3")
@@ -287,7 +293,7 @@ s as (select *, ['car', 'truck', 'bus', 'bike'][class_id + 1] as name from flat)
 select vec_id, count(*) as n, string_agg(name || ':' || cast(round(conf * 100) as int) || ':' || cast(round(x1 * 3) as int) || ':' || cast(round(y1 * 1.6875) as int), ';' order by conf desc, idx) as payload from s group by vec_id""")
 def detection_payload(spark, sf):
     """Flagship: decode, gate, suppress, stretch to the frame, name, and pack as one payload a tensor."""
-    kept = v8_detections(spark, sf).select("vec_id", nms.suppress(F.col("dets"), 0.45).alias("kept")).where(F.size("kept") > 0)
+    kept = v8_detections(spark, sf).select("vec_id", F.explode_outer(F.array(nms.suppress(F.col("dets"), 0.45))).alias("kept")).where(F.size("kept") > 0)  # one row each; the filter stays above the suppression
     whole = lambda x: F.round(x).cast("int").cast("string")
     one = lambda d: F.concat_ws(":", F.get(names(), d["class_id"].cast("int")), whole(d["conf"] * 100), whole(d["x1"] * 3), whole(d["y1"] * 1.6875))
     return kept.select("vec_id", F.size("kept").cast("bigint").alias("n"), F.array_join(F.transform("kept", one), ";").alias("payload"))
