@@ -446,6 +446,18 @@ def frame_message(spark, sf):
     return m.select(*m.columns[:-2], F.col("pos").cast("bigint").alias("pos"), "d.class_id", "d.class_name", "d.confidence", "d.bbox.*", "d.track_id", F.try_element_at("d.attributes", F.lit("color")).alias("color"))
 
 
+@query("frame_wire", WITH_DETECTIONS + """ select 'cam_' || frame_id % 16 as stream_id, frame_id as frame_seq, (frame_id + 0.5)::double as frame_ts, (frame_id + 0.75)::double as infer_ts, 250.0::double as latency_ms, 'yolo' as model_id, '/data/' || frame_id || '.jpg' as frame_local_path, 'http://a/' || frame_id as frame_url,
+ idx as pos, class_id::int as class_id, ['car', 'truck', 'bus', 'bike'][class_id + 1] as class_name, conf::float::double as confidence, x1, y1, x2, y2, case when idx % 2 = 0 then idx + 1 else 0 end as track_id, case when idx = 0 then 'red' end as color from detections""")
+def frame_wire(spark, sf):
+    """The frame messages as bytes, read back and laid out as rows; confidences went through 32 bits."""
+    from framewright.operators.messages import decode, encode
+
+    m = decode(encode(results(spark, sf).withColumn("detections", R.frame_detections())))
+    m = m.where("error is null").select("*", F.posexplode("detections").alias("pos", "d")).drop("detections", "error")
+    box = [F.col(f"d.bbox.{c}").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return m.select(*m.columns[:-2], F.col("pos").cast("bigint").alias("pos"), "d.class_id", "d.class_name", F.col("d.confidence").cast("double").alias("confidence"), *box, "d.track_id", F.try_element_at("d.attributes", F.lit("color")).alias("color"))
+
+
 @query("event_ids", WITH_FRAMES + "select stream_id || ':' || frame_seq as event_id, stream_id || ':' || frame_seq || '#tile' || (frame_seq + 1) as tile_id from frames")
 def event_ids(spark, sf):
     event = F.concat_ws(":", "stream_id", F.col("frame_seq").cast("string"))
