@@ -29,8 +29,8 @@ class Config:
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """IoU of every box of a with every box of b; unions are 1e-6 at least."""
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.prod(np.clip(high - low, 0, None), axis=2)
+    side = lambda k: np.maximum(np.minimum(a[:, None, k + 2], b[:, k + 2]) - np.maximum(a[:, None, k], b[:, k]), 0)
+    inter = side(0) * side(1)
     size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
     return inter / np.maximum(size(a)[:, None] + size(b)[None, :] - inter, 1e-6)
 
@@ -40,6 +40,10 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     flip = cost.shape[0] > cost.shape[1]
     c = cost.T if flip else cost
     n, m = c.shape
+    nearest = c.argmin(1).tolist()
+    if len(set(nearest)) == n:  # each row has its least cost: what the search below would find
+        pairs = list(enumerate(nearest))
+        return sorted((j, i) for i, j in pairs) if flip else pairs
     u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for row in range(1, n + 1):
         owner[0], col = row, 0
@@ -76,52 +80,63 @@ class Tracker:
         self.hits = np.zeros(0, int)
         self.lost = np.zeros(0, int)
 
-    def _match(self, tracks: np.ndarray, boxes: np.ndarray, which: np.ndarray) -> list[tuple[int, int]]:
-        if not len(tracks) or not len(which):
-            return []
-        near = overlaps(self.box[tracks], boxes[which])
-        ok = near >= self.c.min_iou
-        return [(int(tracks[i]), int(which[j])) for i, j in assign(np.where(ok, 1 - near, PRICED_OUT)) if ok[i, j]]
+    @staticmethod
+    def _match(near: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, columns) matched by most overlap among the pairs of ``ok``; what has no such pair takes no part."""
+        rows, cols = ok.any(1).nonzero()[0], ok.any(0).nonzero()[0]
+        if not len(rows):
+            return rows, rows
+        near, ok = near[rows[:, None], cols], ok[rows[:, None], cols]
+        pairs = np.array(assign(np.where(ok, 1 - near, PRICED_OUT)))
+        pairs = pairs[ok[pairs[:, 0], pairs[:, 1]]]
+        return rows[pairs[:, 0]], cols[pairs[:, 1]]
 
     def update(self, boxes: np.ndarray, conf: np.ndarray) -> list[int | None]:
         """Takes a frame's detections; returns each one's track number, or None."""
-        self.box = self.box + np.tile(self.speed, 2)
-        high, low = np.flatnonzero(conf >= self.c.high), np.flatnonzero((conf >= self.c.low) & (conf < self.c.high))
-        every = np.arange(len(self.ids))
-        pairs = self._match(every, boxes, high)
-        free = np.array([t for t in every if t not in {p[0] for p in pairs}], int)
-        pairs += self._match(free, boxes, low)
+        c = self.c
+        moved = self.box + self.speed[:, [0, 1, 0, 1]]
+        self.box, met, taken = moved.copy(), np.zeros(len(moved), bool), np.zeros(len(boxes), bool)
+        near = overlaps(moved, boxes)
+        high, ok = conf >= c.high, near >= c.min_iou
+        t, d = self._match(near, ok & high)
+        met[t], taken[d] = True, True
+        fresh = (high & ~taken).nonzero()[0]
+        low = ok & ((conf >= c.low) & ~high)
+        low[met] = False
+        more = self._match(near, low)
+        if len(more[0]):
+            t, d = np.concatenate([t, more[0]]), np.concatenate([d, more[1]])
+            met[t] = True
+        self.lost = np.where(met, 0, self.lost + 1)
         shown: list[int | None] = [None] * len(boxes)
-        met = np.zeros(len(self.ids), bool)
-        for t, d in pairs:
-            old = self.box[t] - np.tile(self.speed[t], 2)
-            centre = lambda b: (b[:2] + b[2:]) / 2
-            self.speed[t] = centre(boxes[d]) - centre(old)
-            self.box[t] = boxes[d]
-            self.hits[t] += 1
-            met[t], self.lost[t] = True, 0
-            if self.hits[t] >= self.c.min_hits:
-                shown[d] = int(self.ids[t])
-        self.lost[~met] += 1
-        stay = self.lost <= self.c.max_lost
-        self.ids, self.box, self.speed, self.hits, self.lost = (x[stay] for x in (self.ids, self.box, self.speed, self.hits, self.lost))
-        taken = {d for _, d in pairs}
-        for d in high.tolist():
-            if d not in taken:
-                self.ids = np.append(self.ids, self.next)
-                self.box = np.vstack([self.box, boxes[d]])
-                self.speed = np.vstack([self.speed, [0.0, 0.0]])
-                self.hits, self.lost = np.append(self.hits, 1), np.append(self.lost, 0)
-                if self.c.min_hits <= 1:
-                    shown[d] = self.next
-                self.next += 1
+        if len(t):
+            now, old = boxes[d], moved[t] - self.speed[t][:, [0, 1, 0, 1]]
+            self.speed, self.hits = self.speed.copy(), self.hits + met
+            self.speed[t] = (now[:, :2] + now[:, 2:]) / 2 - (old[:, :2] + old[:, 2:]) / 2
+            self.box[t] = now
+            for k, number, hits in zip(d.tolist(), self.ids[t].tolist(), self.hits[t].tolist()):
+                if hits >= c.min_hits:
+                    shown[k] = number
+        stay = self.lost <= c.max_lost
+        if not stay.all():
+            self.ids, self.box, self.speed, self.hits, self.lost = (x[stay] for x in (self.ids, self.box, self.speed, self.hits, self.lost))
+        if n := len(fresh):
+            numbers = np.arange(self.next, self.next + n)
+            self.ids, self.box = np.concatenate([self.ids, numbers]), np.concatenate([self.box, boxes[fresh]])
+            self.speed = np.concatenate([self.speed, np.zeros((n, 2))])
+            self.hits, self.lost = np.concatenate([self.hits, np.ones(n, int)]), np.concatenate([self.lost, np.zeros(n, int)])
+            if c.min_hits <= 1:
+                for k, number in zip(fresh.tolist(), numbers.tolist()):
+                    shown[k] = number
+            self.next += n
         return shown
 
 
 def track(dets: DataFrame, config: Config | None = None) -> DataFrame:
     """``dets`` (stream_id, frame_seq, idx, conf, x1, y1, x2, y2) with track_id; streams are dealt over tasks, sorted and followed batch by batch.
 
-    Columns stay NumPy arrays and a frame is a slice of them; a frame that a batch cuts in two waits for its rest."""
+    Columns stay NumPy arrays and a frame is a slice of them; a frame that a batch cuts in two waits for its rest. There are eight
+    parts a core at least, so that streams seldom share a part and free cores take the next one."""
     c, names = config or Config(), ["stream_id", "frame_seq", "idx", "conf", "x1", "y1", "x2", "y2"]
 
     def run(batches):
@@ -154,5 +169,7 @@ def track(dets: DataFrame, config: Config | None = None) -> DataFrame:
 
     kind = dets.schema["stream_id"].dataType
     kind = "string" if kind.typeName() == "string" else "bigint"
+    spark = dets.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
     rows = dets.select(F.col("stream_id").cast(kind), *[F.col(x).cast("bigint") for x in names[1:3]], *[F.col(x).cast("double") for x in names[3:]])
-    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "frame_seq", "idx").mapInArrow(run, f"stream_id {kind}, frame_seq bigint, idx bigint, track_id bigint")
+    return rows.repartition(parts, "stream_id").sortWithinPartitions("stream_id", "frame_seq", "idx").mapInArrow(run, f"stream_id {kind}, frame_seq bigint, idx bigint, track_id bigint")
