@@ -55,10 +55,17 @@ def has_control(text: Column) -> Column:
     return text.rlike(r"[\x00-\x1f\x7f]")
 
 
+def placeholder_error(template: Column) -> Column:
+    """Why a template cannot be filled in, by its first brace that begins neither {task_id} nor {source_id}; null where it can, and for null."""
+    rest = F.regexp_extract(template, r"(?s)\{(?!(?:task_id|source_id)\})(.*)$", 0)
+    token = F.regexp_extract(rest, r"(?s)^(\{[^}]*\})", 1)
+    return F.when(rest == "", None).when(token == "", "unterminated placeholder").when(token != "", F.concat(F.lit("unsupported placeholder "), token))
+
+
 def placeholders(template: Column, task: Column, source: Column) -> Column:
-    """The template with {task_id} and {source_id} filled in; null where another or an open brace is left."""
-    out = F.replace(F.replace(template, F.lit("{task_id}"), task), F.lit("{source_id}"), source)
-    return F.when(~template.rlike(r"\{(?!(task_id|source_id)\})"), out)
+    """The template with {task_id} and {source_id} filled in, once: braces in the names stay; null where there is a placeholder_error."""
+    parts = F.transform(F.split(template, r"\{task_id\}"), lambda p: F.replace(p, F.lit("{source_id}"), source))
+    return F.when(placeholder_error(template).isNull(), F.call_function("array_join", parts, task))
 
 
 def backoff(base: Column, ceiling: Column, failures: Column, jitter: Column) -> Column:
