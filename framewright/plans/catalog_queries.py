@@ -173,16 +173,15 @@ def task_placeholder(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), T.placeholders(template, F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")).alias("url"))
 
 
-@query("output_url_errors", """select o_orderkey as id, case o_orderkey % 5 when 0 then 'unsupported placeholder {camera}' when 1 then 'unterminated placeholder' when 2 then 'unsupported placeholder {' || o_orderpriority || '}' end as error,
- case o_orderkey % 5 when 3 then o_custkey || '/' || o_orderkey || '/' || o_custkey when 4 then 'rtmp://host/' || o_comment end as url from orders where o_comment is null or not regexp_matches(o_comment, '[{}]')""")
+@query("output_url_errors", """select o_orderkey as id, case o_orderkey % 5 when 0 then 'unsupported placeholder {camera}' when 1 then 'unterminated placeholder' when 2 then 'unsupported placeholder {' || o_orderstatus || '}' end as error,
+ case o_orderkey % 5 when 3 then o_custkey || '/' || o_orderkey || '/' || o_custkey when 4 then 'rtmp://host/' || o_orderstatus end as url from orders""")
 def output_url_errors(spark, sf):
-    """Addresses of outgoing streams with the reason of each that cannot be filled in; comments with braces are left out."""
+    """Addresses of outgoing streams with the reason of each that cannot be filled in."""
     at = F.col("o_orderkey") % 5
-    forms = ["rtmp://{source_id}/{camera}", "rtmp://{source_id}/{task_id", F.concat(F.lit("rtmp://{task_id}/{"), "o_orderpriority", F.lit("}{")), "{source_id}/{task_id}/{source_id}", F.concat(F.lit("rtmp://host/"), "o_comment")]
+    forms = ["rtmp://{source_id}/{camera}", "rtmp://{source_id}/{task_id", F.concat(F.lit("rtmp://{task_id}/{"), "o_orderstatus", F.lit("}{")), "{source_id}/{task_id}/{source_id}", F.concat(F.lit("rtmp://host/"), "o_orderstatus")]
     template = F.coalesce(*[F.when(at == k, f) for k, f in enumerate(forms)])
-    rows = table(spark, sf, "orders").where("o_comment is null or not o_comment rlike '[{}]'")
     url = T.placeholders(template, F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))
-    return rows.select(F.col("o_orderkey").alias("id"), T.placeholder_error(template).alias("error"), url.alias("url"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), T.placeholder_error(template).alias("error"), url.alias("url"))
 
 
 @query("rtsp_transport", "select page_id, case when contains(url, '?') then url || '&rtsp_transport=tcp' else url || '?rtsp_transport=tcp' end as url from pages")
