@@ -136,7 +136,7 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     label = rng.integers(0, 2, 240)
     rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))]
     bad = [(900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] * 8, 0), (903, x[0].tolist(), None), (904, [], 0), (905, [None] * 8, 1)]
-    monkeypatch.setattr(cells, "CELL", 20)
+    monkeypatch.setattr(cells, "SPREAD", 1)
     monkeypatch.setattr(cells, "BLOCK", 16)
     got = {r.vec_id: r for r in cells.near_vectors(spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<double>, label int")).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)

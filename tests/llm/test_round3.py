@@ -7,9 +7,10 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
-from framewright.llm import alignment, packing, spelling, units
+from framewright.llm import alignment, cells, packing, spelling, units
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -245,3 +246,24 @@ def test_queries_of_this_round(spark):
     assert {r.word: r.n for r in queries.op11_spelling(spark, sf).collect()} == words
     packed = queries.op12_packing(spark, sf).collect()
     assert sum(r.length for r in packed if r.start == 0 or r.start) == sum({r.doc_id: r.doc_tokens for r in packed}.values())
+
+
+def test_vectors_cells_of_labels_share_their_bound_and_the_session_is_set_back(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist(), i % 3, "x", "y") for i in range(600)]
+    rows += [rows[0], rows[0], (None, None, None, "x", "y"), (None, None, None, "x", "y")]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, node string, known string")
+    nodes = vectors.where("vec_id is not null").selectExpr("vec_id as node", "cast(label as bigint) as label", "size(embedding) as dim", "embedding as v").distinct()
+    assert {k: len(c) for k, c in cells.centroids(nodes).items()} == {(0, 4): 4, (1, 4): 4, (2, 4): 4}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = cells.near_vectors(vectors).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    monkeypatch.setattr(cells, "CENTROIDS", 8)
+    assert {k: len(c) for k, c in cells.centroids(nodes).items()} == {(0, 4): 2, (1, 4): 2, (2, 4): 2}
+    x = np.array([r[1] for r in rows[:600]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (np.arange(600)[:, None] % 3 == np.arange(600) % 3)
+    copies = np.where(np.arange(600) == 0, 3, 1)
+    want = near @ copies - 1
+    assert len(got) == 604 and all(r.n_links == (0 if r.vec_id is None else want[r.vec_id]) for r in got)
+    assert cells.near_vectors(vectors.limit(0)).collect() == []
