@@ -77,11 +77,13 @@ with cut as (
 asked as (select *, list_sort(list_filter(string_split(substr(u.q, 2), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) as query from cut),
 c as materialized (select page_id, html, md5(html) as etag, case when ok then lower(u.s) || '://' || regexp_replace(lower(u.h), ':(80|443)$', '') || regexp_replace(u.p, '/+$', '')
     || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end else url end as canonical from asked),
-r as (select canonical, page_id * 60 + 604800 as t, page_id, etag from c where canonical is not null),
+r as (select canonical, page_id * 60 + 604800 as t, page_id, etag from c),
 f as (select canonical, page_id * 60 as t, page_id as response_id, etag as found, length(html) as n from c where canonical is not null),
-j as (select r.*, f.response_id, f.found, f.n from r asof left join f on r.canonical = f.canonical and r.t > f.t)
-select page_id, canonical, case when etag = found then response_id end as response_id,
-  case when response_id is null then 'missing' when etag = found then 'resolved' else 'mismatch' end as status,
-  case when etag = found then 'content-length=' || n || ';content-type=text/html;' else 'content-length=0;' end || 'date=' || t || ';etag=' || etag || ';server=cache' as headers
+j as (select r.*, f.response_id, f.n, f.response_id is not null and (r.etag is null or coalesce(r.etag = f.found, false)) as agrees
+  from r asof left join f on r.canonical = f.canonical and r.t > f.t)
+select page_id, canonical, case when agrees then response_id end as response_id,
+  case when response_id is null then 'missing' when agrees then 'resolved' else 'mismatch' end as status,
+  case when agrees then coalesce('content-length=' || n || ';', '') || 'content-type=text/html;' else 'content-length=0;' end
+    || coalesce('date=' || t || ';', '') || coalesce('etag=' || etag || ';', '') || 'server=cache' as headers
 from j
 """
