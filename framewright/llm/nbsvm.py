@@ -180,8 +180,14 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``KEEP``; they are scored where they are read, without a shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    """The rows of ``docs`` whose score reaches ``KEEP``; they are scored where they are read, without a shuffle.
+
+    Null and empty texts are judged by the intercept, repeated rows alike, all columns stay; without labels of both classes nothing can be
+    judged and all rows are kept."""
+    fitted = fit(docs, labels, sample)
+    if fitted is None:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     at = docs.columns.index("text")
 
     def run(batches):

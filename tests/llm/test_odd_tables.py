@@ -88,6 +88,10 @@ def test_scores_without_labels_or_documents(spark):
     got = nbsvm.score(docs, labels).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert nbsvm.score(docs.limit(0), labels).collect() == []
+    assert nbsvm.keep(docs, labels).count() == 4
+    both = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    assert collections.Counter(r.doc_id for r in nbsvm.keep(docs, both).collect())[1] in (0, 2)
+    assert nbsvm.keep(docs.limit(0), both).columns == docs.columns
 
 
 def test_items_of_odd_documents(spark):
