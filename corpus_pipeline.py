@@ -19,12 +19,16 @@ PASSAGE, BYTES = 50, 240
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches 0.7; the model is fitted on the labelled documents of the stage's input."""
+    """Documents whose quality score reaches 0.7; the model is fitted on the labelled documents of the stage's input.
+
+    Null and empty texts are scored as texts without features; repeated rows share their fate; without labels of both classes all stay."""
     return nbsvm.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest doc_id."""
+    """One document of each near-duplicate group, that of the smallest doc_id.
+
+    Texts without words, null ones too, are one group; of repeated rows one stays; a null doc_id stays only where its group has no other."""
     return simhash.keep_one(docs)
 
 
@@ -37,12 +41,14 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, repeated rows are judged alike, and an empty benchmark keeps all."""
     return decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).where(F.size("items") == 0).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): the ids as little-endian unsigned 32-bit integers, and the text they decode to."""
+    """(doc_id, n_tokens, ids, decoded): the ids as little-endian unsigned 32-bit integers, and the text they decode to.
+
+    Null and empty texts have no ids and decode to an empty text; repeated rows and null doc_ids stay."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
