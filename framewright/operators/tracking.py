@@ -3,7 +3,7 @@
 Each frame: tracks move on by their velocity; confident detections are matched to tracks first, weak ones to the tracks left over; tracks
 without a match age and go once they were lost for more than ``max_lost`` frames; unmatched confident detections
 start tracks. A track's number is shown once it was hit ``min_hits`` times. Matching maximises total overlap (float64) among pairs of ``min_iou`` or more:
-others are priced out before. Frames are taken in order of frame_seq, whatever order they came in. Classes do not matter.
+others are priced out before. Unions are 1e-6 at least. Frames are taken in order of frame_seq, whatever order they came in. Classes do not matter.
 """
 
 from __future__ import annotations
@@ -27,14 +27,6 @@ class Config:
     max_lost: int = 30
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of every box of a with every box of b; unions are 1e-6 at least."""
-    side = lambda k: np.maximum(np.minimum(a[:, None, k + 2], b[:, k + 2]) - np.maximum(a[:, None, k], b[:, k]), 0)
-    inter = side(0) * side(1)
-    size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    return inter / np.maximum(size(a)[:, None] + size(b)[None, :] - inter, 1e-6)
-
-
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost, by shortest augmenting paths with potentials."""
     flip = cost.shape[0] > cost.shape[1]
@@ -44,91 +36,129 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     if len(set(nearest)) == n:  # each row has its least cost: what the search below would find
         pairs = list(enumerate(nearest))
         return sorted((j, i) for i, j in pairs) if flip else pairs
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    rows, u, v, owner = c.tolist(), [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)  # lists: frames are small, calls of NumPy would cost more
     for row in range(1, n + 1):
         owner[0], col = row, 0
-        least, back, done = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        least, back, done, free = [np.inf] * (m + 1), [0] * (m + 1), [0], list(range(1, m + 1))
         while True:
-            done[col] = True
-            reduced = c[owner[col] - 1] - u[owner[col]] - v[1:]
-            better = ~done[1:] & (reduced < least[1:])
-            least[1:][better] = reduced[better]
-            back[1:][better] = col
-            nxt = int(np.where(done[1:], np.inf, least[1:]).argmin()) + 1
+            costs, base, nxt = rows[owner[col] - 1], u[owner[col]], 0
+            for j in free:
+                reduced = costs[j - 1] - base - v[j]
+                if reduced < least[j]:
+                    least[j], back[j] = reduced, col
+                if not nxt or least[j] < least[nxt]:
+                    nxt = j
             step = least[nxt]
-            u[owner[done]] += step
-            v[done] -= step
-            least[~done] -= step
+            for j in done:
+                u[owner[j]] += step
+                v[j] -= step
+            for j in free:
+                least[j] -= step
+            free.remove(nxt)
+            done.append(nxt)
             col = nxt
             if owner[col] == 0:
                 break
         while col:
             owner[col] = owner[back[col]]
             col = back[col]
-    pairs = [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
+    pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
     return sorted((b, a) for a, b in pairs) if flip else sorted(pairs)
 
 
+def prepared(boxes: np.ndarray, conf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Corners (4, n), areas, middles (2, n) and confidences of the detections of one or more frames, for :meth:`Tracker.step`."""
+    box = np.ascontiguousarray(boxes.T)
+    return box, (box[2] - box[0]) * (box[3] - box[1]), (box[:2] + box[2:]) / 2, conf.tolist()
+
+
+def _match(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """(track, detection) of least total cost among ``pairs``, which come by detection, then by track; what has no pair takes no part."""
+    if len(pairs) < 2:
+        return [p[:2] for p in pairs]
+    rows, cols = {p[0] for p in pairs}, {p[1] for p in pairs}
+    side = len(rows) > len(cols)
+    best: dict[int, tuple] = {}
+    for p in pairs:
+        if (old := best.get(p[side])) is None or p[2] < old[2]:
+            best[p[side]] = p
+    if len({p[1 - side] for p in best.values()}) == len(best):  # each has its least cost
+        return [p[:2] for p in best.values()]
+    order, places = sorted(rows), sorted(cols)
+    row, col = {t: i for i, t in enumerate(order)}, {d: i for i, d in enumerate(places)}
+    cost = np.full((len(order), len(places)), PRICED_OUT)
+    cost[[row[p[0]] for p in pairs], [col[p[1]] for p in pairs]] = [p[2] for p in pairs]
+    return [(order[i], places[j]) for i, j in assign(cost) if cost[i, j] != PRICED_OUT]
+
+
 class Tracker:
-    """The tracks of one stream."""
+    """The tracks of one stream: columns of ``state``, of which the first ``n`` are in use. Its rows are four corners, the speed twice, hits, frames lost, number."""
+
+    SPEED, HITS, LOST, NUMBER, ROWS = slice(4, 8), 8, 9, 10, 11
 
     def __init__(self, config: Config):
-        self.c, self.next = config, 1
-        self.ids = np.zeros(0, int)
-        self.box = np.zeros((0, 4))
-        self.speed = np.zeros((0, 2))
-        self.hits = np.zeros(0, int)
-        self.lost = np.zeros(0, int)
-
-    @staticmethod
-    def _match(near: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, columns) matched by most overlap among the pairs of ``ok``; what has no such pair takes no part."""
-        rows, cols = ok.any(1).nonzero()[0], ok.any(0).nonzero()[0]
-        if not len(rows):
-            return rows, rows
-        near, ok = near[rows[:, None], cols], ok[rows[:, None], cols]
-        pairs = np.array(assign(np.where(ok, 1 - near, PRICED_OUT)))
-        pairs = pairs[ok[pairs[:, 0], pairs[:, 1]]]
-        return rows[pairs[:, 0]], cols[pairs[:, 1]]
+        self.c, self.next, self.n = config, 1, 0
+        self.state = np.zeros((self.ROWS, 64))
 
     def update(self, boxes: np.ndarray, conf: np.ndarray) -> list[int | None]:
         """Takes a frame's detections; returns each one's track number, or None."""
-        c = self.c
-        moved = self.box + self.speed[:, [0, 1, 0, 1]]
-        self.box, met, taken = moved.copy(), np.zeros(len(moved), bool), np.zeros(len(boxes), bool)
-        near = overlaps(moved, boxes)
-        high, ok = conf >= c.high, near >= c.min_iou
-        t, d = self._match(near, ok & high)
-        met[t], taken[d] = True, True
-        fresh = (high & ~taken).nonzero()[0]
-        low = ok & ((conf >= c.low) & ~high)
-        low[met] = False
-        more = self._match(near, low)
-        if len(more[0]):
-            t, d = np.concatenate([t, more[0]]), np.concatenate([d, more[1]])
-            met[t] = True
-        self.lost = np.where(met, 0, self.lost + 1)
-        shown: list[int | None] = [None] * len(boxes)
-        if len(t):
-            now, old = boxes[d], moved[t] - self.speed[t][:, [0, 1, 0, 1]]
-            self.speed, self.hits = self.speed.copy(), self.hits + met
-            self.speed[t] = (now[:, :2] + now[:, 2:]) / 2 - (old[:, :2] + old[:, 2:]) / 2
-            self.box[t] = now
-            for k, number, hits in zip(d.tolist(), self.ids[t].tolist(), self.hits[t].tolist()):
+        return self.step(*prepared(boxes, conf), 0, len(boxes))
+
+    def step(self, box: np.ndarray, area: np.ndarray, mid: np.ndarray, conf: list[float], i: int, j: int) -> list[int | None]:
+        """:meth:`update` with the detections i to j of those that were :func:`prepared`. A frame is small, so few calls of NumPy count most."""
+        c, n, k = self.c, self.n, j - i
+        t = self.state[:, :n]
+        t[:4] += t[self.SPEED]
+        side = np.minimum(t[2:4, None], box[2:, i:j, None])
+        side -= np.maximum(t[:2, None], box[:2, i:j, None])
+        np.maximum(side, 0, out=side)
+        near = side[0] * side[1]
+        size = (t[2] - t[0]) * (t[3] - t[1])
+        near /= np.maximum(size + area[i:j, None] - near, 1e-6)
+        near = near.ravel()
+        at = (near >= c.min_iou).nonzero()[0]
+        sure, weak = [], []
+        for x, cost in zip(at.tolist(), (1 - near[at]).tolist()):
+            d = x // n
+            if (seen := conf[i + d]) >= c.high:
+                sure.append((x % n, d, cost))
+            elif seen >= c.low:
+                weak.append((x % n, d, cost))
+        got = _match(sure)
+        taken, met = {d for _, d in got}, {r for r, _ in got}
+        fresh = [d for d in range(k) if d not in taken and conf[i + d] >= c.high]
+        if weak and (weak := [p for p in weak if p[0] not in met]):
+            got += _match(weak)
+        t[self.LOST] += 1
+        shown: list[int | None] = [None] * k
+        if got:
+            rows, cols = [r for r, _ in got], [i + d for _, d in got]
+            m = t[:, rows]
+            old = m[:4] - m[self.SPEED]
+            m[4:6] = m[6:8] = mid[:, cols] - (old[:2] + old[2:]) / 2
+            m[:4] = box[:, cols]
+            m[self.HITS] += 1
+            m[self.LOST] = 0
+            t[:, rows] = m
+            for (_, d), hits, number in zip(got, m[self.HITS].tolist(), m[self.NUMBER].tolist()):
                 if hits >= c.min_hits:
-                    shown[k] = number
-        stay = self.lost <= c.max_lost
-        if not stay.all():
-            self.ids, self.box, self.speed, self.hits, self.lost = (x[stay] for x in (self.ids, self.box, self.speed, self.hits, self.lost))
-        if n := len(fresh):
-            numbers = np.arange(self.next, self.next + n)
-            self.ids, self.box = np.concatenate([self.ids, numbers]), np.concatenate([self.box, boxes[fresh]])
-            self.speed = np.concatenate([self.speed, np.zeros((n, 2))])
-            self.hits, self.lost = np.concatenate([self.hits, np.ones(n, int)]), np.concatenate([self.lost, np.zeros(n, int)])
+                    shown[d] = int(number)
+        if n and t[self.LOST].max() > c.max_lost:
+            kept = t[:, t[self.LOST] <= c.max_lost]
+            self.n = kept.shape[1]
+            self.state[:, : self.n] = kept
+        if fresh:
+            new = np.zeros((self.ROWS, len(fresh)))
+            new[:4] = box[:, [i + d for d in fresh]]
+            new[self.HITS] = 1
+            new[self.NUMBER] = numbers = range(self.next, self.next + len(fresh))
+            if self.n + len(fresh) > self.state.shape[1]:
+                self.state = np.concatenate([self.state[:, : self.n], new, np.zeros((self.ROWS, self.n + 64))], 1)
+            self.state[:, self.n : self.n + len(fresh)] = new
             if c.min_hits <= 1:
-                for k, number in zip(fresh.tolist(), numbers.tolist()):
-                    shown[k] = number
-            self.next += n
+                for d, number in zip(fresh, numbers):
+                    shown[d] = number
+            self.n, self.next = self.n + len(fresh), self.next + len(fresh)
         return shown
 
 
@@ -146,14 +176,14 @@ def track(dets: DataFrame, config: Config | None = None) -> DataFrame:
             nonlocal stream, tracker
             own = rows.column(0).to_pylist()
             seq, conf = rows.column(1).to_numpy(), rows.column(3).to_numpy()
-            boxes = np.stack([rows.column(i).to_numpy() for i in range(4, 8)], 1)
+            dets = prepared(np.stack([rows.column(i).to_numpy() for i in range(4, 8)], 1), conf)
             moved = np.fromiter((a != b for a, b in zip(own, own[1:])), bool, len(own) - 1) | (seq[1:] != seq[:-1])
             edges = [0, *(np.flatnonzero(moved) + 1).tolist(), *[len(own)] * last]
             shown: list = []
             for i, j in zip(edges, edges[1:]):
                 if tracker is None or own[i] != stream:
                     stream, tracker = own[i], Tracker(c)
-                shown += tracker.update(boxes[i:j], conf[i:j])
+                shown += tracker.step(*dets, i, j)
             n = edges[-1]
             done = rows.slice(0, n).select(names[:3]).append_column("track_id", pa.array(shown, pa.int64()))
             return done.combine_chunks().to_batches(), rows.slice(n)
