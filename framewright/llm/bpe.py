@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import process_cache, text_batches
 
 #: Words, and pieces of ids, remembered in a worker, and characters of text taken to DuckDB at once.
-REMEMBER, AT_ONCE = 400_000, 4_000_000
+REMEMBER, AT_ONCE = 400_000, 1_000_000
 #: Bytes of a word that DuckDB contracts at most, and squared bytes of words in one call.
 LONG, SQUARES = 256, 4_000_000
 
