@@ -8,7 +8,7 @@ item if the consistent alignments of a reading cover ``SIMILARITY`` of the item'
 
 Windows with fewer than ``LITERALS`` words that are no placeholders say nothing and are left out on both sides. Items of less than ``WORDS`` words or
 without a telling window are held where all their words, numbers and names included, stand in a row. The benchmark's windows are
-broadcast only if their counted number is ``BROADCAST`` or less; else both sides are shuffled.
+broadcast only if their counted number is ``BROADCAST`` or less; else both sides are shuffled. So are the keys of the texts that met one.
 
 Defined results: null or empty texts hold nothing; a text with fewer words than a window is one window; items with a null
 item_id or without words match nothing; repeated documents are judged alike, repeated items are one item, and of several texts of one item_id each counts; other columns pass through.
@@ -72,9 +72,12 @@ def windows(df: DataFrame, *key: str) -> DataFrame:
     return each.select(*key, "pos", F.explode(forms).alias("f")).select(*key, "pos", "f.*")
 
 
-def slots(at: DataFrame, df: DataFrame, *key: str) -> DataFrame:
-    """``at`` (key, pos, readings) with width and slots, the slots' values of each window, as an array; ``df`` has key and text."""
-    texts = templates(df.join(at.select(*key).distinct(), [*key], "left_semi").select(*key, "text").dropDuplicates([*key]))
+def slots(at: DataFrame, df: DataFrame, *key: str, few: bool = False) -> DataFrame:
+    """``at`` (key, pos, readings) with width and slots, the slots' values of each window, as an array; ``df`` has key and text.
+
+    With ``few`` the keys of ``at`` are broadcast, and only the texts that have one are shuffled."""
+    keys = at.select(*key).distinct()
+    texts = templates(df.join(F.broadcast(keys) if few else keys, [*key], "left_semi").select(*key, "text").dropDuplicates([*key]))
     all_of = at.join(texts.select(*key, "tmpl", "value", "other"), [*key])
     part = lambda c: F.slice(c, F.col("pos") + 1, WORDS)
     held = F.filter(F.when(F.col("readings") == 2, part("other")).otherwise(part("value")), lambda x: x.isNotNull())
@@ -127,7 +130,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         items = F.broadcast(items)
     met = written(windows(docs.select("k1", "k2", "text"), "k1", "k2").join(items, "h").drop("h"), "met")
     # equal windows have equally many slots, so only those that met an item's window are looked up
-    met = slots(met, docs, "k1", "k2").withColumn("pairs", F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d")))
+    few = met.select("k1", "k2").distinct().count() <= BROADCAST
+    met = slots(met, docs, "k1", "k2", few=few).withColumn("pairs", F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d")))
     both = F.col("readings").bitwiseAND(F.col("ireadings"))
     reading = F.explode(F.filter(F.array(F.lit(1), F.lit(2)), lambda r: both.bitwiseAND(r) > 0))
     met = met.select("k1", "k2", "item_id", "version", "m1", "m2", "q", (F.col("pos") - F.col("q")).alias("shift"), "pairs", reading.alias("reading"))
