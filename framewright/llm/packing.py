@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import process_cache, text_batches
-from framewright.llm.units import ByteLevel, Memory, units
+from framewright.llm.common import grouped, process_cache, text_batches
+from framewright.llm.units import ByteLevel, Memory, cut_texts, joined
 
 #: Context sizes, powers of two; tokens of a pool and of a step group.
 TIERS, POOL, STEP = (2048, 1024, 512, 256), 1 << 21, 1 << 17
+#: Units remembered in a worker, and bytes of documents encoded at once.
+REMEMBER, AT_ONCE = 600_000, 4 << 20
 
 Piece = tuple[int | None, int, np.ndarray, int]  # doc_id, start, ids, tokens of its document
 
@@ -163,21 +165,19 @@ class DocumentCoder:
 
     def __init__(self, model: str):
         self.coder = ByteLevel(model)
-        self.spaced = Memory(self.coder)
+        self.spaced = Memory(self.coder, REMEMBER)
         self.heads: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         if len(self.heads) > 100_000:
             self.heads.clear()
         self.spaced.room()
-        bare = [t[:1] != " " for t in texts]
-        cuts = [units(" " + t if b else t) for t, b in zip(texts, bare)]
-        heads = [c.pop(0) if b else "" for c, b in zip(cuts, bare)]
-        new = [h for h in dict.fromkeys(heads) if h not in self.heads]
+        own, heads, number, edges = cut_texts(texts, bare=True)
+        new = [h for h in heads if h not in self.heads]
         self.heads |= {h: np.array(ids, "<u4").tobytes() for h, ids in zip(new, self.coder.ids(new))}
-        self.spaced.learn(set().union(*cuts))
-        found, last = self.spaced.found.__getitem__, np.uint32(end).tobytes()
-        return [np.frombuffer(b"".join([self.heads[h], *map(found, c), last]), "<u4") for h, c in zip(heads, cuts)]
+        last = np.uint32(end).tobytes()
+        packed = joined(self.spaced.ids_of(own) + list(map(self.heads.__getitem__, heads)), number, edges)
+        return [np.frombuffer(p + last, "<u4") for p in packed.to_numpy(zero_copy_only=False)]
 
 
 def sequences(docs: DataFrame, model_path: str, end: int, tiers: tuple[int, ...] = TIERS, pool: int = POOL, step: int = STEP) -> DataFrame:
@@ -199,8 +199,9 @@ def sequences(docs: DataFrame, model_path: str, end: int, tiers: tuple[int, ...]
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = process_cache(f"units {model_path}", lambda: DocumentCoder(model.value))
         packer = Packer(TaskContext.get().partitionId(), tiers, pool, step)
-        for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()], end)):
+        for group in grouped(batches, AT_ONCE):
+            docs = pa.concat_arrays([b.column(0) for b in group]).to_pylist()
+            for doc, ids in zip(docs, coder.encode(pa.concat_arrays([b.column(1) for b in group]), end)):
                 yield from packer.add(doc, ids)
         yield from packer.close()
 
