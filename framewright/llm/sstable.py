@@ -19,23 +19,25 @@ their own, in the order of their texts' hashes; an empty table is a manifest wit
 from __future__ import annotations
 
 import bisect
-import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import new_path, process_cache, text_batches
+from framewright.llm.common import grouped, new_path, process_cache, text_batches
+from framewright.llm.units import coded, joined
 
 BLOCK, BITS, HASHES, MAGIC = 1 << 16, 10, 7, b"FWSSTAB1"
 #: Bytes of blocks after which a task begins its next shard.
 SHARD = 1 << 28
 FOOTER = "<6QBI8s"
-REMEMBER = 1_000_000
+#: Words remembered in a worker, and bytes of documents encoded at once.
+REMEMBER, AT_ONCE = 1_000_000, 4 << 20
 _TAIL = ".,;:!?*%#$&"
 
 
@@ -167,7 +169,6 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.cut = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
         self.words: dict[str, bytes] = {}
         # words are encoded many at once, parted by a control character that no word holds and that is one token
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
@@ -182,27 +183,37 @@ class WordCoder:
         own = core.lower() if core.isascii() else core
         return (own, word[len(core) :]) if len(core) < len(word) else (own,)
 
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        if len(self.words) > REMEMBER:
-            self.words.clear()
-        cut = [self.cut(t) for t in texts]
-        parts = {w: self.parts(w) for w in set().union(*cut) if w not in self.words}
-        new = [p for p in set().union(*parts.values()) if p not in self.words]
+    def learn(self, words: list[str]) -> None:
+        known = self.words
+        parts = {w: self.parts(w) for w in words if w not in known}
+        new = list({p for own in parts.values() for p in own if p not in known})
         plain = [w for w in new if self.mark is not None and "\x01" not in w]
         runs = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         for run, e in zip(runs, self.tokenizer.encode_batch_fast([" \x01 ".join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            at, raw = np.flatnonzero(ids == self.mark).tolist(), ids.tobytes()
-            for w, a, b in zip(run, [0, *(x + 1 for x in at)], [*at, len(ids)]):
-                self.words[w] = raw[4 * a : 4 * b]
-        rest = [w for w in new if w not in self.words]
+            at, raw = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
+            known.update(zip(run, [raw[a:b] for a, b in zip([0, *(x + 4 for x in at)], [*at, len(raw)])]))
+        rest = [w for w in new if w not in known]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+            known[w] = np.array(e.ids, "<u4").tobytes()
         for w, p in parts.items():
             if p != (w,):
-                self.words[w] = b"".join(map(self.words.__getitem__, p))
+                known[w] = b"".join(map(known.__getitem__, p))
+
+    def packed(self, texts: pa.Array) -> pa.BinaryArray:
+        """The ids of each text as little-endian unsigned 32-bit integers; nulls are empty texts. Distinct words are looked up once."""
+        if len(self.words) > REMEMBER:
+            self.words.clear()
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        own, number = coded(lists.flatten())
+        self.words[""] = b""  # before white space at a text's begin, and behind that at its end
+        self.learn(own)
+        edges = lists.offsets.to_numpy()
+        return joined(list(map(self.words.__getitem__, own)), number, edges - edges[0])
+
+    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         last = np.uint32(end).tobytes()
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, w)) + last, "<u4") for w in cut]
+        return [np.frombuffer(p + last, "<u4") for p in self.packed(pa.array(texts, pa.string())).to_numpy(zero_copy_only=False)]
 
 
 def _name(shard: int) -> str:
@@ -234,7 +245,15 @@ def write(docs: DataFrame, model_path: str, end: int, directory: str) -> list[di
         coder = process_cache(f"words {model_path}", lambda: WordCoder(model.value))
         part = TaskContext.get().partitionId()
         files, root = _files(directory)
-        encoded = ((key_of(i), ids) for b in batches for i, ids in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()], end)))
+        last = np.uint32(end).tobytes()
+
+        def documents():
+            for group in grouped(batches, AT_ONCE):
+                packed = coder.packed(pa.concat_arrays([b.column(1) for b in group]))
+                for i, p in zip(pa.concat_arrays([b.column(0) for b in group]).to_pylist(), packed.to_numpy(zero_copy_only=False)):
+                    yield key_of(i), np.frombuffer(p + last, "<u4")
+
+        encoded = documents()
         first, k = next(encoded, None), 0
         while first:
             own = f"{root}/_tmp-{part}-{uuid.uuid4().hex}"
