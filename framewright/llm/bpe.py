@@ -18,13 +18,15 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import process_cache, text_batches
+from framewright.llm.common import grouped, process_cache, text_batches
+from framewright.llm.units import coded, cut_texts, joined
 
-#: Words, and pieces of ids, remembered in a worker, and characters of text taken to DuckDB at once.
-REMEMBER, AT_ONCE = 400_000, 1_000_000
+#: Words and pieces of ids, and units of texts, remembered in a worker, and bytes of documents taken to DuckDB at once.
+REMEMBER, UNITS, AT_ONCE = 400_000, 800_000, 1_000_000
 #: Bytes of a word that DuckDB contracts at most, and squared bytes of words in one call.
 LONG, SQUARES = 256, 4_000_000
 
@@ -69,6 +71,7 @@ class Coder:
         self.ranks = ranks = dict(zip(tokens, ids))
         self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
         self.spaced = np.zeros(max(ids, default=0) + 1, bool)
         self.spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
@@ -134,22 +137,40 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        return self.packed(pa.array(texts, pa.string())).to_pylist()
+
+    def packed(self, texts: pa.Array) -> pa.BinaryArray:
+        """The same for an Arrow array of texts, where nulls are empty. No match of the pattern lies across the units of a text, so it is
+        looked for in distinct units, which are remembered too."""
         if len(self.words) > REMEMBER:
             self.words.clear()
-        cut = [self.find(t) for t in texts]
+        if len(self.units) > UNITS:
+            self.units.clear()
+        own, heads, number, edges = cut_texts(texts, bare=True)
+        every = [" " + u for u in own] + heads
+        ids = list(map(self.units.get, every))
+        at = [i for i, x in enumerate(ids) if x is None]
+        cut = [self.find(every[i]) for i in at]
         self.learn(set().union(*cut))
-        return [b"".join(map(self.words.__getitem__, w)) for w in cut]
+        for i, words in zip(at, cut):
+            ids[i] = self.units[every[i]] = b"".join(map(self.words.__getitem__, words))
+        return joined(ids, number, edges)
 
-    def decode(self, packed: list[bytes]) -> list[bytes]:
+    def decode(self, packed: pa.Array) -> pa.BinaryArray:
         """The bytes of each id sequence; sequences are cut before tokens that begin with a space, and equal pieces are decoded once."""
         if len(self.pieces) > REMEMBER:
             self.pieces.clear()
-        cut = []
-        for p in packed:
-            at = (4 * np.flatnonzero(self.spaced[np.frombuffer(p, "<u4")])).tolist()
-            edges = [0, *at, len(p)] if not at or at[0] else [*at, len(p)]
-            cut.append([p[i:j] for i, j in zip(edges, edges[1:])])
-        new = [x for x in set().union(*cut) if x not in self.pieces]
+        sizes = pc.binary_length(packed).to_numpy()
+        edges = np.concatenate([[0], np.cumsum(sizes // 4)]).astype(np.int64)
+        raw = b"".join(packed.to_numpy(zero_copy_only=False))
+        ids = np.frombuffer(raw, "<u4")
+        begins = self.spaced[ids]
+        begins[edges[:-1][sizes > 0]] = True
+        starts = np.flatnonzero(begins)
+        offsets = np.append(4 * starts, len(raw)).astype(np.int32)
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        distinct, number = coded(pieces)
+        new = [x for x in distinct if x not in self.pieces]
         if new:
             ids = np.frombuffer(b"".join(new), "<u4").astype(np.int32)
             size = np.array([len(x) // 4 for x in new])
@@ -158,7 +179,7 @@ class Coder:
             rows = self.db.sql(_DECODE).to_arrow_table()
             self.pieces |= dict.fromkeys(new, b"") | {new[d]: bytes.fromhex(x) for d, x in zip(rows["d"].to_pylist(), rows["whole"].to_pylist())}
             self.db.unregister("ids")
-        return [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
+        return joined(list(map(self.pieces.__getitem__, distinct)), number, np.searchsorted(starts, edges))
 
 
 def _coder(spark: SparkSession, path: str, pattern: str):
@@ -170,16 +191,7 @@ def _coder(spark: SparkSession, path: str, pattern: str):
 
 def _grouped(batches, size):
     """Arrow batches in groups of about ``AT_ONCE`` characters or bytes."""
-    held, total = [], 0
-    for b in batches:
-        n = size(b)
-        if held and total + n > AT_ONCE:
-            yield held
-            held, total = [], 0
-        held.append(b)
-        total += n
-    if held:
-        yield held
+    return grouped(batches, AT_ONCE, size)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
@@ -190,11 +202,10 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
     def run(batches):
         c = coder()
         for group in _grouped(batches, lambda b: b.nbytes):
-            texts = [t.as_py() or "" for b in group for t in b.column(1)]
-            packed = c.encode(texts)
-            doc_id = pa.concat_arrays([b.column(0) for b in group])
-            out = {"doc_id": doc_id, "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()), "ids": pa.array(packed, pa.binary())}
-            yield pa.RecordBatch.from_pydict(out | ({"decoded": pa.array(c.decode(packed), pa.binary())} if decoded else {}))
+            doc_id, texts = (pa.concat_arrays([b.column(i) for b in group]) for i in (0, 1))
+            packed = c.packed(texts)
+            out = {"doc_id": doc_id, "n_tokens": pc.divide(pc.binary_length(packed), 4).cast(pa.int64()), "ids": packed}
+            yield pa.RecordBatch.from_pydict(out | ({"decoded": c.decode(packed)} if decoded else {}))
 
     schema = "doc_id bigint, n_tokens bigint, ids binary" + ", decoded binary" * decoded
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -207,8 +218,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         c = coder()
         for b in batches:
-            packed = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.decode([p or b"" for p in packed]), pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, c.decode(b.column(2).fill_null(b""))], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
 
