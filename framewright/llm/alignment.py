@@ -42,7 +42,8 @@ class Aligner:
     """Both tokenizers of a worker with the units they have met."""
 
     def __init__(self, a: str, b: bytes):
-        self.memories = Memory(ByteLevel(a)), Memory(Pieces(b))
+        # two memories leave no room for parts of words beside the units
+        self.memories = Memory(ByteLevel(a), parts=False), Memory(Pieces(b), parts=False)
 
     def table(self, docs: list[tuple[int | None, str]], row: int) -> pa.RecordBatch:
         """The rows of ``docs``, numbered from ``row``."""

@@ -149,8 +149,8 @@ class Memory:
 
     RUN, REMEMBER = 400, 300_000
 
-    def __init__(self, coder, remember: int = REMEMBER):
-        self.coder, self.remember = coder, remember
+    def __init__(self, coder, remember: int = REMEMBER, parts: bool = True):
+        self.coder, self.remember, self.parts = coder, remember, parts and coder.apart
         self.found: dict[str, bytes | None] = {}
         self.after: dict[str, bytes | None] = {}
         self.size = np.array([len(t) for t in coder.tokens], np.int64)
@@ -169,7 +169,7 @@ class Memory:
     def learn(self, keys) -> None:
         found, after = self.found, self.after
         new = [k for k in keys if k not in found]
-        if not self.coder.apart:
+        if not self.parts:
             return self.encode(new)
         parts = {k: p for k in new if (p := word_parts(k))}
         self.learn_after(list({x for p in parts.values() for x in p[1:] if x not in after}))
