@@ -193,7 +193,8 @@ class Memory:
 
     def encode(self, new: list[str]) -> None:
         found = self.found
-        odd = [k for k in new if not k or not k[0].isalnum() and _ODD(k)]
+        # white space at a unit's end would grow together with the space before the next one
+        odd = [k for k in new if not k or k[-1].isspace() or not k[0].isalnum() and _ODD(k)]
         aside = set(odd)
         plain = [k for k in new if k not in aside] if odd else new
         runs = [plain[i : i + self.RUN] for i in range(0, len(plain), self.RUN)]
